@@ -51,9 +51,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of one Arrow batch, so that a batch of long texts fits a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+    """Bound one Arrow batch by rows and bytes, so that a batch of long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def wide_partitions(spark: SparkSession) -> int:
