@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, secret_scan, simhash, token_store
+from . import chat_format, mixing, multi_index, packing, secret_scan, simhash, token_store
 from .common import documents, read_table
 
 
@@ -22,6 +22,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_path(spark)
     token_store.write_store(documents(spark, sf_dir), path, end_id=0)
