@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Pieces and parts that a worker keeps before it starts anew.
-KEPT = 1_000_000
+KEPT = 600_000
 #: A space between white space, or at the end of the text after white space: no cut is made in such a text.
 UNSURE = re.compile(r"\s (?:\s|\Z)")
 SUSPECT = re.compile(r" (?:\s|\Z)")
@@ -52,31 +52,24 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}  # of parts as they are
+        self.stems: dict[str, list[int]] = {}  # of words with a space before them
         self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
-            plain = part.isascii() and part.isprintable()
-            shown = part.replace(" ", self.letters[32]) if plain else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.merge(shown)]
+            ids = self.parts[part] = [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]
         return ids
 
     def _piece(self, piece: str) -> list[int]:
-        word = piece[1:]
-        if piece[:1] == " " and (word.isascii() or COMMON.match(word)):
-            if word.isalpha():
-                return self._part(piece)
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self._part(piece[:-1]) + self._part(word[-1])
         if COMMON.match(piece) and not any(s in piece for s in self.special):
             return [i for part in self.split(piece) for i in self._part(part)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def _learn(self, pieces: list[str], index: np.ndarray) -> None:
         """Encode the pieces that index doesn't know yet and put their numbers into it."""
-        known, piece, n = self.known, self._piece, len(self.known)
+        known, stems, merge, space, n = self.known, self.stems, self.merge, self.letters[32], len(self.known)
         flat: list[int] = []
         lens: list[int] = []
         at = np.flatnonzero(index < 0)
@@ -85,7 +78,15 @@ class Encoder:
             k = known.get(p := pieces[i])
             if k is None:
                 k = known[p] = n + len(lens)
-                ids = piece(p)
+                # most pieces are a word of ASCII letters, or one with a stop or comma, for which there is a short way
+                if p[:1] == " " and p.isascii() and (stem := p[1:].rstrip(".,")).isalpha() and len(p) - len(stem) < 3:
+                    ids = stems.get(stem)
+                    if ids is None:
+                        ids = stems[stem] = [t.id for t in merge(space + stem)]
+                    if len(p) - len(stem) == 2:
+                        ids = [*ids, *self._part(p[-1])]
+                else:
+                    ids = self._piece(p)
                 flat += ids
                 lens.append(len(ids))
             found.append(k)
@@ -96,7 +97,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        if len(self.known) > KEPT or len(self.parts) > KEPT:
+        if len(self.known) > KEPT or len(self.parts) + len(self.stems) > KEPT:
             self._clear()
         pieces: list[str] = []
         counts = [0]
