@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, multi_index, packing, secret_scan, simhash, token_store, toxicity, weighted_minhash
+from . import chat_format, kneser_ney, mixing, multi_index, packing, secret_scan, simhash, token_store, toxicity, weighted_minhash
 from .common import documents, read_table
 
 
@@ -78,6 +78,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "adjusted_perplexity", "threshold", "kept")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))

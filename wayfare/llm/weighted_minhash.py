@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, text_of, wide_partitions
 
-SAMPLES = 40
+SAMPLES = 56
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 #: -ln of the unit of a product of two 12-bit uniforms.
