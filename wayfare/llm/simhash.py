@@ -71,12 +71,12 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id") -> DataFr
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(counts.sum()))
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fold(flat, counts).view(np.int64))], names=[key, "fingerprint"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 2)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} {kind}, fingerprint long")
 
