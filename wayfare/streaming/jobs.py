@@ -43,10 +43,11 @@ HISTORY_ROW = "raw_user_id string, session_id string, timestamp_utc timestamp, r
 HISTORY_STATE = "times array<bigint>, pois array<string>, categories array<string>"
 
 
-def rolling_histories(events: DataFrame, idle: str = "1 day", limit: int = MAX_HISTORY) -> DataFrame:
+def rolling_histories(events: DataFrame, idle: str | None = "1 day", limit: int = MAX_HISTORY) -> DataFrame:
     """For each arriving visit, its session's latest visits before it (places, oldest first). Visits that arrive late are
-    sorted into the state; a session's state is at most limit visits and goes after it was idle."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    sorted into the state; a session's state is at most limit visits and goes after it was idle. With idle=None states stay, and
+    a query that works off what is available ends (with a timeout it waits for it)."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,8 +61,9 @@ def rolling_histories(events: DataFrame, idle: str = "1 day", limit: int = MAX_H
             rows.append((*key, pd.Timestamp(visit[0], unit="us"), visit[1], visit[2], len(before), [p for _, p, _ in before]))
             held = sorted([*held, visit])[-limit:]
         state.update(tuple(list(x) for x in zip(*held)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "category", "history_size", "history"])
 
     visits = events.select("raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "category")
-    return visits.groupBy("raw_user_id", "session_id").applyInPandasWithState(run, HISTORY_ROW, HISTORY_STATE, "append", "ProcessingTimeTimeout")
+    return visits.groupBy("raw_user_id", "session_id").applyInPandasWithState(run, HISTORY_ROW, HISTORY_STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
