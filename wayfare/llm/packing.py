@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, small_batches, staged, text_of, wide_partitions
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, release
 
 WINDOW = 2048
 LANE_TOKENS = 1 << 20
@@ -141,8 +141,9 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, voc
 
     def run(batches):
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        release()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = np.frombuffer(row["ids"], np.uint32 if row["wide"] else np.uint16).astype("<u4")
                 counts = np.array(row["counts"], np.int64)
                 known = {o["source"]: o for o in row["owed"]}
@@ -159,8 +160,8 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, voc
                 doc_ids = pa.array(row["doc_ids"], pa.int64()).take(pa.array(doc))
                 columns = [doc_ids, pa.array(start), pa.array(length), pa.array(data, pa.binary()), pa.array(counts[doc]), pa.array(sequence + row["first_sequence"]), pa.array(cuts - first[sequence])]
                 whole = pa.RecordBatch.from_arrays(columns, names=names)
-                for k in range(0, whole.num_rows, 4096):
-                    yield whole.slice(k, 4096)
+                for k in range(0, whole.num_rows, 1024):
+                    yield whole.slice(k, 1024)
 
-    small_batches(docs.sparkSession, 8, 8)
+    small_batches(docs.sparkSession, 2, 4)
     return joined.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -120,6 +120,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Give up what this worker process keeps, for a step that encodes nothing."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
     if path not in _encoders:
