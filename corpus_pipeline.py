@@ -10,34 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import kneser_ney, mixing, packing, secret_scan, simhash
-from wayfare.llm.common import DOCUMENT_COLUMNS, documents, read_table, staged
-
-LIST_ROWS = 500_000
-
+from wayfare.llm.common import DOCUMENT_COLUMNS, documents, if_short, read_table, staged
 
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS))
 
 
-def _if_short(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(LIST_ROWS + 1).count() <= LIST_ROWS else rows
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is above their language's threshold go."""
     judged = kneser_ney.judge(docs, read_table(spark, sf_dir, "labels"))
     rejected = staged(judged.filter(~F.col("kept")).select("row_hash").distinct(), "rejected")
-    return _hashed(docs).join(_if_short(rejected), "row_hash", "left_anti").select(*DOCUMENT_COLUMNS)
+    return _hashed(docs).join(if_short(rejected), "row_hash", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of equal rows one."""
-    marked = staged(simhash.near_duplicates(docs).select("doc_id", "row_hash", "component_id"), "marked")
+    """Of each group of documents linked by five-word shingles (0.8 or more alike) the one with the least doc_id stays; of equal
+    rows one."""
+    marked = staged(simhash.similar_texts(docs).select("doc_id", "row_hash", "root"), "marked")
     # a group without any doc_id keeps its least row
-    first = marked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("stays"))
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("stays"))
     stays = first.select(F.col("stays.row_hash").alias("row_hash"))
     dropped = staged(marked.select("row_hash").distinct().join(stays, "row_hash", "left_anti"), "dropped")
-    kept = _hashed(docs).join(_if_short(dropped), "row_hash", "left_anti")
+    kept = _hashed(docs).join(if_short(dropped), "row_hash", "left_anti")
     repeated = marked.groupBy("row_hash").count().filter("count > 1").join(dropped, "row_hash", "left_anti")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["row_hash"])
@@ -47,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live and weak credentials become [SECRET], widely copied examples [EXAMPLE]; n_chars follows."""
     found = secret_scan.scan(docs).filter(F.size("spans") > 0).select("row_hash", "spans").dropDuplicates(["row_hash"])
-    joined = _hashed(docs).join(_if_short(staged(found, "found")), "row_hash", "left")
+    joined = _hashed(docs).join(if_short(staged(found, "found")), "row_hash", "left")
     text = F.when(F.col("spans").isNotNull(), secret_scan.redact(F.coalesce("text", F.lit("")), F.col("spans"))).otherwise(F.col("text"))
     n_chars = F.when(F.col("spans").isNotNull(), F.length("new_text").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumn("new_text", text).select("doc_id", F.col("new_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))

@@ -93,3 +93,81 @@ def test_hash_is_sparks_xxhash64(spark):
     first, second = simhash.shingle_hashes(text, 4)
     row = spark.range(1).select(F.xxhash64(F.lit("ab cd ef gh")).alias("a"), F.xxhash64(F.lit("cd ef gh ij")).alias("b")).first()
     assert [first, second] == [row["a"] % (1 << 64), row["b"] % (1 << 64)]
+
+
+def edited_texts(seed=3):
+    rng = np.random.default_rng(seed)
+    texts = ["", None, "one", "one two", "\t \n", "x " * 4000]
+    for c in range(12):
+        base = [f"w{i}" for i in rng.integers(0, 3000, 60 + 40 * c)]
+        texts.append(" ".join(base).upper())
+        for k in range(8):
+            words = list(base)
+            for at in rng.integers(0, len(base), 1 + k * len(base) // 200):
+                words[at] = f"edit{rng.integers(0, 99)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def plain_similar(ids, texts, similarity=0.8, k=5):
+    """Components over pairs of a Jaccard similarity of at least similarity, and those pairs' limits: all within 0.8 exactly."""
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            shared, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if shared >= similarity * every:
+                root[find(i)] = find(j)
+    return {ids[i]: min(ids[j] for j in range(len(ids)) if find(j) == find(i)) for i in range(len(ids))}
+
+
+def test_similar_texts_against_brute_force(spark):
+    texts = edited_texts()
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + [(None, "one", None, None, None), (7, texts[7], "en", "s", 0)], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
+    assert found.pop(None) == 2
+    expected = plain_similar([r[0] for r in rows], texts)
+    assert len(set(expected.values())) > 20
+    assert found == expected
+
+
+def test_similar_texts_of_an_empty_table_and_of_clashing_columns(spark):
+    assert simhash.similar_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+    odd = spark.createDataFrame([(1, "a b", "en", "s", 3, 5, 6, 7)], SCHEMA + ", node long, size long, key long")
+    assert [tuple(r)[0::3] for r in simhash.similar_texts(odd).select("doc_id", "row_hash", "root", "component_id").collect()] == [(1, 1)]
+
+
+def test_large_groups_of_long_fingerprints_are_dealt_out_again(spark):
+    texts = edited_texts(5)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    nodes = simhash.long_fingerprints(df, 5).select(F.xxhash64("print", "size").alias("node"), "print", "size").dropDuplicates(["node"]).cache()
+    whole = simhash.components(simhash.long_links(nodes, 0.8).filter("sure").drop("sure"), "node").collect()
+    small = simhash.components(simhash.long_links(nodes, 0.8, limit=10).filter("sure").drop("sure"), "node").collect()
+    assert whole and sorted(map(tuple, whole)) == sorted(map(tuple, small))
+
+
+def test_long_trie_pairs_against_all_pairs():
+    rng = np.random.default_rng(2)
+    flips = lambda p: np.packbits(rng.random((40, 64 * simhash.LONG_WORDS)) < p, axis=1).view(np.uint64)
+    center = rng.integers(0, 2**63, (6, simhash.LONG_WORDS), dtype=np.uint64)
+    prints = np.concatenate([c ^ flips(p) for c, p in zip(center, (0.01, 0.03, 0.05, 0.08, 0.1, 0.3), strict=True)])
+    prints = prints[np.lexsort(prints.T[::-1])]
+    n = len(prints)
+    label, (i, j) = simhash.long_trie_pairs(np.zeros(n, np.int64), prints, np.full(n, 9), 50, 100, 0.8, chunk=50)
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    linked = far <= 50
+    for _ in range(n):
+        linked = linked @ linked
+    assert (linked == (label[:, None] == label[None])).all()
+    near = {(min(label[a], label[b]), max(label[a], label[b])) for a, b in np.argwhere(far <= 100) if label[a] != label[b]}
+    assert {(min(label[a], label[b]), max(label[a], label[b])) for a, b in zip(i, j, strict=True)} == near

@@ -51,6 +51,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list of keys that goes to all tasks; a longer one is joined by shuffle.
+LIST_ROWS = 500_000
+
+
+def if_short(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(LIST_ROWS + 1).count() <= LIST_ROWS else rows
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Bound one Arrow batch by rows and bytes, so that a batch of long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

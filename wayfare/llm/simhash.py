@@ -14,6 +14,7 @@ gives an empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, small_batches, staged, text_of, wide_partitions
+from .common import DOCUMENT_COLUMNS, if_short, small_batches, staged, text_of, wide_partitions
 
 BITS = 64
 #: Fingerprints of a group that go to one task; larger groups are dealt out by further blocks.
@@ -229,3 +230,245 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFra
 
 def hex_print(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+#: Words of 64 bits in a long fingerprint, and the part of the linked pairs that some block of bits has to bring together.
+LONG_WORDS, BLOCK_RECALL = 8, 0.99
+#: Bits that split trie nodes; below, nodes are split in the middle.
+SPLIT_BITS = 128
+
+
+def expected_bits(similarity: float) -> tuple[float, float]:
+    """Part of the bits that differ between sets of equal size with this Jaccard similarity, and its standard deviation in
+    one bit: the angle of the two sets over pi."""
+    part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return part, math.sqrt(part * (1 - part))
+
+
+def long_fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """LONG_WORDS fingerprints for each run of hashes, each from another mixing of the hashes."""
+    out = np.zeros((len(counts), LONG_WORDS), np.uint64)
+    for k in range(LONG_WORDS):
+        h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, k] = fold(h ^ (h >> np.uint64(32)), counts)
+    return out
+
+
+def _sets(texts: list, words: int) -> list[np.ndarray]:
+    return [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts]
+
+
+def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row_hash, print (binary), size (different shingles) of every whole text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = _sets(batch.column("text").to_pylist(), words)
+            counts = np.fromiter(map(len, sets), np.int64, len(sets))
+            prints = long_fold(np.concatenate(sets) if sets else np.zeros(0, np.uint64), counts)
+            binary = pa.array([row.tobytes() for row in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), binary, pa.array(counts)], names=["doc_id", "row_hash", "print", "size"])
+
+    small_batches(docs.sparkSession, 1000, 2)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), text_of().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_hash long, print binary, size long")
+
+
+def _print_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LONG_WORDS)
+
+
+def block_bits(width: int, similarity: float, seed: int) -> np.ndarray:
+    """The bits of each block. There are so many blocks that a pair at the similarity agrees on one with BLOCK_RECALL."""
+    agree = (1 - expected_bits(similarity)[0]) ** width
+    blocks = math.ceil(math.log(1 - BLOCK_RECALL) / math.log(1 - agree))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(64 * LONG_WORDS, width, replace=False) for _ in range(blocks)])
+
+
+def _deal(rows: DataFrame, bits: np.ndarray, keys_only: bool = False) -> DataFrame:
+    """Each row once for each block under a key of the block's bits (and of the key that it has already)."""
+    names = ["node", "print", "size"]
+
+    def run(batches):
+        weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
+        for batch in batches:
+            held = np.unpackbits(_print_words(batch.column("print")).view(np.uint8), axis=1).astype(np.uint64)
+            key = np.stack([held[:, b] @ weights for b in bits], axis=1) + (np.arange(len(bits), dtype=np.uint64) << np.uint64(40))
+            if "key" in batch.schema.names:
+                key ^= batch.column("key").to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            key = pa.array((key ^ (key >> np.uint64(27))).reshape(-1).view(np.int64))
+            if keys_only:
+                yield pa.RecordBatch.from_arrays([key], names=["key"])
+            else:
+                at = pa.array(np.repeat(np.arange(batch.num_rows), len(bits)))
+                yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(at) for c in names)], names=["key", *names])
+
+    return rows.mapInArrow(run, "key long" if keys_only else "key long, node long, print binary, size long")
+
+
+def _pairs_within(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and their differing bits; a pair goes at the word where it exceeds the budget."""
+    bits = np.zeros(len(i), np.int64)
+    for k in range(LONG_WORDS):
+        bits = bits + np.bitwise_count(prints[i, k] ^ prints[j, k])
+        near = bits <= most
+        i, j, bits = i[near], j[near], bits[near]
+    return i, j, bits
+
+
+def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int, most: int, ratio: float, chunk: int = 5_000):
+    """Within groups: labels (equal if linked over pairs of at most sure bits) and the pairs (i, j) of up to most bits between
+    different labels whose sizes allow the ratio; of these the nearest of each row to each label. Rows are sorted by group and
+    print."""
+    n = len(prints)
+    label = np.arange(n)
+    ones = np.zeros((SPLIT_BITS, n + 1), np.int32)
+    for d in range(SPLIT_BITS):
+        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    ends = np.append(starts[1:], n)
+    starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
+    beside = np.flatnonzero(group[1:] == group[:-1])  # neighbours in order connect most of a cluster at once
+    _unite(label, *_pairs_within(prints, beside, beside + 1, sure)[:2])
+    found = np.zeros((3, 0), np.int64)
+
+    def nearest(pairs: np.ndarray) -> np.ndarray:
+        i, j, bits = pairs
+        order = np.lexsort((bits, label[j], i))
+        i, to = i[order], label[j[order]]
+        first = np.concatenate(([True], (i[1:] != i[:-1]) | (to[1:] != to[:-1]))) if len(i) else np.zeros(0, bool)
+        return pairs[:, order[first]]
+
+    for budget in (sure, most):
+        changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+        stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
+        while stack:
+            d, a, ae, b, be, err = stack.pop()
+            if len(a) > chunk:
+                half = len(a) // 2
+                stack += [(d, *(x[half:] for x in (a, ae, b, be, err))), (d, *(x[:half] for x in (a, ae, b, be, err)))]
+                continue
+            known = (changes[ae - 1] == changes[a]) & (changes[be - 1] == changes[b]) & (label[a] == label[b])
+            few = (ae - a) * (be - b) <= 64
+            leaf, deep = few & ~known, ~few & ~known
+            if leaf.any():
+                la, lb, na, nb = a[leaf], b[leaf], (ae - a)[leaf], (be - b)[leaf]
+                pairs = na * nb
+                at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                width = np.repeat(nb, pairs)
+                i, j = np.repeat(la, pairs) + at // width, np.repeat(lb, pairs) + at % width
+                apart = (label[i] != label[j]) & (i != j)
+                i, j, bits = _pairs_within(prints, i[apart], j[apart], budget)
+                if budget == sure and len(i):
+                    _unite(label, i, j)
+                    changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+                elif len(i):
+                    fits = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
+                    found = np.concatenate((found, np.stack((i, j, bits))[:, fits]), axis=1)
+                    if found.shape[1] > 1_000_000:
+                        found = nearest(found)
+            if not deep.any():
+                continue
+            a, ae, b, be, err = (x[deep] for x in (a, ae, b, be, err))
+            if d < SPLIT_BITS:
+                am, bm = ae - (ones[d, ae] - ones[d, a]), be - (ones[d, be] - ones[d, b])
+            else:
+                am, bm = (a + ae) // 2, (b + be) // 2
+            step = np.int16(d < SPLIT_BITS)
+            same = (a == b) & (ae == be)
+            children = [(a, am, b, bm, err), (am, ae, bm, be, err), (a, am, bm, be, err + step)]
+            children.append(tuple(x[~same] for x in (am, ae, b, bm, err + step)))
+            a, ae, b, be, err = (np.concatenate(x) for x in zip(*children, strict=True))
+            keep = (ae > a) & (be > b) & (err <= budget)
+            if keep.any():
+                stack.append((d + 1, *(x[keep] for x in (a, ae, b, be, err))))
+    return label, nearest(found)[:2]
+
+
+def long_links(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
+    """prints: node, print, size. Rows (node, other, sure): sure links as a forest of each group, others to be checked."""
+    part, deviation = expected_bits(similarity)
+    total = 64 * LONG_WORDS
+    near, spread = part * total, deviation * math.sqrt(total)
+    sure, most = int(near - 2.5 * spread), int(near + 3 * spread)
+    # a group of random prints has about 2 ** 11 of them, however many there are
+    width = max(13, math.ceil(math.log2(max(prints.count(), 2))) - 11)
+    bits = block_bits(width, similarity, 1)
+    keyed = _deal(prints, bits)
+    large = staged(_deal(prints, bits, keys_only=True).groupBy("key").count().filter(F.col("count") > limit).select("key"), "simhash-large")
+    if not large.isEmpty():
+        again = _deal(keyed.join(large, "key", "left_semi").select("key", "node", "print", "size"), block_bits(width, similarity, 2))
+        keyed = keyed.join(large, "key", "left_anti").select("key", "node", "print", "size").unionByName(again)
+
+    def run(batches):
+        def pairs(table):
+            group, words = table.column("key").to_numpy(), _print_words(table.column("print"))
+            order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), group))
+            node, words = table.column("node").to_numpy()[order], words[order]
+            label, (i, j) = long_trie_pairs(group[order], words, table.column("size").to_numpy()[order], sure, most, similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            a, b = np.concatenate((moved, i)), np.concatenate((label[moved], j))
+            safe = np.arange(len(a)) < len(moved)
+            least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            return pa.RecordBatch.from_arrays([pa.array(least), pa.array(greatest), pa.array(safe)], names=["node", "other", "sure"])
+
+        held, rows = [], 0
+        for batch in batches:  # sorted by key: whole groups are worked off as soon as there are enough
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= min(limit, 20_000):
+                table = pa.Table.from_batches(held)
+                keys = table.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield pairs(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    rows = table.num_rows - cut
+        if held and rows:
+            yield pairs(pa.Table.from_batches(held))
+
+    parts = wide_partitions(prints.sparkSession)
+    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "node long, other long, sure boolean").groupBy("node", "other").agg(F.max("sure").alias("sure"))
+
+
+def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
+    """key, shingles: the different hashes of every whole text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) for s in _sets(batch.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
+
+    return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} long, shingles array<long>")
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, row_hash, component_id: the least doc_id within reach over links of a Jaccard similarity of
+    word shingles of at least similarity.
+
+    The same method with a fingerprint long enough to tell such pairs: 64 * LONG_WORDS bits, whose differences are near their
+    expected number. Pairs far below it are links, pairs around it are candidates whose shingles are compared exactly.
+    Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
+    those of near_duplicates."""
+    rows = docs.select(*DOCUMENT_COLUMNS)
+    marked = staged(long_fingerprints(rows, words).withColumn("node", F.xxhash64("print", "size")), "simhash-long")
+    nodes = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash"))
+    nodes = staged(nodes, "simhash-nodes")
+    found = staged(long_links(nodes.select("node", "print", "size"), similarity), "simhash-pairs")
+    unsure = found.filter(~F.col("sure")).select("node", "other")
+    ends = unsure.select("node").unionByName(unsure.select(F.col("other").alias("node"))).distinct()
+    wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "row_hash"), "simhash-ends")
+    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
+    sets = staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
+    both = unsure.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("others")), "other")
+    shared = F.size(F.array_intersect("shingles", "others"))
+    checked = both.filter(shared >= similarity * (F.size("shingles") + F.size("others") - shared) - 1e-9)
+    roots = components(found.filter("sure").select("node", "other").unionByName(checked.select("node", "other")), "node")
+    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(placed.join(ids, "root").select("node", "root", "component_id"), "simhash-named")
+    return marked.join(named, "node").select("doc_id", "row_hash", "root", "component_id")
