@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from wayfare.llm import kneser_ney, mixing, packing, secret_scan, simhash
 from wayfare.llm.common import DOCUMENT_COLUMNS, documents, if_short, read_table, staged
 
+#: Pieces of text whose ids a packing worker keeps: fewer than by default, as after four stages executors hold more.
+KEPT_PIECES = 200_000
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS))
 
@@ -53,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, end_id=1)
+    pieces = packing.pack(docs, end_id=1, kept=KEPT_PIECES)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, small_batches, staged, text_of, wide_partitions
-from .tokens import default_vocabulary, encoder, release
+from .tokens import KEPT, default_vocabulary, encoder, release
 
 WINDOW = 2048
 LANE_TOKENS = 1 << 20
@@ -33,7 +33,7 @@ BROADCAST_ROWS = 1_000_000
 LANE = "part int, lane int, doc_ids array<long>, sources array<string>, counts array<long>, ids binary, wide boolean"
 
 
-def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int) -> DataFrame:
+def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int, kept: int = KEPT) -> DataFrame:
     """Rows of LANE: the documents of a lane, in a seeded order, with their ids."""
 
     def run(batches):
@@ -48,7 +48,7 @@ def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            ids, counts = encoder(vocabulary).encode(batch.column("text").to_pylist())
+            ids, counts = encoder(vocabulary, kept).encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id)
             held.append((ids, counts + 1, batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()))
             rows += len(ids)
@@ -104,11 +104,12 @@ def windows_of(total: int, window: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 1, lane_tokens: int = LANE_TOKENS, least: int = LEAST_SERVED, max_sources: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 1, lane_tokens: int = LANE_TOKENS, least: int = LEAST_SERVED, max_sources: int = 100_000, kept: int = KEPT) -> DataFrame:
     """Per piece: doc_id, start, length, ids (binary, uint32 little-endian), doc_tokens, sequence_id, offset. weights: the
     share of each source in a window (by default its share of all tokens, so that all queues end together). window is a power
-    of two. Over max_sources sources are an error, which bounds what the driver and a lane hold of them."""
-    held = lanes(docs, vocabulary or default_vocabulary(), end_id, lane_tokens)
+    of two. Over max_sources sources are an error, which bounds what the driver and a lane hold of them.
+    kept: pieces of text whose ids a worker keeps."""
+    held = lanes(docs, vocabulary or default_vocabulary(), end_id, lane_tokens, kept)
     spent = staged(
         held.select("part", "lane", F.explode(F.arrays_zip("sources", "counts")).alias("d"))
         .groupBy("part", "lane", F.col("d.sources").alias("source")).agg(F.sum("d.counts").alias("n")),

@@ -15,8 +15,8 @@ from itertools import repeat
 import numpy as np
 import regex
 
-#: Pieces and parts that a worker keeps before it starts anew.
-KEPT = 600_000
+#: Pieces that a worker keeps before it starts anew (about 150 bytes each), and for one part of a piece (about 400) how many.
+KEPT, PIECES_PER_PART = 600_000, 10
 #: A space between white space, or at the end of the text after white space: no cut is made in such a text.
 UNSURE = re.compile(r"\s (?:\s|\Z)")
 SUSPECT = re.compile(r" (?:\s|\Z)")
@@ -31,12 +31,13 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.split = regex.compile(PATTERN).findall
@@ -97,8 +98,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        if len(self.known) > KEPT or len(self.parts) + len(self.stems) > KEPT:
+        if len(self.known) > self.kept:
             self._clear()
+        if len(self.parts) + len(self.stems) > self.kept // PIECES_PER_PART:
+            self.parts, self.stems = {}, {}
         pieces: list[str] = []
         counts = [0]
         for text in texts:
@@ -125,8 +128,9 @@ def release() -> None:
     _encoders.clear()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """One for each worker process and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].kept = kept
     return _encoders[path]
