@@ -171,3 +171,28 @@ def test_long_trie_pairs_against_all_pairs():
     assert (linked == (label[:, None] == label[None])).all()
     near = {(min(label[a], label[b]), max(label[a], label[b])) for a, b in np.argwhere(far <= 100) if label[a] != label[b]}
     assert {(min(label[a], label[b]), max(label[a], label[b])) for a, b in zip(i, j, strict=True)} == near
+
+
+def test_a_farther_member_of_a_cluster_links_where_the_nearest_fails(spark, monkeypatch):
+    base = [f"w{i}" for i in range(204)]
+
+    def edited(*places):
+        return " ".join(f"edit{i}" if i in places else w for i, w in enumerate(base))
+
+    # 0.82 like the first text, 0.78 like the ten others, which are 0.95 like the first
+    texts = [edited(), *(edited(100 + k) for k in range(10)), edited(10, 50, 150, 190)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    expected = plain_similar(range(12), texts)
+    assert set(expected.values()) == {0}
+
+    def crafted(hashes, counts):
+        out = np.full((12, simhash.LONG_WORDS), 2**64 - 1, np.uint64)
+        out[1:, 1] ^= np.uint64(1023)  # 10 bits that the last shares with all but the first
+        out[np.arange(1, 11), 2] ^= np.uint64(1) << np.arange(10, dtype=np.uint64)
+        out[11, 0] = 0  # 71 bits from the others, 80 from the first
+        out[11, 3] ^= np.uint64(63)
+        return out
+
+    monkeypatch.setattr(simhash, "long_fold", crafted)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()} == expected

@@ -289,7 +289,8 @@ def block_bits(width: int, similarity: float, seed: int) -> np.ndarray:
 
 def _deal(rows: DataFrame, bits: np.ndarray, keys_only: bool = False) -> DataFrame:
     """Each row once for each block under a key of the block's bits (and of the key that it has already)."""
-    names = ["node", "print", "size"]
+    names = [c for c in rows.columns if c != "key"]
+    schema = ", ".join(["key long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)])
 
     def run(batches):
         weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
@@ -306,7 +307,7 @@ def _deal(rows: DataFrame, bits: np.ndarray, keys_only: bool = False) -> DataFra
                 at = pa.array(np.repeat(np.arange(batch.num_rows), len(bits)))
                 yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(at) for c in names)], names=["key", *names])
 
-    return rows.mapInArrow(run, "key long" if keys_only else "key long, node long, print binary, size long")
+    return rows.mapInArrow(run, "key long" if keys_only else schema)
 
 
 def _pairs_within(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,17 +324,7 @@ def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, su
     """Within groups: labels (equal if linked over pairs of at most sure bits) and the pairs (i, j) of up to most bits between
     different labels whose sizes allow the ratio; of these the nearest of each row to each label. Rows are sorted by group and
     print."""
-    n = len(prints)
-    label = np.arange(n)
-    ones = np.zeros((SPLIT_BITS, n + 1), np.int32)
-    for d in range(SPLIT_BITS):
-        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    ends = np.append(starts[1:], n)
-    starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
-    beside = np.flatnonzero(group[1:] == group[:-1])  # neighbours in order connect most of a cluster at once
-    _unite(label, *_pairs_within(prints, beside, beside + 1, sure)[:2])
-    found = np.zeros((3, 0), np.int64)
+    label = np.arange(len(prints))
 
     def nearest(pairs: np.ndarray) -> np.ndarray:
         i, j, bits = pairs
@@ -342,7 +333,28 @@ def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, su
         first = np.concatenate(([True], (i[1:] != i[:-1]) | (to[1:] != to[:-1]))) if len(i) else np.zeros(0, bool)
         return pairs[:, order[first]]
 
-    for budget in (sure, most):
+    found = np.zeros((3, 0), np.int64)
+    for pairs in _trie_walk(label, group, prints, sizes, sure, most, ratio, chunk):
+        found = np.concatenate((found, pairs), axis=1)
+        if found.shape[1] > 1_000_000:
+            found = nearest(found)
+    return label, nearest(found)[:2]
+
+
+def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int | None, most: int, ratio: float, chunk: int = 5_000):
+    """Unites label over pairs of at most sure bits (None: label stays as given), then yields all pairs (i, j, bits) of up to
+    most bits between different labels whose sizes allow the ratio."""
+    n = len(prints)
+    ones = np.zeros((SPLIT_BITS, n + 1), np.int32)
+    for d in range(SPLIT_BITS):
+        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    ends = np.append(starts[1:], n)
+    starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
+    if sure is not None:
+        beside = np.flatnonzero(group[1:] == group[:-1])  # neighbours in order connect most of a cluster at once
+        _unite(label, *_pairs_within(prints, beside, beside + 1, sure)[:2])
+    for budget in (most,) if sure is None else (sure, most):
         changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
         stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
         while stack:
@@ -367,9 +379,7 @@ def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, su
                     changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
                 elif len(i):
                     fits = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
-                    found = np.concatenate((found, np.stack((i, j, bits))[:, fits]), axis=1)
-                    if found.shape[1] > 1_000_000:
-                        found = nearest(found)
+                    yield np.stack((i, j, bits))[:, fits]
             if not deep.any():
                 continue
             a, ae, b, be, err = (x[deep] for x in (a, ae, b, be, err))
@@ -385,54 +395,96 @@ def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, su
             keep = (ae > a) & (be > b) & (err <= budget)
             if keep.any():
                 stack.append((d + 1, *(x[keep] for x in (a, ae, b, be, err))))
-    return label, nearest(found)[:2]
 
 
-def long_links(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """prints: node, print, size. Rows (node, other, sure): sure links as a forest of each group, others to be checked."""
+def long_budgets(similarity: float) -> tuple[int, int]:
+    """Bits up to which a pair is surely linked, and up to which it is a candidate."""
     part, deviation = expected_bits(similarity)
     total = 64 * LONG_WORDS
     near, spread = part * total, deviation * math.sqrt(total)
-    sure, most = int(near - 2.5 * spread), int(near + 3 * spread)
+    return int(near - 2.5 * spread), int(near + 3 * spread)
+
+
+def long_groups(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT):
+    """A function that deals rows with the columns of prints (and others) into the groups of prints."""
     # a group of random prints has about 2 ** 11 of them, however many there are
     width = max(13, math.ceil(math.log2(max(prints.count(), 2))) - 11)
     bits = block_bits(width, similarity, 1)
-    keyed = _deal(prints, bits)
     large = staged(_deal(prints, bits, keys_only=True).groupBy("key").count().filter(F.col("count") > limit).select("key"), "simhash-large")
-    if not large.isEmpty():
-        again = _deal(keyed.join(large, "key", "left_semi").select("key", "node", "print", "size"), block_bits(width, similarity, 2))
-        keyed = keyed.join(large, "key", "left_anti").select("key", "node", "print", "size").unionByName(again)
+    none = large.isEmpty()
+
+    def deal(rows: DataFrame) -> DataFrame:
+        keyed = _deal(rows, bits)
+        if none:
+            return keyed
+        again = _deal(keyed.join(large, "key", "left_semi").select(keyed.columns), block_bits(width, similarity, 2))
+        return keyed.join(large, "key", "left_anti").select(keyed.columns).unionByName(again)
+
+    return deal
 
-    def run(batches):
-        def pairs(table):
-            group, words = table.column("key").to_numpy(), _print_words(table.column("print"))
-            order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), group))
-            node, words = table.column("node").to_numpy()[order], words[order]
-            label, (i, j) = long_trie_pairs(group[order], words, table.column("size").to_numpy()[order], sure, most, similarity)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            a, b = np.concatenate((moved, i)), np.concatenate((label[moved], j))
-            safe = np.arange(len(a)) < len(moved)
-            least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            return pa.RecordBatch.from_arrays([pa.array(least), pa.array(greatest), pa.array(safe)], names=["node", "other", "sure"])
 
+def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFrame:
+    """work(table sorted by key and print) yields record batches; whole groups are worked off as soon as there are enough."""
+
+    def ordered(table):
+        words = _print_words(table.column("print"))
+        order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), table.column("key").to_numpy()))
+        return table.take(pa.array(order)), words[order]
+
+    def run(batches):
         held, rows = [], 0
-        for batch in batches:  # sorted by key: whole groups are worked off as soon as there are enough
+        for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= min(limit, 20_000):
+            if rows >= rows_at_once:
                 table = pa.Table.from_batches(held)
                 keys = table.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
-                    yield pairs(table.slice(0, cut))
+                    yield from work(*ordered(table.slice(0, cut)))
                     held = table.slice(cut).combine_chunks().to_batches()
                     rows = table.num_rows - cut
         if held and rows:
-            yield pairs(pa.Table.from_batches(held))
+            yield from work(*ordered(pa.Table.from_batches(held)))
 
-    parts = wide_partitions(prints.sparkSession)
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "node long, other long, sure boolean").groupBy("node", "other").agg(F.max("sure").alias("sure"))
+    parts = wide_partitions(dealt.sparkSession)
+    return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def keyed_links(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Rows (key, node, other, sure): sure links as a forest of each group, others to be checked."""
+    sure, most = long_budgets(similarity)
+
+    def pairs(table, words):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+        label, (i, j) = long_trie_pairs(key, words, table.column("size").to_numpy(), sure, most, similarity)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        a, b = np.concatenate((moved, i)), np.concatenate((label[moved], j))
+        safe = np.arange(len(a)) < len(moved)
+        least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(least), pa.array(greatest), pa.array(safe)], names=["key", "node", "other", "sure"])
+
+    return _by_groups(dealt, pairs, min(limit, 20_000), "key long, node long, other long, sure boolean")
+
+
+def other_candidates(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
+    """dealt has a column root. Rows (node, other): in each group every pair between different roots within the budget whose
+    sizes allow the similarity."""
+    most = long_budgets(similarity)[1]
+
+    def pairs(table, words):
+        node = table.column("node").to_numpy()
+        label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        for i, j, _ in _trie_walk(label, table.column("key").to_numpy(), words, table.column("size").to_numpy(), None, most, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
+
+    return _by_groups(dealt, pairs, min(limit, 20_000), "node long, other long").distinct()
+
+
+def long_links(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
+    """prints: node, print, size. Rows (node, other, sure): sure links as a forest of each group, others to be checked."""
+    dealt = long_groups(prints, similarity, limit)(prints)
+    return keyed_links(dealt, similarity, limit).groupBy("node", "other").agg(F.max("sure").alias("sure"))
 
 
 def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
@@ -446,6 +498,17 @@ def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
     return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} long, shingles array<long>")
 
 
+def alike(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (node, other) whose shingles, compared exactly, are at least similarity alike."""
+    ends = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+    wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "row_hash"), "simhash-ends")
+    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
+    sets = staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("others")), "other")
+    shared = F.size(F.array_intersect("shingles", "others"))
+    return both.filter(shared >= similarity * (F.size("shingles") + F.size("others") - shared) - 1e-9).select("node", "other")
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, row_hash, component_id: the least doc_id within reach over links of a Jaccard similarity of
     word shingles of at least similarity.
@@ -458,16 +521,22 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     marked = staged(long_fingerprints(rows, words).withColumn("node", F.xxhash64("print", "size")), "simhash-long")
     nodes = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash"))
     nodes = staged(nodes, "simhash-nodes")
-    found = staged(long_links(nodes.select("node", "print", "size"), similarity), "simhash-pairs")
-    unsure = found.filter(~F.col("sure")).select("node", "other")
-    ends = unsure.select("node").unionByName(unsure.select(F.col("other").alias("node"))).distinct()
-    wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "row_hash"), "simhash-ends")
-    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
-    sets = staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
-    both = unsure.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("others")), "other")
-    shared = F.size(F.array_intersect("shingles", "others"))
-    checked = both.filter(shared >= similarity * (F.size("shingles") + F.size("others") - shared) - 1e-9)
-    roots = components(found.filter("sure").select("node", "other").unionByName(checked.select("node", "other")), "node")
+    deal = long_groups(nodes.select("node", "print", "size"), similarity)
+    keyed = staged(keyed_links(deal(nodes.select("node", "print", "size")), similarity), "simhash-pairs")
+    unsure = keyed.groupBy("node", "other").agg(F.max("sure").alias("sure")).filter(~F.col("sure")).select("node", "other")
+    linked = keyed.filter("sure").select("node", "other").distinct()
+    checked = staged(alike(rows, nodes, unsure, words, similarity), "simhash-checked")
+    edges = linked.unionByName(checked)
+    roots = components(edges, "node")
+    # a candidate that failed was the nearest of its row and label only: in its groups all that is still apart is compared
+    again = staged(keyed.filter(~F.col("sure")).join(edges, ["node", "other"], "left_anti").select("key").distinct(), "simhash-again")
+    if not again.isEmpty():
+        placed = nodes.select("node", "print", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = other_candidates(deal(staged(placed, "simhash-rooted")).join(if_short(again), "key", "left_semi"), similarity)
+        rest = staged(rest.join(unsure, ["node", "other"], "left_anti"), "simhash-rest")
+        more = staged(alike(rows, nodes, rest, words, similarity), "simhash-more")
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more), "node")
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(placed.join(ids, "root").select("node", "root", "component_id"), "simhash-named")
