@@ -196,3 +196,13 @@ def test_a_farther_member_of_a_cluster_links_where_the_nearest_fails(spark, monk
     monkeypatch.setattr(simhash, "long_fold", crafted)
     df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()} == expected
+
+
+def test_near_bits_alone_are_no_link(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    # 0.75, 0.78 and 0.79 alike; the last two have equal sizes and unlike sets
+    texts = [" ".join(words[a:b]) for a, b in ((0, 10), (0, 12), (12, 23), (12, 25))] + ["p q r s t u", "v w x y z u"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(simhash, "long_fold", lambda hashes, counts: np.ones((len(counts), simhash.LONG_WORDS), np.uint64))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == plain_similar(range(6), texts) == {i: i for i in range(6)}

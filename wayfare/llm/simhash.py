@@ -92,6 +92,23 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
+def _unite_by(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_unite that returns the pairs (i, j) it needed, a forest."""
+    used = []
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))] if len(order) else order
+        label[high[first]] = low[first]
+        used.append(np.stack((i[first], j[first])))
+        while (label != (up := label[label])).any():
+            label[:] = up
+    return np.concatenate(used, axis=1) if used else np.zeros((2, 0), np.int64)
+
+
 def trie_components(group: np.ndarray, prints: np.ndarray, budget: int, chunk: int = 200_000) -> np.ndarray:
     """Labels: equal if linked, over pairs of one group within budget bits. (group, prints) is sorted and without repeats."""
     n = len(prints)
@@ -260,7 +277,7 @@ def _sets(texts: list, words: int) -> list[np.ndarray]:
 
 
 def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_hash, print (binary), size (different shingles) of every whole text."""
+    """doc_id, row_hash, print (binary), size (different shingles) and set_hash (of the shingles) of every whole text."""
 
     def run(batches):
         for batch in batches:
@@ -268,11 +285,12 @@ def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
             prints = long_fold(np.concatenate(sets) if sets else np.zeros(0, np.uint64), counts)
             binary = pa.array([row.tobytes() for row in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), binary, pa.array(counts)], names=["doc_id", "row_hash", "print", "size"])
+            whole = pa.array(np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), binary, pa.array(counts), whole], names=["doc_id", "row_hash", "print", "size", "set_hash"])
 
     small_batches(docs.sparkSession, 1000, 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, print binary, size long")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, print binary, size long, set_hash long")
 
 
 def _print_words(column: pa.Array) -> np.ndarray:
@@ -320,10 +338,10 @@ def _pairs_within(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -
     return i, j, bits
 
 
-def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int, most: int, ratio: float, chunk: int = 5_000):
+def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int, most: int, ratio: float, chunk: int = 5_000, forest: list | None = None):
     """Within groups: labels (equal if linked over pairs of at most sure bits) and the pairs (i, j) of up to most bits between
     different labels whose sizes allow the ratio; of these the nearest of each row to each label. Rows are sorted by group and
-    print."""
+    print. forest gets the pairs (i, j) of at most sure bits that the labels come from."""
     label = np.arange(len(prints))
 
     def nearest(pairs: np.ndarray) -> np.ndarray:
@@ -334,17 +352,18 @@ def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, su
         return pairs[:, order[first]]
 
     found = np.zeros((3, 0), np.int64)
-    for pairs in _trie_walk(label, group, prints, sizes, sure, most, ratio, chunk):
+    for pairs in _trie_walk(label, group, prints, sizes, sure, most, ratio, chunk, forest):
         found = np.concatenate((found, pairs), axis=1)
         if found.shape[1] > 1_000_000:
             found = nearest(found)
     return label, nearest(found)[:2]
 
 
-def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int | None, most: int, ratio: float, chunk: int = 5_000):
+def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int | None, most: int, ratio: float, chunk: int = 5_000, forest: list | None = None):
     """Unites label over pairs of at most sure bits (None: label stays as given), then yields all pairs (i, j, bits) of up to
     most bits between different labels whose sizes allow the ratio."""
     n = len(prints)
+    forest = [] if forest is None else forest
     ones = np.zeros((SPLIT_BITS, n + 1), np.int32)
     for d in range(SPLIT_BITS):
         np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
@@ -353,7 +372,7 @@ def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes:
     starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
     if sure is not None:
         beside = np.flatnonzero(group[1:] == group[:-1])  # neighbours in order connect most of a cluster at once
-        _unite(label, *_pairs_within(prints, beside, beside + 1, sure)[:2])
+        forest.append(_unite_by(label, *_pairs_within(prints, beside, beside + 1, sure)[:2]))
     for budget in (most,) if sure is None else (sure, most):
         changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
         stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
@@ -375,7 +394,7 @@ def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes:
                 apart = (label[i] != label[j]) & (i != j)
                 i, j, bits = _pairs_within(prints, i[apart], j[apart], budget)
                 if budget == sure and len(i):
-                    _unite(label, i, j)
+                    forest.append(_unite_by(label, i, j))
                     changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
                 elif len(i):
                     fits = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
@@ -398,7 +417,7 @@ def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes:
 
 
 def long_budgets(similarity: float) -> tuple[int, int]:
-    """Bits up to which a pair is surely linked, and up to which it is a candidate."""
+    """Bits up to which a pair stands for its group's other pairs unless the exact check fails, and up to which it is a candidate."""
     part, deviation = expected_bits(similarity)
     total = 64 * LONG_WORDS
     near, spread = part * total, deviation * math.sqrt(total)
@@ -452,15 +471,16 @@ def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFr
 
 
 def keyed_links(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Rows (key, node, other, sure): sure links as a forest of each group, others to be checked."""
+    """Rows (key, node, other, sure): pairs that are surely near by their bits, as a forest of each group, and other candidates."""
     sure, most = long_budgets(similarity)
 
     def pairs(table, words):
         key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-        label, (i, j) = long_trie_pairs(key, words, table.column("size").to_numpy(), sure, most, similarity)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        a, b = np.concatenate((moved, i)), np.concatenate((label[moved], j))
-        safe = np.arange(len(a)) < len(moved)
+        forest = []
+        _, unsure = long_trie_pairs(key, words, table.column("size").to_numpy(), sure, most, similarity, forest=forest)
+        linked = np.concatenate([np.zeros((2, 0), np.int64), *forest], axis=1)
+        a, b = np.concatenate((linked, unsure), axis=1)
+        safe = np.arange(len(a)) < linked.shape[1]
         least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
         yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(least), pa.array(greatest), pa.array(safe)], names=["key", "node", "other", "sure"])
 
@@ -482,7 +502,7 @@ def other_candidates(dealt: DataFrame, similarity: float, limit: int = GROUP_LIM
 
 
 def long_links(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """prints: node, print, size. Rows (node, other, sure): sure links as a forest of each group, others to be checked."""
+    """prints: node, print, size. Rows (node, other, sure) of all groups as of keyed_links."""
     dealt = long_groups(prints, similarity, limit)(prints)
     return keyed_links(dealt, similarity, limit).groupBy("node", "other").agg(F.max("sure").alias("sure"))
 
@@ -514,26 +534,24 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     word shingles of at least similarity.
 
     The same method with a fingerprint long enough to tell such pairs: 64 * LONG_WORDS bits, whose differences are near their
-    expected number. Pairs far below it are links, pairs around it are candidates whose shingles are compared exactly.
-    Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
+    expected number. Pairs up to a budget above it are candidates: a forest of the nearest, and others between its
+    trees. Every link has had its shingles compared exactly. Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
     those of near_duplicates."""
     rows = docs.select(*DOCUMENT_COLUMNS)
-    marked = staged(long_fingerprints(rows, words).withColumn("node", F.xxhash64("print", "size")), "simhash-long")
+    marked = staged(long_fingerprints(rows, words).withColumnRenamed("set_hash", "node"), "simhash-long")
     nodes = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash"))
     nodes = staged(nodes, "simhash-nodes")
     deal = long_groups(nodes.select("node", "print", "size"), similarity)
     keyed = staged(keyed_links(deal(nodes.select("node", "print", "size")), similarity), "simhash-pairs")
-    unsure = keyed.groupBy("node", "other").agg(F.max("sure").alias("sure")).filter(~F.col("sure")).select("node", "other")
-    linked = keyed.filter("sure").select("node", "other").distinct()
-    checked = staged(alike(rows, nodes, unsure, words, similarity), "simhash-checked")
-    edges = linked.unionByName(checked)
+    pairs = staged(keyed.select("node", "other").distinct(), "simhash-distinct")
+    edges = staged(alike(rows, nodes, pairs, words, similarity), "simhash-checked")
     roots = components(edges, "node")
-    # a candidate that failed was the nearest of its row and label only: in its groups all that is still apart is compared
-    again = staged(keyed.filter(~F.col("sure")).join(edges, ["node", "other"], "left_anti").select("key").distinct(), "simhash-again")
+    # a pair stood for others of its group: where one failed, all that is still apart is compared
+    again = staged(keyed.join(edges, ["node", "other"], "left_anti").select("key").distinct(), "simhash-again")
     if not again.isEmpty():
         placed = nodes.select("node", "print", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = other_candidates(deal(staged(placed, "simhash-rooted")).join(if_short(again), "key", "left_semi"), similarity)
-        rest = staged(rest.join(unsure, ["node", "other"], "left_anti"), "simhash-rest")
+        rest = staged(rest.join(pairs, ["node", "other"], "left_anti"), "simhash-rest")
         more = staged(alike(rows, nodes, rest, words, similarity), "simhash-more")
         if not more.isEmpty():
             roots = components(edges.unionByName(more), "node")
