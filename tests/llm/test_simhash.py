@@ -206,3 +206,33 @@ def test_near_bits_alone_are_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "long_fold", lambda hashes, counts: np.ones((len(counts), simhash.LONG_WORDS), np.uint64))
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == plain_similar(range(6), texts) == {i: i for i in range(6)}
+
+
+def few_words(seed=11, families=60):
+    """Texts of 5 to 30 words with near copies: words added, dropped and changed."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(families):
+        base = [f"w{i}" for i in rng.integers(0, 5000, rng.integers(5, 31))]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["x", *base, "y"]), " ".join(base[1:]), " ".join(base[:-2])]
+    return texts
+
+
+def test_similar_texts_of_few_words_against_brute_force(spark):
+    texts = few_words()
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert found == plain_similar(range(len(texts)), texts)
+
+
+def test_short_links_of_split_groups(spark):
+    rng = np.random.default_rng(4)
+    sets = [(n, sorted({*range(20), *rng.integers(20, 26, 3).tolist()})) for n in range(90)]
+    df = spark.createDataFrame(sets, "node long, shingles array<long>").cache()
+    whole = simhash.components(simhash.short_links(df, 0.8), "node").collect()
+    small = simhash.components(simhash.short_links(df, 0.8, limit=10), "node").collect()
+    assert len(whole) == 89 and sorted(map(tuple, whole)) == sorted(map(tuple, small))
+
+
+def test_bits_that_differ_between_few_hashes():
+    assert abs(512 * simhash.differing_part(4, 5, 4) - 96) < 1e-9
+    assert simhash.long_bits(0.8)[0] > simhash.expected_bits(0.8)[0]

@@ -250,7 +250,10 @@ def hex_print(fingerprint: Column) -> Column:
 
 
 #: Words of 64 bits in a long fingerprint, and the part of the linked pairs that some block of bits has to bring together.
-LONG_WORDS, BLOCK_RECALL = 8, 0.99
+LONG_WORDS, BLOCK_RECALL = 8, 0.999
+#: Up to so many shingles texts are found by an exact join, as the bits of few shingles vary too much; rows of a group of that
+#: join that are compared at once.
+SHORT, SHORT_ROWS = 48, 20_000
 #: Bits that split trie nodes; below, nodes are split in the middle.
 SPLIT_BITS = 128
 
@@ -262,6 +265,31 @@ def expected_bits(similarity: float) -> tuple[float, float]:
     return part, math.sqrt(part * (1 - part))
 
 
+def differing_part(n: int, m: int, shared: int) -> float:
+    """Part of the bits that differ in the mean between sets of n and m hashes, ties counted as they are: a bit of the shared
+    ones is set in x of them, and each set's others decide the rest on their own."""
+    weights = lambda k: np.array([math.comb(k, x) / 2**k for x in range(k + 1)])
+    at = np.arange(shared + 1)
+
+    def set_bit(total: int) -> np.ndarray:
+        above = np.append(np.cumsum(weights(total - shared)[::-1])[::-1], 0.0)
+        return above[np.clip(total // 2 + 1 - at, 0, total - shared + 1)]
+
+    a, b = set_bit(n), set_bit(m)
+    return float((weights(shared) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def long_bits(similarity: float) -> tuple[float, float]:
+    """expected_bits, but of the worst pair at the similarity with more than SHORT shingles; more shingles differ less."""
+    part = expected_bits(similarity)[0]
+    for n in range(SHORT + 1, SHORT + 9):
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            shared = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if shared <= n:
+                part = max(part, differing_part(n, m, shared))
+    return part, math.sqrt(part * (1 - part))
+
+
 def long_fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """LONG_WORDS fingerprints for each run of hashes, each from another mixing of the hashes."""
     out = np.zeros((len(counts), LONG_WORDS), np.uint64)
@@ -299,7 +327,7 @@ def _print_words(column: pa.Array) -> np.ndarray:
 
 def block_bits(width: int, similarity: float, seed: int) -> np.ndarray:
     """The bits of each block. There are so many blocks that a pair at the similarity agrees on one with BLOCK_RECALL."""
-    agree = (1 - expected_bits(similarity)[0]) ** width
+    agree = (1 - long_bits(similarity)[0]) ** width
     blocks = math.ceil(math.log(1 - BLOCK_RECALL) / math.log(1 - agree))
     rng = np.random.default_rng(seed)
     return np.stack([rng.choice(64 * LONG_WORDS, width, replace=False) for _ in range(blocks)])
@@ -418,10 +446,10 @@ def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes:
 
 def long_budgets(similarity: float) -> tuple[int, int]:
     """Bits up to which a pair stands for its group's other pairs unless the exact check fails, and up to which it is a candidate."""
-    part, deviation = expected_bits(similarity)
+    part, deviation = long_bits(similarity)
     total = 64 * LONG_WORDS
     near, spread = part * total, deviation * math.sqrt(total)
-    return int(near - 2.5 * spread), int(near + 3 * spread)
+    return int(near - 2.5 * spread), int(near + 4 * spread)
 
 
 def long_groups(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT):
@@ -443,16 +471,11 @@ def long_groups(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT):
 
 
 def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFrame:
-    """work(table sorted by key and print) yields record batches; whole groups are worked off as soon as there are enough."""
-
-    def ordered(table):
-        words = _print_words(table.column("print"))
-        order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), table.column("key").to_numpy()))
-        return table.take(pa.array(order)), words[order]
+    """work(table of whole groups) yields record batches; groups are worked off as soon as there are enough rows."""
 
     def run(batches):
         held, rows = [], 0
-        for batch in batches:
+        for batch in batches:  # sorted by key
             held.append(batch)
             rows += batch.num_rows
             if rows >= rows_at_once:
@@ -460,21 +483,28 @@ def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFr
                 keys = table.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
-                    yield from work(*ordered(table.slice(0, cut)))
+                    yield from work(table.slice(0, cut))
                     held = table.slice(cut).combine_chunks().to_batches()
                     rows = table.num_rows - cut
         if held and rows:
-            yield from work(*ordered(pa.Table.from_batches(held)))
+            yield from work(pa.Table.from_batches(held))
 
     parts = wide_partitions(dealt.sparkSession)
     return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
+def _by_print(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    words = _print_words(table.column("print"))
+    order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), table.column("key").to_numpy()))
+    return table.take(pa.array(order)), words[order]
+
+
 def keyed_links(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
     """Rows (key, node, other, sure): pairs that are surely near by their bits, as a forest of each group, and other candidates."""
     sure, most = long_budgets(similarity)
 
-    def pairs(table, words):
+    def pairs(table):
+        table, words = _by_print(table)
         key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
         forest = []
         _, unsure = long_trie_pairs(key, words, table.column("size").to_numpy(), sure, most, similarity, forest=forest)
@@ -492,7 +522,8 @@ def other_candidates(dealt: DataFrame, similarity: float, limit: int = GROUP_LIM
     sizes allow the similarity."""
     most = long_budgets(similarity)[1]
 
-    def pairs(table, words):
+    def pairs(table):
+        table, words = _by_print(table)
         node = table.column("node").to_numpy()
         label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
         for i, j, _ in _trie_walk(label, table.column("key").to_numpy(), words, table.column("size").to_numpy(), None, most, similarity):
@@ -518,43 +549,114 @@ def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
     return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} long, shingles array<long>")
 
 
+def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, shingles for wanted (node, row_hash)."""
+    wanted = staged(wanted, "simhash-ends")
+    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
+    return staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
+
+
 def alike(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (node, other) whose shingles, compared exactly, are at least similarity alike."""
     ends = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    wanted = staged(nodes.join(ends, "node", "left_semi").select("node", "row_hash"), "simhash-ends")
-    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
-    sets = staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
+    sets = sets_of(rows, nodes.join(ends, "node", "left_semi").select("node", "row_hash"), words)
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("others")), "other")
     shared = F.size(F.array_intersect("shingles", "others"))
     return both.filter(shared >= similarity * (F.size("shingles") + F.size("others") - shared) - 1e-9).select("node", "other")
 
 
+def set_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Pairs (i, j) of sets at least similarity alike that connect what all such pairs connect."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    table = np.full((len(sets), sizes.max()), flat.max() + 1)
+    table[np.arange(sizes.max()) < sizes[:, None]] = flat
+    label, held, used = np.arange(len(sets)), np.zeros(flat.max() + 2, bool), []
+    for i in range(len(sets) - 1):
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(others):
+            continue
+        own = table[i, : sizes[i]]
+        held[own] = True
+        shared = held[table[others]].sum(axis=1)
+        held[own] = False
+        near = others[shared >= similarity * (sizes[i] + sizes[others] - shared) - 1e-9]
+        used.append(_unite_by(label, np.full(len(near), i), near))
+    return np.concatenate([np.zeros((2, 0), np.int64), *used], axis=1)
+
+
+def split_groups(keyed: DataFrame, row: str, limit: int) -> DataFrame:
+    """keyed with groups above limit rows cut into chunks by a hash of row: each pair of chunks is a group of its own, so every
+    pair of rows still meets."""
+    chunks = F.ceil(F.col("count") / limit).cast("int")
+    large = staged(keyed.groupBy("key").count().filter(F.col("count") > limit).select("key", chunks.alias("chunks")), "simhash-split")
+    if large.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64(row), F.col("chunks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.xxhash64("key", F.least(own, d), F.greatest(own, d)))
+    keys = F.when(F.col("chunks").isNull(), F.array("key")).otherwise(meets)
+    columns = [c for c in keyed.columns if c != "key"]
+    return keyed.join(F.broadcast(large), "key", "left").select(F.explode(keys).alias("key"), *columns).select(keyed.columns)
+
+
+def short_links(sets: DataFrame, similarity: float, limit: int = SHORT_ROWS) -> DataFrame:
+    """sets: node, shingles. Rows (node, other) at least similarity alike that connect what all such pairs connect: two such
+    sets share one of their rarest shingles, as many as each may lack and one more."""
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    shared = each.join(each.groupBy("shingle").count().filter("count > 1"), "shingle")
+    rarest = shared.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("found"))
+    # shingles that no other set has come first
+    lacks = F.size("found") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+    first = rarest.filter(lacks > 0).select("node", F.explode(F.slice("found", F.lit(1), lacks)).alias("of")).select("node", F.col("of.shingle").alias("key"))
+    first = staged(first, "simhash-rarest")
+    dealt = split_groups(first, "node", limit).join(sets, "node").select("key", "node", "shingles")
+
+    def pairs(table):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
+        column = table.column("shingles").combine_chunks()
+        values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        links = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                begin = ends[a - 1] if a else 0
+                links.append(a + set_forest(np.split(values[begin : ends[b - 1]], ends[a : b - 1] - begin), similarity))
+        i, j = np.concatenate(links, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
+
+    return _by_groups(dealt, pairs, limit, "node long, other long").distinct()
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, row_hash, component_id: the least doc_id within reach over links of a Jaccard similarity of
     word shingles of at least similarity.
 
     The same method with a fingerprint long enough to tell such pairs: 64 * LONG_WORDS bits, whose differences are near their
     expected number. Pairs up to a budget above it are candidates: a forest of the nearest, and others between its
-    trees. Every link has had its shingles compared exactly. Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
+    trees. Every link has had its shingles compared exactly. Pairs with SHORT
+    shingles or fewer come from an exact join instead. Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
     those of near_duplicates."""
     rows = docs.select(*DOCUMENT_COLUMNS)
     marked = staged(long_fingerprints(rows, words).withColumnRenamed("set_hash", "node"), "simhash-long")
     nodes = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash"))
     nodes = staged(nodes, "simhash-nodes")
-    deal = long_groups(nodes.select("node", "print", "size"), similarity)
-    keyed = staged(keyed_links(deal(nodes.select("node", "print", "size")), similarity), "simhash-pairs")
+    few = nodes.filter(F.col("size") <= SHORT / similarity + 1e-9)
+    short = staged(short_links(sets_of(rows, few.select("node", "row_hash"), words), similarity), "simhash-short")
+    many = nodes.filter(F.col("size") > SHORT).select("node", "print", "size")
+    deal = long_groups(many, similarity)
+    keyed = staged(keyed_links(deal(many), similarity), "simhash-pairs")
     pairs = staged(keyed.select("node", "other").distinct(), "simhash-distinct")
     edges = staged(alike(rows, nodes, pairs, words, similarity), "simhash-checked")
-    roots = components(edges, "node")
+    roots = components(edges.unionByName(short), "node")
     # a pair stood for others of its group: where one failed, all that is still apart is compared
     again = staged(keyed.join(edges, ["node", "other"], "left_anti").select("key").distinct(), "simhash-again")
     if not again.isEmpty():
-        placed = nodes.select("node", "print", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = other_candidates(deal(staged(placed, "simhash-rooted")).join(if_short(again), "key", "left_semi"), similarity)
         rest = staged(rest.join(pairs, ["node", "other"], "left_anti"), "simhash-rest")
         more = staged(alike(rows, nodes, rest, words, similarity), "simhash-more")
         if not more.isEmpty():
-            roots = components(edges.unionByName(more), "node")
+            roots = components(edges.unionByName(short).unionByName(more), "node")
     placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(placed.join(ids, "root").select("node", "root", "component_id"), "simhash-named")
