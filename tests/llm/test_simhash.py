@@ -236,3 +236,14 @@ def test_short_links_of_split_groups(spark):
 def test_bits_that_differ_between_few_hashes():
     assert abs(512 * simhash.differing_part(4, 5, 4) - 96) < 1e-9
     assert simhash.long_bits(0.8)[0] > simhash.expected_bits(0.8)[0]
+
+
+def test_groups_that_stay_large_are_cut(spark):
+    prints = spark.createDataFrame([(int(x),) for x in range(256)], "fingerprint long")  # all but eight bits equal
+    groups = simhash.print_groups(prints, 4, 40)
+    assert groups.groupBy("key").count().agg(F.max("count")).first()[0] <= 80
+    whole = simhash.components(simhash.links(prints, 4)).collect()
+    assert len(whole) == 255 and sorted(map(tuple, whole)) == sorted(map(tuple, simhash.components(simhash.links(prints, 4, limit=40)).collect()))
+    rows = [(n, (255 << 8 * (n % 8)).to_bytes(64, "little"), 90) for n in range(200)]
+    nodes = spark.createDataFrame(rows, "node long, print binary, size long")
+    assert simhash.long_groups(nodes, 0.8, 40)(nodes).groupBy("key").count().agg(F.max("count")).first()[0] <= 80

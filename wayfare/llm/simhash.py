@@ -2,7 +2,7 @@
 
 Fingerprints are made distinct first, so exact copies cost one entry. Two fingerprints within the budget agree on one of
 budget + 1 blocks of bits, so each goes to one group per block; a group that is still large is dealt out again by blocks of its
-other bits, which is exact too. In a group, fingerprints are a binary trie (ranges of a sorted array): node pairs are
+other bits, and if it is large even then, its rows are cut into chunks that are joined pair by pair; both are exact. In a group, fingerprints are a binary trie (ranges of a sorted array): node pairs are
 traversed together, differing bits add up, and a pair goes once the budget is exceeded or once all below it is known to be
 connected. A group gives the edges of a forest only, never all its pairs. Edges are joined into components by alternating
 large-star and small-star steps on tables.
@@ -171,20 +171,43 @@ def _block_keys(fingerprint: Column, skip: int, blocks: int, salt: Column) -> Co
     return F.array(*(F.struct(key(k, m).alias("key"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(masks)))
 
 
-def links(prints: DataFrame, budget: int = 4, limit: int = GROUP_LIMIT) -> DataFrame:
-    """prints: distinct fingerprints. Edges (fingerprint, other) that connect the same fingerprints as all pairs within
-    budget do; for each group at most one edge per fingerprint."""
+def group_chunks(keyed: DataFrame, limit: int) -> DataFrame:
+    """key, chunks of the groups above limit rows; two chunks together have about limit rows."""
+    chunks = F.ceil(2 * F.col("count") / limit).cast("int")
+    return staged(keyed.groupBy("key").count().filter(F.col("count") > limit).select("key", chunks.alias("chunks")), "simhash-chunks")
+
+
+def split_groups(keyed: DataFrame, row: str, chunks: DataFrame) -> DataFrame:
+    """keyed with its large groups cut into chunks by a hash of row: each pair of chunks is a group of its own, so every pair
+    of rows still meets and no task holds more than about the limit, whatever the group's size."""
+    if chunks.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64(row), F.col("chunks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.xxhash64("key", F.least(own, d), F.greatest(own, d)))
+    keys = F.when(F.col("chunks").isNull(), F.array("key")).otherwise(meets)
+    columns = [c for c in keyed.columns if c != "key"]
+    return keyed.join(F.broadcast(chunks), "key", "left").select(F.explode(keys).alias("key"), *columns).select(keyed.columns)
+
+
+def print_groups(prints: DataFrame, budget: int, limit: int) -> DataFrame:
+    """key, fingerprint: fingerprints within budget share a key, and no key has many more than limit rows."""
     keyed = prints.select("fingerprint", F.explode(_block_keys(F.col("fingerprint"), 0, budget + 1, F.lit(0))).alias("b")).select("fingerprint", "b.key", "b.mask")
     large = keyed.groupBy("key", "mask").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", "mask")
     masks = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most one for each block
-    if masks:
-        held = keyed.join(large.withColumn("large", F.lit(True)), ["key", "mask"], "left")
-        again = F.array().cast("array<struct<key:bigint,mask:bigint>>")
-        for m in masks:
-            again = F.when(F.col("mask") == m, _block_keys(F.col("fingerprint"), m & (1 << BITS) - 1, budget + 1, F.col("key"))).otherwise(again)
-        own = F.array(F.struct("key", "mask"))
-        keyed = held.select("fingerprint", F.explode(F.when(F.col("large"), again).otherwise(own)).alias("b")).select("fingerprint", "b.key")
+    if not masks:
+        return keyed.select("key", "fingerprint")
+    held = keyed.join(large.withColumn("large", F.lit(True)), ["key", "mask"], "left")
+    again = F.array().cast("array<struct<key:bigint,mask:bigint>>")
+    for m in masks:
+        again = F.when(F.col("mask") == m, _block_keys(F.col("fingerprint"), m & (1 << BITS) - 1, budget + 1, F.col("key"))).otherwise(again)
+    own = F.array(F.struct("key", "mask"))
+    keyed = held.select("fingerprint", F.explode(F.when(F.col("large"), again).otherwise(own)).alias("b")).select("b.key", "fingerprint")
+    return split_groups(keyed, "fingerprint", group_chunks(keyed, limit))
+
 
+def links(prints: DataFrame, budget: int = 4, limit: int = GROUP_LIMIT) -> DataFrame:
+    """prints: distinct fingerprints. Edges (fingerprint, other) that connect the same fingerprints as all pairs within
+    budget do; for each group at most one edge per fingerprint."""
     def run(batches):
         def edges(table):
             group, prints = table.column("key").to_numpy(), table.column("fingerprint").to_numpy().view(np.uint64)
@@ -210,7 +233,7 @@ def links(prints: DataFrame, budget: int = 4, limit: int = GROUP_LIMIT) -> DataF
             yield edges(pa.Table.from_batches(held))
 
     parts = wide_partitions(prints.sparkSession)
-    return keyed.select("key", "fingerprint").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "fingerprint long, other long").distinct()
+    return print_groups(prints, budget, limit).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "fingerprint long, other long").distinct()
 
 
 def components(edges: DataFrame, node: str = "fingerprint", other: str = "other") -> DataFrame:
@@ -458,16 +481,16 @@ def long_groups(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT):
     width = max(13, math.ceil(math.log2(max(prints.count(), 2))) - 11)
     bits = block_bits(width, similarity, 1)
     large = staged(_deal(prints, bits, keys_only=True).groupBy("key").count().filter(F.col("count") > limit).select("key"), "simhash-large")
-    none = large.isEmpty()
+    if large.isEmpty():
+        return lambda rows: _deal(rows, bits)
 
-    def deal(rows: DataFrame) -> DataFrame:
+    def again(rows: DataFrame) -> DataFrame:
         keyed = _deal(rows, bits)
-        if none:
-            return keyed
-        again = _deal(keyed.join(large, "key", "left_semi").select(keyed.columns), block_bits(width, similarity, 2))
-        return keyed.join(large, "key", "left_anti").select(keyed.columns).unionByName(again)
+        sub = _deal(keyed.join(large, "key", "left_semi").select(keyed.columns), block_bits(width, similarity, 2))
+        return keyed.join(large, "key", "left_anti").select(keyed.columns).unionByName(sub)
 
-    return deal
+    chunks = group_chunks(again(prints), limit)
+    return lambda rows: split_groups(again(rows), "node", chunks)
 
 
 def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFrame:
@@ -585,20 +608,6 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return np.concatenate([np.zeros((2, 0), np.int64), *used], axis=1)
 
 
-def split_groups(keyed: DataFrame, row: str, limit: int) -> DataFrame:
-    """keyed with groups above limit rows cut into chunks by a hash of row: each pair of chunks is a group of its own, so every
-    pair of rows still meets."""
-    chunks = F.ceil(F.col("count") / limit).cast("int")
-    large = staged(keyed.groupBy("key").count().filter(F.col("count") > limit).select("key", chunks.alias("chunks")), "simhash-split")
-    if large.isEmpty():
-        return keyed
-    own = F.pmod(F.xxhash64(row), F.col("chunks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.xxhash64("key", F.least(own, d), F.greatest(own, d)))
-    keys = F.when(F.col("chunks").isNull(), F.array("key")).otherwise(meets)
-    columns = [c for c in keyed.columns if c != "key"]
-    return keyed.join(F.broadcast(large), "key", "left").select(F.explode(keys).alias("key"), *columns).select(keyed.columns)
-
-
 def short_links(sets: DataFrame, similarity: float, limit: int = SHORT_ROWS) -> DataFrame:
     """sets: node, shingles. Rows (node, other) at least similarity alike that connect what all such pairs connect: two such
     sets share one of their rarest shingles, as many as each may lack and one more."""
@@ -609,7 +618,7 @@ def short_links(sets: DataFrame, similarity: float, limit: int = SHORT_ROWS) ->
     lacks = F.size("found") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
     first = rarest.filter(lacks > 0).select("node", F.explode(F.slice("found", F.lit(1), lacks)).alias("of")).select("node", F.col("of.shingle").alias("key"))
     first = staged(first, "simhash-rarest")
-    dealt = split_groups(first, "node", limit).join(sets, "node").select("key", "node", "shingles")
+    dealt = split_groups(first, "node", group_chunks(first, limit)).join(sets, "node").select("key", "node", "shingles")
 
     def pairs(table):
         key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
