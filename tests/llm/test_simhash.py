@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfare.llm import simhash
+from wayfare.llm import similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -134,7 +134,7 @@ def test_similar_texts_against_brute_force(spark):
     texts = edited_texts()
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows + [(None, "one", None, None, None), (7, texts[7], "en", "s", 0)], SCHEMA)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df).collect()}
     assert found.pop(None) == 2
     expected = plain_similar([r[0] for r in rows], texts)
     assert len(set(expected.values())) > 20
@@ -142,35 +142,47 @@ def test_similar_texts_against_brute_force(spark):
 
 
 def test_similar_texts_of_an_empty_table_and_of_clashing_columns(spark):
-    assert simhash.similar_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert similar.similar_texts(spark.createDataFrame([], SCHEMA)).collect() == []
     odd = spark.createDataFrame([(1, "a b", "en", "s", 3, 5, 6, 7)], SCHEMA + ", node long, size long, key long")
-    assert [tuple(r)[0::3] for r in simhash.similar_texts(odd).select("doc_id", "row_hash", "root", "component_id").collect()] == [(1, 1)]
+    assert [tuple(r)[0::3] for r in similar.similar_texts(odd).select("doc_id", "row_hash", "root", "component_id").collect()] == [(1, 1)]
 
 
-def test_large_groups_of_long_fingerprints_are_dealt_out_again(spark):
+def test_similar_texts_in_small_pieces_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SET_ROWS", 10)
     texts = edited_texts(5)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    nodes = simhash.long_fingerprints(df, 5).select(F.xxhash64("print", "size").alias("node"), "print", "size").dropDuplicates(["node"]).cache()
-    whole = simhash.components(simhash.long_links(nodes, 0.8).filter("sure").drop("sure"), "node").collect()
-    small = simhash.components(simhash.long_links(nodes, 0.8, limit=10).filter("sure").drop("sure"), "node").collect()
-    assert whole and sorted(map(tuple, whole)) == sorted(map(tuple, small))
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=1, limit=10).collect()}
+    assert found == plain_similar(range(len(texts)), texts)
+
+
+def test_a_large_cluster_of_near_copies(spark):
+    """Members from 0.99 to 0.3 alike; most of them have more candidates than they keep."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 9)):
+            words[at] = f"edit{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    expected = plain_similar(range(len(texts)), texts)
+    assert 1 < len(set(expected.values())) < 400
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=2).collect()} == expected
 
 
-def test_long_trie_pairs_against_all_pairs():
+def test_trie_walk_against_all_pairs():
     rng = np.random.default_rng(2)
-    flips = lambda p: np.packbits(rng.random((40, 64 * simhash.LONG_WORDS)) < p, axis=1).view(np.uint64)
-    center = rng.integers(0, 2**63, (6, simhash.LONG_WORDS), dtype=np.uint64)
+    flips = lambda p: np.packbits(rng.random((40, 64 * similar.LONG_WORDS)) < p, axis=1).view(np.uint64)
+    center = rng.integers(0, 2**63, (6, similar.LONG_WORDS), dtype=np.uint64)
     prints = np.concatenate([c ^ flips(p) for c, p in zip(center, (0.01, 0.03, 0.05, 0.08, 0.1, 0.3), strict=True)])
     prints = prints[np.lexsort(prints.T[::-1])]
     n = len(prints)
-    label, (i, j) = simhash.long_trie_pairs(np.zeros(n, np.int64), prints, np.full(n, 9), 50, 100, 0.8, chunk=50)
+    label = rng.integers(0, 200, n)
+    walked = np.concatenate([np.zeros((3, 0), np.int64), *similar.trie_walk(label, np.zeros(n, np.int64), prints, np.full(n, 9), 100, 0.8, chunk=50)], axis=1)
     far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    linked = far <= 50
-    for _ in range(n):
-        linked = linked @ linked
-    assert (linked == (label[:, None] == label[None])).all()
-    near = {(min(label[a], label[b]), max(label[a], label[b])) for a, b in np.argwhere(far <= 100) if label[a] != label[b]}
-    assert {(min(label[a], label[b]), max(label[a], label[b])) for a, b in zip(i, j, strict=True)} == near
+    expected = sorted((a, b, int(far[a, b])) for a in range(n) for b in range(a + 1, n) if far[a, b] <= 100 and label[a] != label[b])
+    assert sorted((min(i, j), max(i, j), bits) for i, j, bits in walked.T.tolist()) == expected and expected
 
 
 def test_a_farther_member_of_a_cluster_links_where_the_nearest_fails(spark, monkeypatch):
@@ -186,16 +198,16 @@ def test_a_farther_member_of_a_cluster_links_where_the_nearest_fails(spark, monk
     assert set(expected.values()) == {0}
 
     def crafted(hashes, counts):
-        out = np.full((12, simhash.LONG_WORDS), 2**64 - 1, np.uint64)
+        out = np.full((12, similar.LONG_WORDS), 2**64 - 1, np.uint64)
         out[1:, 1] ^= np.uint64(1023)  # 10 bits that the last shares with all but the first
         out[np.arange(1, 11), 2] ^= np.uint64(1) << np.arange(10, dtype=np.uint64)
         out[11, 0] = 0  # 71 bits from the others, 80 from the first
         out[11, 3] ^= np.uint64(63)
         return out
 
-    monkeypatch.setattr(simhash, "long_fold", crafted)
+    monkeypatch.setattr(similar, "long_fold", crafted)
     df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df).collect()} == expected
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df).collect()} == expected
 
 
 def test_near_bits_alone_are_no_link(spark, monkeypatch):
@@ -203,8 +215,8 @@ def test_near_bits_alone_are_no_link(spark, monkeypatch):
     # 0.75, 0.78 and 0.79 alike; the last two have equal sizes and unlike sets
     texts = [" ".join(words[a:b]) for a, b in ((0, 10), (0, 12), (12, 23), (12, 25))] + ["p q r s t u", "v w x y z u"]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    monkeypatch.setattr(simhash, "long_fold", lambda hashes, counts: np.ones((len(counts), simhash.LONG_WORDS), np.uint64))
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.setattr(similar, "long_fold", lambda hashes, counts: np.ones((len(counts), similar.LONG_WORDS), np.uint64))
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == plain_similar(range(6), texts) == {i: i for i in range(6)}
 
 
@@ -220,7 +232,7 @@ def few_words(seed=11, families=60):
 
 def test_similar_texts_of_few_words_against_brute_force(spark):
     texts = few_words()
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert found == plain_similar(range(len(texts)), texts)
 
 
@@ -228,14 +240,14 @@ def test_short_links_of_split_groups(spark):
     rng = np.random.default_rng(4)
     sets = [(n, sorted({*range(20), *rng.integers(20, 26, 3).tolist()})) for n in range(90)]
     df = spark.createDataFrame(sets, "node long, shingles array<long>").cache()
-    whole = simhash.components(simhash.short_links(df, 0.8), "node").collect()
-    small = simhash.components(simhash.short_links(df, 0.8, limit=10), "node").collect()
+    whole = simhash.components(similar.short_links(df, 0.8), "node").collect()
+    small = simhash.components(similar.short_links(df, 0.8, limit=10), "node").collect()
     assert len(whole) == 89 and sorted(map(tuple, whole)) == sorted(map(tuple, small))
 
 
 def test_bits_that_differ_between_few_hashes():
-    assert abs(512 * simhash.differing_part(4, 5, 4) - 96) < 1e-9
-    assert simhash.long_bits(0.8)[0] > simhash.expected_bits(0.8)[0]
+    assert abs(512 * similar.differing_part(4, 5, 4) - 96) < 1e-9
+    assert similar.long_bits(0.8)[0] > similar.expected_bits(0.8)[0]
 
 
 def test_groups_that_stay_large_are_cut(spark):
@@ -246,4 +258,4 @@ def test_groups_that_stay_large_are_cut(spark):
     assert len(whole) == 255 and sorted(map(tuple, whole)) == sorted(map(tuple, simhash.components(simhash.links(prints, 4, limit=40)).collect()))
     rows = [(n, (255 << 8 * (n % 8)).to_bytes(64, "little"), 90) for n in range(200)]
     nodes = spark.createDataFrame(rows, "node long, print binary, size long")
-    assert simhash.long_groups(nodes, 0.8, 40)(nodes).groupBy("key").count().agg(F.max("count")).first()[0] <= 80
+    assert similar.long_groups(nodes, 0.8, 13, 40)(nodes).groupBy("key").count().agg(F.max("count")).first()[0] <= 80

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +33,71 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def row_hash() -> Column:
+    """128 bits that stand for a whole row: two hashes of all columns and of which of them are null."""
+    marked = [x for c in DOCUMENT_COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(SECOND_SEED), *marked).alias("b"))
+
+
+SECOND_SEED = 0x5EED
+ROW_HASH = "struct<a:bigint,b:bigint>"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block; afterwards they are what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset
-    (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    one of its own; on a cluster it is an error, as executors can't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows and MB of one Arrow batch, so that a batch of long texts fits a Python worker.
+BATCH_ROWS, BATCH_MB = 1000, 2
+
+
+def staged(df: DataFrame, name: str, rows: int = BATCH_ROWS, mb: int = BATCH_MB) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: cuts the lineage, and what comes after doesn't
-    repeat the work when an executor is lost."""
+    repeat the work when an executor is lost. Shuffle files of the write go when it is done. rows and mb bound the Arrow
+    batches of the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    with settings(spark, wanted):
+        df.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a list of keys that goes to all tasks; a longer one is joined by shuffle.
@@ -59,10 +108,12 @@ def if_short(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(LIST_ROWS + 1).count() <= LIST_ROWS else rows
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bound one Arrow batch by rows and bytes, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def sliced(batches, rows: int = BATCH_ROWS, mb: int = BATCH_MB):
+    """Arrow batches in slices of at most so many rows and about so many MB."""
+    for batch in batches:
+        step = max(1, min(rows, int(batch.num_rows * (mb << 20) / max(batch.nbytes, 1))))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
 
 
 def wide_partitions(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, small_batches, staged, text_of
+from .common import ROW_HASH, row_hash, sliced, staged, text_of
 
 SYMBOLS, BITS, ORDER = 64, 6, 4
 #: Labels that are broadcast at most; beyond that documents and labels are joined by shuffle.
@@ -74,7 +74,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen = np.zeros(SYMBOLS**ORDER, np.int32)
-        for batch in batches:
+        for batch in sliced(batches):
             codes, _ = grams(batch.column("text").to_pylist())
             for a in range(0, len(codes), 1 << 20):
                 code, n = np.unique(codes[a : a + (1 << 20)], return_counts=True)
@@ -133,7 +133,6 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Per document: doc_id, row_hash, lang, symbols, surprise (minus the sum of the logarithms)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000, 2)
     learned = staged(count_grams(trusted), "kn-trusted")
     corpus = staged(count_grams(docs), "kn-corpus")
     table = model(learned, corpus).toArrow()  # SYMBOLS ** ORDER rows at most
@@ -143,7 +142,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         gram, value = shared.value
         logp = np.zeros(SYMBOLS**ORDER, np.float32)
         logp[gram] = value
-        for batch in batches:
+        for batch in sliced(batches):
             codes, counts = grams(batch.column("text").to_pylist())
             out = np.zeros(len(counts))
             full = np.flatnonzero(counts)
@@ -153,8 +152,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             kept = [batch.column(c) for c in ("doc_id", "row_hash", "lang")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(out)], names=["doc_id", "row_hash", "lang", "symbols", "surprise"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), "lang", text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, lang string, symbols long, surprise double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), "lang", text_of().alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, row_hash {ROW_HASH}, lang string, symbols long, surprise double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, staged, text_of, word_count
+from .common import DOCUMENT_COLUMNS, row_hash, staged, text_of, word_count
 
 #: Rows of one (source, size) that one task ranks together; larger groups are split by hash.
 GROUP_ROWS = 4096
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, cap: float
     """Per document: doc_id, source, row_hash, size, source_size, target (its source's), copies, taken = copies * size."""
     sized = staged(
         docs.select(
-            "doc_id", "source", F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), word_count(text_of()).alias("size"),
+            "doc_id", "source", row_hash().alias("row_hash"), word_count(text_of()).alias("size"),
         ).withColumn("order_hash", F.xxhash64(F.lit(seed), "doc_id", "row_hash")),
         "mix-sized",
     )
@@ -157,5 +157,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Equal rows are brought together first, as they can't be told
     apart; that and the join use one shuffle of the texts."""
     chosen = mix(docs, **how).groupBy("row_hash").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    keyed = docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).dropDuplicates(["row_hash"])
+    keyed = docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", row_hash()).dropDuplicates(["row_hash"])
     return keyed.join(chosen, "row_hash").select(*DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import staged
 
 SAMPLE = 16_384
 CENTROIDS = 32
@@ -126,7 +126,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    small_batches(spark, 4096, 16)
     common = vectors.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None or common["dim"] == 0:
         return empty

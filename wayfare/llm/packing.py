@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, small_batches, staged, text_of, wide_partitions
+from .common import row_hash, sliced, staged, text_of, wide_partitions
 from .tokens import KEPT, default_vocabulary, encoder, release
 
 WINDOW = 2048
@@ -47,7 +47,7 @@ def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int, kept:
             row = (part, lane, [d for h in held for d in h[2]], [s for h in held for s in h[3]], counts.tolist(), ids.tobytes(), ids.dtype.itemsize > 2)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches, 500, 2):
             ids, counts = encoder(vocabulary, kept).encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id)
             held.append((ids, counts + 1, batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()))
@@ -58,11 +58,9 @@ def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int, kept:
         if held:
             yield flush()
 
-    spark = docs.sparkSession
-    small_batches(spark, 500, 2)
-    dealt = docs.select("doc_id", "source", text_of().alias("text"), F.xxhash64(*DOCUMENT_COLUMNS).alias("order"))
-    dealt = dealt.repartition(wide_partitions(spark), "order").sortWithinPartitions("order", "doc_id")
-    return staged(dealt.select("doc_id", "source", "text").mapInArrow(run, LANE), "pack-lanes")
+    dealt = docs.select("doc_id", "source", text_of().alias("text"), row_hash()["a"].alias("order"))
+    dealt = dealt.repartition(wide_partitions(docs.sparkSession), "order").sortWithinPartitions("order", "doc_id")
+    return staged(dealt.select("doc_id", "source", "text").mapInArrow(run, LANE), "pack-lanes", 500)
 
 
 def serve(sources: list, counts: list[int], shares: dict, owed: dict, window: int, least: int) -> np.ndarray:
@@ -164,5 +162,4 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, voc
                 for k in range(0, whole.num_rows, 1024):
                     yield whole.slice(k, 1024)
 
-    small_batches(docs.sparkSession, 2, 4)
     return joined.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, staged, text_of
+from .common import row_hash, staged, text_of
 
 # The patterns of the base kinds and the least length of what they find.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     verdict live, copied or weak)."""
     text = text_of()
     found = staged(
-        docs.select("doc_id", F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("_text"))
+        docs.select("doc_id", row_hash().alias("row_hash"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("_text"))
         .select("doc_id", "row_hash", "repository", "owner", base_spans(F.col("_text")).alias("base"), entropy_spans(F.col("_text")).alias("entropy")),
         "secret-spans",
     )

@@ -14,7 +14,6 @@ gives an empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import math
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, if_short, small_batches, staged, text_of, wide_partitions
+from .common import DOCUMENT_COLUMNS, discard, row_hash, sliced, staged, text_of, wide_partitions
 
 BITS = 64
 #: Fingerprints of a group that go to one task; larger groups are dealt out by further blocks.
@@ -71,13 +70,12 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id") -> DataFr
     """key, fingerprint (long) of every whole text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fold(flat, counts).view(np.int64))], names=[key, "fingerprint"])
 
-    small_batches(docs.sparkSession, 1000, 2)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} {kind}, fingerprint long")
 
@@ -92,23 +90,6 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _unite_by(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """_unite that returns the pairs (i, j) it needed, a forest."""
-    used = []
-    while len(i):
-        a, b = label[i], label[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        high, low = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((low, high))
-        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))] if len(order) else order
-        label[high[first]] = low[first]
-        used.append(np.stack((i[first], j[first])))
-        while (label != (up := label[label])).any():
-            label[:] = up
-    return np.concatenate(used, axis=1) if used else np.zeros((2, 0), np.int64)
-
-
 def trie_components(group: np.ndarray, prints: np.ndarray, budget: int, chunk: int = 200_000) -> np.ndarray:
     """Labels: equal if linked, over pairs of one group within budget bits. (group, prints) is sorted and without repeats."""
     n = len(prints)
@@ -249,7 +230,8 @@ def components(edges: DataFrame, node: str = "fingerprint", other: str = "other"
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        edge = staged(small, "edges")
+        stale, edge = edge, staged(small, "edges")
+        discard(stale)
         now = mark(edge)
         if now == seen:
             return edge.select(F.col("u").alias(node), F.col("v").alias("root"))
@@ -258,7 +240,7 @@ def components(edges: DataFrame, node: str = "fingerprint", other: str = "other"
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """Per document: doc_id, row_hash, fingerprint (long), component_id, the least doc_id within reach."""
-    keyed = docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).withColumn("key", F.struct("doc_id", "row_hash"))
+    keyed = docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", row_hash()).withColumn("key", F.struct("doc_id", "row_hash"))
     marked = staged(fingerprints(keyed, words, "key").select("key.doc_id", "key.row_hash", "fingerprint"), "simhash-prints")
     prints = staged(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(prints.select("fingerprint"), budget))
@@ -270,403 +252,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFra
 
 def hex_print(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
-
-
-#: Words of 64 bits in a long fingerprint, and the part of the linked pairs that some block of bits has to bring together.
-LONG_WORDS, BLOCK_RECALL = 8, 0.999
-#: Up to so many shingles texts are found by an exact join, as the bits of few shingles vary too much; rows of a group of that
-#: join that are compared at once.
-SHORT, SHORT_ROWS = 48, 20_000
-#: Bits that split trie nodes; below, nodes are split in the middle.
-SPLIT_BITS = 128
-
-
-def expected_bits(similarity: float) -> tuple[float, float]:
-    """Part of the bits that differ between sets of equal size with this Jaccard similarity, and its standard deviation in
-    one bit: the angle of the two sets over pi."""
-    part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return part, math.sqrt(part * (1 - part))
-
-
-def differing_part(n: int, m: int, shared: int) -> float:
-    """Part of the bits that differ in the mean between sets of n and m hashes, ties counted as they are: a bit of the shared
-    ones is set in x of them, and each set's others decide the rest on their own."""
-    weights = lambda k: np.array([math.comb(k, x) / 2**k for x in range(k + 1)])
-    at = np.arange(shared + 1)
-
-    def set_bit(total: int) -> np.ndarray:
-        above = np.append(np.cumsum(weights(total - shared)[::-1])[::-1], 0.0)
-        return above[np.clip(total // 2 + 1 - at, 0, total - shared + 1)]
-
-    a, b = set_bit(n), set_bit(m)
-    return float((weights(shared) * (a * (1 - b) + b * (1 - a))).sum())
-
-
-def long_bits(similarity: float) -> tuple[float, float]:
-    """expected_bits, but of the worst pair at the similarity with more than SHORT shingles; more shingles differ less."""
-    part = expected_bits(similarity)[0]
-    for n in range(SHORT + 1, SHORT + 9):
-        for m in range(n, int(n / similarity + 1e-9) + 1):
-            shared = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
-            if shared <= n:
-                part = max(part, differing_part(n, m, shared))
-    return part, math.sqrt(part * (1 - part))
-
-
-def long_fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """LONG_WORDS fingerprints for each run of hashes, each from another mixing of the hashes."""
-    out = np.zeros((len(counts), LONG_WORDS), np.uint64)
-    for k in range(LONG_WORDS):
-        h = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = fold(h ^ (h >> np.uint64(32)), counts)
-    return out
-
-
-def _sets(texts: list, words: int) -> list[np.ndarray]:
-    return [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts]
-
-
-def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, row_hash, print (binary), size (different shingles) and set_hash (of the shingles) of every whole text."""
-
-    def run(batches):
-        for batch in batches:
-            sets = _sets(batch.column("text").to_pylist(), words)
-            counts = np.fromiter(map(len, sets), np.int64, len(sets))
-            prints = long_fold(np.concatenate(sets) if sets else np.zeros(0, np.uint64), counts)
-            binary = pa.array([row.tobytes() for row in prints], pa.binary())
-            whole = pa.array(np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), binary, pa.array(counts), whole], names=["doc_id", "row_hash", "print", "size", "set_hash"])
-
-    small_batches(docs.sparkSession, 1000, 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*DOCUMENT_COLUMNS).alias("row_hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, print binary, size long, set_hash long")
-
-
-def _print_words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LONG_WORDS)
-
-
-def block_bits(width: int, similarity: float, seed: int) -> np.ndarray:
-    """The bits of each block. There are so many blocks that a pair at the similarity agrees on one with BLOCK_RECALL."""
-    agree = (1 - long_bits(similarity)[0]) ** width
-    blocks = math.ceil(math.log(1 - BLOCK_RECALL) / math.log(1 - agree))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(64 * LONG_WORDS, width, replace=False) for _ in range(blocks)])
-
-
-def _deal(rows: DataFrame, bits: np.ndarray, keys_only: bool = False) -> DataFrame:
-    """Each row once for each block under a key of the block's bits (and of the key that it has already)."""
-    names = [c for c in rows.columns if c != "key"]
-    schema = ", ".join(["key long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)])
-
-    def run(batches):
-        weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
-        for batch in batches:
-            held = np.unpackbits(_print_words(batch.column("print")).view(np.uint8), axis=1).astype(np.uint64)
-            key = np.stack([held[:, b] @ weights for b in bits], axis=1) + (np.arange(len(bits), dtype=np.uint64) << np.uint64(40))
-            if "key" in batch.schema.names:
-                key ^= batch.column("key").to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-            key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            key = pa.array((key ^ (key >> np.uint64(27))).reshape(-1).view(np.int64))
-            if keys_only:
-                yield pa.RecordBatch.from_arrays([key], names=["key"])
-            else:
-                at = pa.array(np.repeat(np.arange(batch.num_rows), len(bits)))
-                yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(at) for c in names)], names=["key", *names])
-
-    return rows.mapInArrow(run, "key long" if keys_only else schema)
-
-
-def _pairs_within(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j and their differing bits; a pair goes at the word where it exceeds the budget."""
-    bits = np.zeros(len(i), np.int64)
-    for k in range(LONG_WORDS):
-        bits = bits + np.bitwise_count(prints[i, k] ^ prints[j, k])
-        near = bits <= most
-        i, j, bits = i[near], j[near], bits[near]
-    return i, j, bits
-
-
-def long_trie_pairs(group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int, most: int, ratio: float, chunk: int = 5_000, forest: list | None = None):
-    """Within groups: labels (equal if linked over pairs of at most sure bits) and the pairs (i, j) of up to most bits between
-    different labels whose sizes allow the ratio; of these the nearest of each row to each label. Rows are sorted by group and
-    print. forest gets the pairs (i, j) of at most sure bits that the labels come from."""
-    label = np.arange(len(prints))
-
-    def nearest(pairs: np.ndarray) -> np.ndarray:
-        i, j, bits = pairs
-        order = np.lexsort((bits, label[j], i))
-        i, to = i[order], label[j[order]]
-        first = np.concatenate(([True], (i[1:] != i[:-1]) | (to[1:] != to[:-1]))) if len(i) else np.zeros(0, bool)
-        return pairs[:, order[first]]
-
-    found = np.zeros((3, 0), np.int64)
-    for pairs in _trie_walk(label, group, prints, sizes, sure, most, ratio, chunk, forest):
-        found = np.concatenate((found, pairs), axis=1)
-        if found.shape[1] > 1_000_000:
-            found = nearest(found)
-    return label, nearest(found)[:2]
-
-
-def _trie_walk(label: np.ndarray, group: np.ndarray, prints: np.ndarray, sizes: np.ndarray, sure: int | None, most: int, ratio: float, chunk: int = 5_000, forest: list | None = None):
-    """Unites label over pairs of at most sure bits (None: label stays as given), then yields all pairs (i, j, bits) of up to
-    most bits between different labels whose sizes allow the ratio."""
-    n = len(prints)
-    forest = [] if forest is None else forest
-    ones = np.zeros((SPLIT_BITS, n + 1), np.int32)
-    for d in range(SPLIT_BITS):
-        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    ends = np.append(starts[1:], n)
-    starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
-    if sure is not None:
-        beside = np.flatnonzero(group[1:] == group[:-1])  # neighbours in order connect most of a cluster at once
-        forest.append(_unite_by(label, *_pairs_within(prints, beside, beside + 1, sure)[:2]))
-    for budget in (most,) if sure is None else (sure, most):
-        changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-        stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
-        while stack:
-            d, a, ae, b, be, err = stack.pop()
-            if len(a) > chunk:
-                half = len(a) // 2
-                stack += [(d, *(x[half:] for x in (a, ae, b, be, err))), (d, *(x[:half] for x in (a, ae, b, be, err)))]
-                continue
-            known = (changes[ae - 1] == changes[a]) & (changes[be - 1] == changes[b]) & (label[a] == label[b])
-            few = (ae - a) * (be - b) <= 64
-            leaf, deep = few & ~known, ~few & ~known
-            if leaf.any():
-                la, lb, na, nb = a[leaf], b[leaf], (ae - a)[leaf], (be - b)[leaf]
-                pairs = na * nb
-                at = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-                width = np.repeat(nb, pairs)
-                i, j = np.repeat(la, pairs) + at // width, np.repeat(lb, pairs) + at % width
-                apart = (label[i] != label[j]) & (i != j)
-                i, j, bits = _pairs_within(prints, i[apart], j[apart], budget)
-                if budget == sure and len(i):
-                    forest.append(_unite_by(label, i, j))
-                    changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-                elif len(i):
-                    fits = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
-                    yield np.stack((i, j, bits))[:, fits]
-            if not deep.any():
-                continue
-            a, ae, b, be, err = (x[deep] for x in (a, ae, b, be, err))
-            if d < SPLIT_BITS:
-                am, bm = ae - (ones[d, ae] - ones[d, a]), be - (ones[d, be] - ones[d, b])
-            else:
-                am, bm = (a + ae) // 2, (b + be) // 2
-            step = np.int16(d < SPLIT_BITS)
-            same = (a == b) & (ae == be)
-            children = [(a, am, b, bm, err), (am, ae, bm, be, err), (a, am, bm, be, err + step)]
-            children.append(tuple(x[~same] for x in (am, ae, b, bm, err + step)))
-            a, ae, b, be, err = (np.concatenate(x) for x in zip(*children, strict=True))
-            keep = (ae > a) & (be > b) & (err <= budget)
-            if keep.any():
-                stack.append((d + 1, *(x[keep] for x in (a, ae, b, be, err))))
-
-
-def long_budgets(similarity: float) -> tuple[int, int]:
-    """Bits up to which a pair stands for its group's other pairs unless the exact check fails, and up to which it is a candidate."""
-    part, deviation = long_bits(similarity)
-    total = 64 * LONG_WORDS
-    near, spread = part * total, deviation * math.sqrt(total)
-    return int(near - 2.5 * spread), int(near + 4 * spread)
-
-
-def long_groups(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT):
-    """A function that deals rows with the columns of prints (and others) into the groups of prints."""
-    # a group of random prints has about 2 ** 11 of them, however many there are
-    width = max(13, math.ceil(math.log2(max(prints.count(), 2))) - 11)
-    bits = block_bits(width, similarity, 1)
-    large = staged(_deal(prints, bits, keys_only=True).groupBy("key").count().filter(F.col("count") > limit).select("key"), "simhash-large")
-    if large.isEmpty():
-        return lambda rows: _deal(rows, bits)
-
-    def again(rows: DataFrame) -> DataFrame:
-        keyed = _deal(rows, bits)
-        sub = _deal(keyed.join(large, "key", "left_semi").select(keyed.columns), block_bits(width, similarity, 2))
-        return keyed.join(large, "key", "left_anti").select(keyed.columns).unionByName(sub)
-
-    chunks = group_chunks(again(prints), limit)
-    return lambda rows: split_groups(again(rows), "node", chunks)
-
-
-def _by_groups(dealt: DataFrame, work, rows_at_once: int, schema: str) -> DataFrame:
-    """work(table of whole groups) yields record batches; groups are worked off as soon as there are enough rows."""
-
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:  # sorted by key
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= rows_at_once:
-                table = pa.Table.from_batches(held)
-                keys = table.column("key").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield from work(table.slice(0, cut))
-                    held = table.slice(cut).combine_chunks().to_batches()
-                    rows = table.num_rows - cut
-        if held and rows:
-            yield from work(pa.Table.from_batches(held))
-
-    parts = wide_partitions(dealt.sparkSession)
-    return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
-
-
-def _by_print(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    words = _print_words(table.column("print"))
-    order = np.lexsort((*(words[:, k] for k in reversed(range(LONG_WORDS))), table.column("key").to_numpy()))
-    return table.take(pa.array(order)), words[order]
-
-
-def keyed_links(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Rows (key, node, other, sure): pairs that are surely near by their bits, as a forest of each group, and other candidates."""
-    sure, most = long_budgets(similarity)
-
-    def pairs(table):
-        table, words = _by_print(table)
-        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-        forest = []
-        _, unsure = long_trie_pairs(key, words, table.column("size").to_numpy(), sure, most, similarity, forest=forest)
-        linked = np.concatenate([np.zeros((2, 0), np.int64), *forest], axis=1)
-        a, b = np.concatenate((linked, unsure), axis=1)
-        safe = np.arange(len(a)) < linked.shape[1]
-        least, greatest = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(least), pa.array(greatest), pa.array(safe)], names=["key", "node", "other", "sure"])
-
-    return _by_groups(dealt, pairs, min(limit, 20_000), "key long, node long, other long, sure boolean")
-
-
-def other_candidates(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """dealt has a column root. Rows (node, other): in each group every pair between different roots within the budget whose
-    sizes allow the similarity."""
-    most = long_budgets(similarity)[1]
-
-    def pairs(table):
-        table, words = _by_print(table)
-        node = table.column("node").to_numpy()
-        label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
-        for i, j, _ in _trie_walk(label, table.column("key").to_numpy(), words, table.column("size").to_numpy(), None, most, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
-
-    return _by_groups(dealt, pairs, min(limit, 20_000), "node long, other long").distinct()
-
-
-def long_links(prints: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
-    """prints: node, print, size. Rows (node, other, sure) of all groups as of keyed_links."""
-    dealt = long_groups(prints, similarity, limit)(prints)
-    return keyed_links(dealt, similarity, limit).groupBy("node", "other").agg(F.max("sure").alias("sure"))
-
-
-def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
-    """key, shingles: the different hashes of every whole text."""
-
-    def run(batches):
-        for batch in batches:
-            sets = [s.view(np.int64) for s in _sets(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
-
-    return docs.select(key, text_of().alias("text")).mapInArrow(run, f"{key} long, shingles array<long>")
-
-
-def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles for wanted (node, row_hash)."""
-    wanted = staged(wanted, "simhash-ends")
-    texts = rows.withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(if_short(wanted), "row_hash").select("node", "text")
-    return staged(shingle_sets(texts, words, "node").dropDuplicates(["node"]), "simhash-sets")
-
-
-def alike(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (node, other) whose shingles, compared exactly, are at least similarity alike."""
-    ends = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    sets = sets_of(rows, nodes.join(ends, "node", "left_semi").select("node", "row_hash"), words)
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("others")), "other")
-    shared = F.size(F.array_intersect("shingles", "others"))
-    return both.filter(shared >= similarity * (F.size("shingles") + F.size("others") - shared) - 1e-9).select("node", "other")
-
-
-def set_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Pairs (i, j) of sets at least similarity alike that connect what all such pairs connect."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    table = np.full((len(sets), sizes.max()), flat.max() + 1)
-    table[np.arange(sizes.max()) < sizes[:, None]] = flat
-    label, held, used = np.arange(len(sets)), np.zeros(flat.max() + 2, bool), []
-    for i in range(len(sets) - 1):
-        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        if not len(others):
-            continue
-        own = table[i, : sizes[i]]
-        held[own] = True
-        shared = held[table[others]].sum(axis=1)
-        held[own] = False
-        near = others[shared >= similarity * (sizes[i] + sizes[others] - shared) - 1e-9]
-        used.append(_unite_by(label, np.full(len(near), i), near))
-    return np.concatenate([np.zeros((2, 0), np.int64), *used], axis=1)
-
-
-def short_links(sets: DataFrame, similarity: float, limit: int = SHORT_ROWS) -> DataFrame:
-    """sets: node, shingles. Rows (node, other) at least similarity alike that connect what all such pairs connect: two such
-    sets share one of their rarest shingles, as many as each may lack and one more."""
-    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    shared = each.join(each.groupBy("shingle").count().filter("count > 1"), "shingle")
-    rarest = shared.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("found"))
-    # shingles that no other set has come first
-    lacks = F.size("found") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-    first = rarest.filter(lacks > 0).select("node", F.explode(F.slice("found", F.lit(1), lacks)).alias("of")).select("node", F.col("of.shingle").alias("key"))
-    first = staged(first, "simhash-rarest")
-    dealt = split_groups(first, "node", group_chunks(first, limit)).join(sets, "node").select("key", "node", "shingles")
-
-    def pairs(table):
-        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-        column = table.column("shingles").combine_chunks()
-        values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        links = [np.zeros((2, 0), np.int64)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1:
-                begin = ends[a - 1] if a else 0
-                links.append(a + set_forest(np.split(values[begin : ends[b - 1]], ends[a : b - 1] - begin), similarity))
-        i, j = np.concatenate(links, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
-
-    return _by_groups(dealt, pairs, limit, "node long, other long").distinct()
-
-
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, row_hash, component_id: the least doc_id within reach over links of a Jaccard similarity of
-    word shingles of at least similarity.
-
-    The same method with a fingerprint long enough to tell such pairs: 64 * LONG_WORDS bits, whose differences are near their
-    expected number. Pairs up to a budget above it are candidates: a forest of the nearest, and others between its
-    trees. Every link has had its shingles compared exactly. Pairs with SHORT
-    shingles or fewer come from an exact join instead. Agreement on a block of bits finds a pair at the similarity with BLOCK_RECALL, nearer ones more surely. Defined cases are
-    those of near_duplicates."""
-    rows = docs.select(*DOCUMENT_COLUMNS)
-    marked = staged(long_fingerprints(rows, words).withColumnRenamed("set_hash", "node"), "simhash-long")
-    nodes = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min("row_hash").alias("row_hash"))
-    nodes = staged(nodes, "simhash-nodes")
-    few = nodes.filter(F.col("size") <= SHORT / similarity + 1e-9)
-    short = staged(short_links(sets_of(rows, few.select("node", "row_hash"), words), similarity), "simhash-short")
-    many = nodes.filter(F.col("size") > SHORT).select("node", "print", "size")
-    deal = long_groups(many, similarity)
-    keyed = staged(keyed_links(deal(many), similarity), "simhash-pairs")
-    pairs = staged(keyed.select("node", "other").distinct(), "simhash-distinct")
-    edges = staged(alike(rows, nodes, pairs, words, similarity), "simhash-checked")
-    roots = components(edges.unionByName(short), "node")
-    # a pair stood for others of its group: where one failed, all that is still apart is compared
-    again = staged(keyed.join(edges, ["node", "other"], "left_anti").select("key").distinct(), "simhash-again")
-    if not again.isEmpty():
-        placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = other_candidates(deal(staged(placed, "simhash-rooted")).join(if_short(again), "key", "left_semi"), similarity)
-        rest = staged(rest.join(pairs, ["node", "other"], "left_anti"), "simhash-rest")
-        more = staged(alike(rows, nodes, rest, words, similarity), "simhash-more")
-        if not more.isEmpty():
-            roots = components(edges.unionByName(short).unionByName(more), "node")
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(placed.join(ids, "root").select("node", "root", "component_id"), "simhash-named")
-    return marked.join(named, "node").select("doc_id", "row_hash", "root", "component_id")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, text_of, wide_partitions
+from .common import settings, shared_dir, sliced, text_of, wide_partitions
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"WFT1"
@@ -88,7 +88,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             doc_ids = [d for h in held for d in h[2]]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, block, first, len(doc_ids), len(ids), doc_ids, pack_block(ids, counts)), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in sliced(batches, 1000, 4):
             ids, counts = encoder(vocabulary).encode(batch.column("text").to_pylist())
             ends = np.cumsum(counts)
             held.append((np.insert(ids, ends, end_id), counts + 1, batch.column("doc_id").to_pylist()))
@@ -100,21 +100,21 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
             yield flush()
 
     spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
     ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange(wide_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(path)
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    with settings(spark, bounds):
+        ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids before it in the store), n_tokens, ids (binary, uint32 little-endian)."""
-    small_batches(spark, 16, 8)
     blocks = spark.read.schema(BLOCK).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row for each shard, that is for each partition that was written
     before = shards.select(F.col("shard").alias("of"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 16, 8):
             for start, first, doc_ids, payload in zip(*(batch.column(c).to_pylist() for c in ("shard_start", "first_token", "doc_ids", "payload")), strict=True):
                 ids, counts = unpack_block(payload)
                 ends = np.cumsum(counts, dtype=np.int64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import sliced, text_of
 
 SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 20_000
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 2000, 8):
             texts = batch.column("text").to_pylist()
             x, tags, counts = scorer.summaries(texts)
             scores = scorer.scores(x) if both else np.zeros(len(texts))
@@ -297,6 +297,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
             spans = [spans_of(t, tags[e - c : e]) if m >= SPAN_LEAST else [] for t, e, c, m in zip(texts, ends, counts, x[:, 1], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array(spans, schema.types[3])], schema=schema)
 
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, spans array<struct<start:long,end:long>>")
