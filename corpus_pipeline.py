@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import kneser_ney, mixing, packing, secret_scan, simhash
-from wayfare.llm.common import DOCUMENT_COLUMNS, documents, if_short, read_table, staged
+from wayfare.llm import kneser_ney, mixing, packing, secret_scan, similar
+from wayfare.llm.common import DOCUMENT_COLUMNS, documents, if_short, read_table, row_hash, staged
 
 #: Pieces of text whose ids a packing worker keeps: fewer than by default, as after four stages executors hold more.
 KEPT_PIECES = 200_000
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", F.xxhash64(*DOCUMENT_COLUMNS))
+    return docs.select(*DOCUMENT_COLUMNS).withColumn("row_hash", row_hash())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles (0.8 or more alike) the one with the least doc_id stays; of equal
     rows one."""
-    marked = staged(simhash.similar_texts(docs).select("doc_id", "row_hash", "root"), "marked")
+    marked = staged(similar.similar_texts(docs).select("doc_id", "row_hash", "root"), "marked")
     # a group without any doc_id keeps its least row
     first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("stays"))
     stays = first.select(F.col("stays.row_hash").alias("row_hash"))
