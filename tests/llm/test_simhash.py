@@ -151,7 +151,7 @@ def test_similar_texts_in_small_pieces_of_groups(spark, monkeypatch):
     monkeypatch.setattr(similar, "SET_ROWS", 10)
     texts = edited_texts(5)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=1, limit=10).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=1, in_group=1, limit=10).collect()}
     assert found == plain_similar(range(len(texts)), texts)
 
 
@@ -168,7 +168,7 @@ def test_a_large_cluster_of_near_copies(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     expected = plain_similar(range(len(texts)), texts)
     assert 1 < len(set(expected.values())) < 400
-    assert {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=2).collect()} == expected
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_texts(df, keep=2, in_group=1).collect()} == expected
 
 
 def test_trie_walk_against_all_pairs():

@@ -6,10 +6,11 @@ so many blocks that one brings a pair at the similarity together with BLOCK_RECA
 exactly. Three rounds keep the pairs that are written in proportion to the rows, however large a cluster is:
 
 1. In the groups of a few blocks each row is compared with the row beside it in fingerprint order; what is alike is contracted.
-2. In all groups the tries are walked; of its candidates outside its part each row keeps the NEAREST.
-3. A pair that round 2 left out has two rows which both had more candidates than they kept. Those rows meet once more in the same
-   groups, with their sets of shingles, and every candidate pair still apart is compared within the task; only the links that
-   connect something come out.
+2. In all groups the tries are walked; of its candidates outside its part each row keeps the IN_GROUP nearest of each group and
+   the NEAREST of all.
+3. A pair that round 2 left out has two rows which both had more candidates than they kept. Those rows are walked once more with
+   the parts that they belong to by now, and those that still have a candidate outside meet in the same groups with their sets of
+   shingles: every such pair is compared within the task, and only the links that connect something come out.
 
 Texts of SHORT shingles or fewer vary too much in their bits; they come from an exact join on their rarest shingles instead.
 Groups that stay large after a second deal are cut into chunks that are joined pair by pair, which is exact and bounds a task.
@@ -32,8 +33,8 @@ from .simhash import GROUP_LIMIT, components, fold, group_chunks, shingle_hashes
 
 #: Words of 64 bits in a long fingerprint, and the part of the linked pairs that some block of bits has to bring together.
 LONG_WORDS, BLOCK_RECALL = 8, 0.999
-#: Blocks of the first round, and candidates that a row keeps in the second.
-EARLY_BLOCKS, NEAREST = 3, 8
+#: Blocks of the first round, and candidates that a row keeps in the second, of one group and of all.
+EARLY_BLOCKS, IN_GROUP, NEAREST = 3, 2, 8
 #: Up to so many shingles texts are found by an exact join, as the bits of few shingles vary too much; rows of a group of that
 #: join that are compared at once.
 SHORT, SHORT_ROWS = 48, 20_000
@@ -301,33 +302,50 @@ def beside_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "node long, other long").filter("node != other").distinct()
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, keep: int) -> np.ndarray:
-    """Which of the pairs are among the keep + 1 nearest of their row i; one more, to tell that there are more."""
+def _nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs are among the keep nearest of their row i, and the place of each in it, from 0."""
     order = np.lexsort((j, bits, i))
     rank = np.arange(len(i)) - np.searchsorted(i[order], i[order], "left")
-    return order[rank <= keep]
+    return order[rank < keep], rank[rank < keep]
 
 
-def nearest_pairs(dealt: DataFrame, similarity: float, keep: int = NEAREST, limit: int = GROUP_LIMIT) -> DataFrame:
-    """dealt: key, node, print, size, root. Rows (node, other, bits): of each row's candidates with another root the keep + 1
-    nearest of each group."""
+def nearest_pairs(dealt: DataFrame, similarity: float, keep: int = IN_GROUP, limit: int = GROUP_LIMIT) -> DataFrame:
+    """dealt: key, node, print, size, root. Rows (node, other, bits, more): of each row's candidates with another root the keep
+    nearest of each group, and whether there are more."""
     most = most_bits(similarity)
 
     def work(table):
         table, words = _by_print(table)
-        node = table.column("node").to_numpy()
+        node, key = table.column("node").to_numpy(), table.column("key").to_numpy()
         label = _labels(table.column("root").to_numpy())
         found = np.zeros((3, 0), np.int64)
-        for i, j, bits in trie_walk(label, table.column("key").to_numpy(), words, table.column("size").to_numpy(), most, similarity):
+        for i, j, bits in trie_walk(label, key, words, table.column("size").to_numpy(), most, similarity):
             found = np.concatenate((found, [i, j, bits], [j, i, bits]), axis=1)
             if found.shape[1] > 1_000_000:
-                found = found[:, _nearest(*found, keep)]
-        i, j, bits = found[:, _nearest(*found, keep)]
+                found = found[:, _nearest(*found, keep + 1)[0]]
+        at, rank = _nearest(*found, keep + 1)
+        many = np.zeros(len(node), bool)
+        many[found[0, at[rank == keep]]] = True
+        i, j, bits = found[:, at[rank < keep]]
         for a in range(0, len(i), 1 << 16):
             s = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(node[i[s]]), pa.array(node[j[s]]), pa.array(bits[s])], names=["node", "other", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[s]]), pa.array(node[j[s]]), pa.array(bits[s]), pa.array(many[i[s]])], names=["node", "other", "bits", "more"])
 
-    return _by_groups(dealt, work, min(limit, 20_000), "node long, other long, bits long")
+    return _by_groups(dealt, work, min(limit, 20_000), "node long, other long, bits long, more boolean")
+
+
+def apart_rows(dealt: DataFrame, similarity: float, limit: int = GROUP_LIMIT) -> DataFrame:
+    """node of the rows that have a candidate with another root."""
+    most = most_bits(similarity)
+
+    def work(table):
+        table, words = _by_print(table)
+        found = np.zeros(table.num_rows, bool)
+        for i, j, _ in trie_walk(_labels(table.column("root").to_numpy()), table.column("key").to_numpy(), words, table.column("size").to_numpy(), most, similarity):
+            found[i], found[j] = True, True
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(table.column("node").to_numpy()[found]))], names=["node"])
+
+    return _by_groups(dealt, work, min(limit, 20_000), "node long").distinct()
 
 
 def compared_links(dealt: DataFrame, similarity: float, limit: int = SET_ROWS) -> DataFrame:
@@ -452,7 +470,7 @@ def short_links(sets: DataFrame, similarity: float, limit: int = SHORT_ROWS) ->
     return _by_groups(dealt, pairs, limit, "node long, other long").distinct()
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, keep: int = NEAREST, limit: int = GROUP_LIMIT) -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, keep: int = NEAREST, in_group: int = IN_GROUP, limit: int = GROUP_LIMIT) -> DataFrame:
     """Per document: doc_id, row_hash, root, component_id: the least doc_id within reach over links of a Jaccard similarity of
     word shingles of at least similarity. Rows of one root belong together."""
     rows = docs.select(*DOCUMENT_COLUMNS)
@@ -471,18 +489,20 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, keep
     early = staged(beside_pairs(_deal(many, block_bits(width, similarity, 1)[:EARLY_BLOCKS]), similarity), "similar-beside")
     edges = staged(alike(rows, nodes, early, words, similarity), "similar-early").unionByName(short)
     placed = staged(rooted(edges).filter(F.col("size") > SHORT), "similar-rooted")
-    found = nearest_pairs(long_groups(many, similarity, width, limit)(placed), similarity, keep, limit).distinct()
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("bits", "other"))).filter(F.col("rank") <= keep + 1)
-    ranked = staged(ranked, "similar-ranked")
+    deal = long_groups(many, similarity, width, limit)
+    found = nearest_pairs(deal(placed), similarity, in_group, limit).groupBy("node", "other", "bits").agg(F.bool_or("more").alias("more"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("bits", "other")))
+    ranked = staged(ranked.filter((F.col("rank") <= keep + 1) | F.col("more")), "similar-ranked")
     chosen = ranked.filter(F.col("rank") <= keep).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
     fresh = staged(chosen.join(early, ["node", "other"], "left_anti"), "similar-fresh")
     edges = edges.unionByName(staged(alike(rows, nodes, fresh, words, similarity), "similar-near"))
     final = staged(rooted(edges).select("node", "root"), "similar-roots")
-    more = staged(ranked.filter(F.col("rank") > keep).select("node").distinct(), "similar-more")
-    if not more.isEmpty():
-        full = many.join(more, "node", "left_semi").join(final, "node")
-        sets = sets_of(rows, nodes.join(more, "node", "left_semi").select("node", "row_hash"), words)
-        whole = staged(full.join(sets, "node"), "similar-whole")
+    more = ranked.filter((F.col("rank") > keep) | F.col("more")).select("node").distinct()
+    left = many.join(more, "node", "left_semi").join(final, "node")
+    apart = staged(apart_rows(deal(staged(left, "similar-left")), similarity, limit), "similar-apart")
+    if not apart.isEmpty():
+        sets = sets_of(rows, nodes.join(apart, "node", "left_semi").select("node", "row_hash"), words)
+        whole = staged(many.join(final, "node").join(sets, "node"), "similar-whole")
         links = staged(compared_links(long_groups(whole, similarity, width, SET_ROWS)(whole), similarity), "similar-last")
         if not links.isEmpty():
             final = staged(rooted(edges.unionByName(links)).select("node", "root"), "similar-roots")
