@@ -24,12 +24,12 @@ def brute(rows, k):
 
 def test_recall_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "BLOCK_ROWS", 300)
-    monkeypatch.setattr(multi_index, "QUERY_CHUNK", 40)
+    monkeypatch.setattr(multi_index, "QUERY_ROWS", 7)
     rng = np.random.default_rng(4)
     vecs = rng.normal(size=(1500, 16)).astype(np.float32)
     vecs[300:800] = vecs[300]
     rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
-    rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [None] + [1.0] * 15), (5080, [1.0] * 3), (None, [1.0] * 16), (5100, [float("inf")] * 16), (20, vecs[20].tolist())]
+    rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [None] + [1.0] * 15), (5080, [1.0] * 3), (None, [1.0] * 16), (5100, [float("inf")] * 16)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).withColumn("score", F.lit("clash"))
     got = {}
     for r in multi_index.search(df, F.col("vec_id") % 20 == 0).collect():
@@ -50,3 +50,28 @@ def test_few_rows(spark):
     assert multi_index.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (2, [2.0, 1.0], 0)], SCHEMA)
     assert [(r["rank"], r["vec_id"], r["score"]) for r in multi_index.search(df, F.col("vec_id") % 20 == 0).collect()] == [(1, 1, 4.0), (2, 2, 4.0)]
+
+
+def test_rows_of_one_id_ask_and_are_found_one_by_one(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0], 0), (0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0)], SCHEMA)
+    found = multi_index.search(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(0, 1, 0, 5.0), (0, 1, 0, 5.0), (0, 2, 1, 4.0), (0, 2, 1, 4.0)]
+
+
+def test_only_entries_of_walked_cells_are_multiplied():
+    q, v = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    score = multi_index._walked_scores(q, v, np.array([[True, False], [False, True]]), np.array([1, 3]))
+    assert score.tolist() == [[1.0, -np.inf, -np.inf], [-np.inf, 4.0, 6.0]]
+
+
+def test_recall_on_fifty_thousand_vectors(spark):
+    rng = np.random.default_rng(9)
+    center = rng.normal(size=(200, 16))
+    vecs = (center[rng.integers(0, 200, 50_000)] + 0.5 * rng.normal(size=(50_000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs.tolist())], SCHEMA)
+    got = {}
+    for r in multi_index.search(df, F.col("vec_id") % 500 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    wide = vecs.astype(np.float64)
+    hits = [len(got[i] & set(np.argsort(np.where(np.arange(50_000) == i, -np.inf, wide @ wide[i]))[-20:].tolist())) for i in range(0, 50_000, 500)]
+    assert len(got) == 100 and sum(hits) / 2000 >= 0.9

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, row_hash, staged, text_of, word_count
 
+#: Words above which a document is placed before the programme, whose memory is three times the largest size that it sees.
+LARGE = 1 << 21
 #: Rows of one (source, size) that one task ranks together; larger groups are split by hash.
 GROUP_ROWS = 4096
 
@@ -47,8 +49,11 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many documents of each size to take so that their sizes add up as near to budget as a subset can get.
 
     sizes are distinct and above 0. All but about two of the largest documents' words are taken evenly over the sizes (the
-    rounding error of that is below one document); the rest is a bounded knapsack over what is left of each size.
+    rounding error of that is below one document); the rest is a bounded knapsack over what is left of each size. Documents of
+    more than LARGE words get their even share first and then, the largest first, what still fits; the others fill the rest.
     """
+    if len(sizes) and sizes.max() > LARGE:
+        return _fit_large(sizes.astype(np.int64), counts.astype(np.int64), budget)
     order = np.argsort(sizes)
     size, count = sizes[order].astype(np.int64), counts[order].astype(np.int64)
     total, largest = int((size * count).sum()), int(size[-1])
@@ -91,6 +96,25 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return out
 
 
+def _fit_large(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    large = sizes > LARGE
+    share = min(1.0, max(0, budget) / int((sizes * counts).sum()))
+    take = np.where(large, np.floor(counts * share).astype(np.int64), 0)
+    left, rest = budget - int((take * sizes).sum()), int((sizes * counts)[~large].sum())
+    order = [i for i in np.argsort(-sizes) if large[i]]
+    for i in order:  # what the small ones can't fill
+        more = min(int(counts[i] - take[i]), max(0, left - rest) // int(sizes[i]))
+        take[i] += more
+        left -= more * int(sizes[i])
+    spare = [i for i in order if take[i] < counts[i]]
+    if spare and left > rest and abs(left - int(sizes[spare[-1]])) < left - rest:
+        take[spare[-1]] += 1
+        left -= int(sizes[spare[-1]])
+    if left > 0 and rest:
+        take[~large] = fit_budget(sizes[~large], counts[~large], left)
+    return take
+
+
 def _fit_source(hist: pd.DataFrame) -> pd.DataFrame:
     target, whole = float(hist["target"].iloc[0]), int(hist["source_size"].iloc[0])
     passes = int(target // whole) if whole else 0

@@ -1,9 +1,10 @@
 """Encoding of whole texts by a byte-level pair tokenizer file, with the ids that the library gives for a text in one piece.
 
 Such a tokenizer splits a text before merging, and a space that stands before anything but white space always begins a new
-part. So a text is cut there and each distinct piece is encoded once and kept. Pieces of common characters are split by the
-public pattern and their parts go to the library's merge model; other pieces, and texts in which a cut could differ (runs of
-white space with a space inside, texts that hold a special token), go to the library whole.
+part, as does a line feed between two characters that aren't white space. So a text is cut there and each distinct piece is
+encoded once and kept. Pieces of common characters are split by the public pattern and their parts go to the library's merge
+model; other pieces, and texts in which a cut could differ (runs of white space with a space inside, texts that hold a special
+token), go to the library whole.
 """
 
 from __future__ import annotations
@@ -68,30 +69,27 @@ class Encoder:
             return [i for part in self.split(piece) for i in self._part(part)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _learn(self, pieces: list[str], index: np.ndarray) -> None:
-        """Encode the pieces that index doesn't know yet and put their numbers into it."""
-        known, stems, merge, space, n = self.known, self.stems, self.merge, self.letters[32], len(self.known)
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode distinct pieces that aren't known yet."""
+        stems, merge, space = self.stems, self.merge, self.letters[32]
         flat: list[int] = []
         lens: list[int] = []
-        at = np.flatnonzero(index < 0)
-        found = []
-        for i in at.tolist():
-            k = known.get(p := pieces[i])
-            if k is None:
-                k = known[p] = n + len(lens)
-                # most pieces are a word of ASCII letters, or one with a stop or comma, for which there is a short way
-                if p[:1] == " " and p.isascii() and (stem := p[1:].rstrip(".,")).isalpha() and len(p) - len(stem) < 3:
-                    ids = stems.get(stem)
-                    if ids is None:
-                        ids = stems[stem] = [t.id for t in merge(space + stem)]
-                    if len(p) - len(stem) == 2:
-                        ids = [*ids, *self._part(p[-1])]
-                else:
-                    ids = self._piece(p)
-                flat += ids
-                lens.append(len(ids))
-            found.append(k)
-        index[at] = found
+        for p in pieces:
+            # most pieces are a word of letters after a space, or one with a stop or comma, for which there is a short way
+            stem = p[1:].rstrip(".,")
+            more = len(p) - len(stem)
+            if more < 3 and stem.isalpha() and p[0] == " " and (stem.isascii() or COMMON.match(stem)):
+                ids = stems.get(stem)
+                if ids is None:
+                    word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                    ids = stems[stem] = [t.id for t in merge(space + word)]
+                if more == 2:
+                    ids = ids + self._part(p[-1])
+            else:
+                ids = self._piece(p)
+            flat += ids
+            lens.append(len(ids))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         more = np.array(lens, np.int64)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(more) - more))
         self.lens, self.flat = np.concatenate((self.lens, more)), np.concatenate((self.flat, np.array(flat, self.dtype)))
@@ -108,11 +106,16 @@ class Encoder:
             if "\0" in text or any(s in text for s in self.special) or (SUSPECT.search(text) and UNSURE.search(text)):
                 pieces.append(text)
             else:
+                if "\n" in text and all(line and not line[0].isspace() and not line[-1].isspace() for line in text.split("\n")):
+                    text = text.replace("\n", "\0\n\0")
                 pieces += text.replace(" ", "\0 ").split("\0")
             counts.append(len(pieces))
         index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if len(index) and index.min() < 0:
-            self._learn(pieces, index)
+        at = np.flatnonzero(index < 0)
+        if len(at):
+            missing = [pieces[i] for i in at.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            index[at] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
         lens = self.lens[index]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
