@@ -1,19 +1,28 @@
-"""Small made-up visits with the shape of the fixtures: three users with four visits each to train, two users with three visits each in the other splits."""
+"""Made-up visits: a harbour town's places, sessions of one to six visits, some at night and at the weekend."""
 
-VENUES = {"hub": "Hub Kind", "cafe": "Cafe Kind", "library": "Library Kind", "park": "Park Kind", "museum": "Museum Kind"}
+VENUES = {"pier": "Dock", "mill": "Work", "forge": "Work", "green": "Field", "tower": "View", "arch": "View", "cave": "Deep"}
+
+# split, user, first hour (day of June 2025 and hour), hours between visits, places
+SESSIONS = [
+    ("train", "otto", (2, 6), 2, "pier mill mill forge green pier"),
+    ("train", "pia", (4, 21), 1, "tower arch tower"),
+    ("train", "quin", (7, 13), 3, "green green pier tower"),
+    ("train", "rosa", (8, 7), 1, "mill forge mill forge cave"),
+    ("train", "otto", (9, 16), 1, "arch"),
+    ("validation", "pia", (16, 8), 2, "mill forge arch mill"),
+    ("validation", "sven", (21, 22), 1, "tower pier"),
+    ("test", "rosa", (23, 5), 4, "pier green tower forge mill"),
+    ("test", "tess", (25, 12), 1, "cave"),
+    ("test", "otto", (28, 18), 1, "arch tower pier"),
+]
 
 
 def visits():
-    plan = {
-        "train": [("ann", 1, 8, ["hub", "cafe", "library", "park"]), ("bob", 2, 15, ["cafe", "park", "museum", "hub"]), ("cat", 3, 8, ["hub", "cafe", "park", "cafe"])],
-        "validation": [("ann", 10, 9, ["cafe", "library", "park"]), ("dan", 11, 18, ["hub", "cafe", "museum"])],
-        "test": [("bob", 20, 8, ["hub", "cafe", "park"]), ("eve", 24, 18, ["park", "museum", "hub"])],
-    }
     rows = []
-    for split, sessions in plan.items():
-        for user, day, hour, places in sessions:
-            for k, place in enumerate(places):
-                rows.append((split, user, f"{user}-{split}", f"2026-01-{day:02d}T{hour + k:02d}:00:00Z", place, VENUES[place]))
+    for n, (split, user, (day, hour), step, places) in enumerate(SESSIONS):
+        for k, place in enumerate(places.split()):
+            at = day * 24 + hour + k * step
+            rows.append((split, user, f"walk-{n}", f"2025-06-{at // 24:02d}T{at % 24:02d}:00:00Z", place, VENUES[place]))
     return rows
 
 
@@ -25,7 +34,7 @@ def write_csv(folder, split, rows=None, header="raw_user_id,session_id,timestamp
 
 
 EVENT = {
-    "request_id": "smoke-1", "versions": {"release": "r", "data": "d", "model": "m"}, "history_length_bucket": "2-5", "unknown_count": 0, "candidate_count": 5,
-    "candidate_source_histogram": {"global": 5}, "category_histogram": {"category_0123456789abcdef": 5}, "score_entropy": 1.0, "stage_latency_ms": {"rank": 1.5},
+    "request_id": "event-1", "versions": {"release": "r", "data": "d", "model": "m"}, "history_length_bucket": "2-5", "unknown_count": 0, "candidate_count": 7,
+    "candidate_source_histogram": {"global_popularity": 7}, "category_histogram": {"category_0123456789abcdef": 5}, "score_entropy": 1.0, "stage_latency_ms": {"rank": 1.5},
     "total_latency_ms": 2.0, "status": "ok", "error_code": None,
 }

@@ -59,7 +59,7 @@ def test_entropy_and_history_lines(spark):
 def test_readers(spark, tmp_path):
     paths = {s: write_csv(tmp_path, s) for s in contracts.SPLITS}
     df = checkins.read_splits(spark, paths)
-    assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 12, "validation": 6, "test": 6}
+    assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 19, "validation": 6, "test": 9}
     with pytest.raises(ValueError):
         checkins.read_splits(spark, {"train": paths["train"]})
     row = ("u", "s", "2026-01-01T08:00:00Z", "p", "c")
@@ -81,7 +81,7 @@ def test_readers(spark, tmp_path):
 def test_examples(spark, events):
     rest = events.filter("split != 'train'")
     rows = examples.build_examples(rest, "p")
-    assert rows.count() == 8 and examples.build_examples(events, "p").count() == 17
+    assert rows.count() == 10 and examples.build_examples(events, "p").count() == 24
     again = examples.build_examples(rest.repartition(7).orderBy(F.rand(3)), "p")
     assert sorted(map(str, rows.collect())) == sorted(map(str, again.collect()))
     minute = F.expr("timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id)")
@@ -108,7 +108,7 @@ def dense(requests, idx, variant):
         scores = []
         for p in g:
             parts = {
-                "global": math.log1p(g[p]["n"]), "time_popularity": 1.25 * math.log1p(t.get((r["bucket"], p), 0)), "transition": 2.0 * math.log1p(m.get((back[0], p), 0)),
+                "global_popularity": math.log1p(g[p]["n"]), "time_popularity": 1.25 * math.log1p(t.get((r["bucket"], p), 0)), "transition": 2.0 * math.log1p(m.get((back[0], p), 0)),
                 "recent_revisit": 1.5 / (back.index(p) + 1) if p in back else 0.0, "history_category": 0.75 * math.log1p(sum(c.get((k, p), 0) for k in {k for _, _, k in h[-10:]})),
             }
             scores.append((-round(sum(parts[s] for s in scoring.VARIANTS[variant]), 9), p))
@@ -127,40 +127,75 @@ def test_pool_is_exact_for_every_variant(spark, events, idx):
     assert all(prefix.get((r["variant"], r["sample_id"], r["rank"]), r["poi_id"]) == r["poi_id"] for r in scoring.ranked(rows, 2).collect())
 
 
-def test_closed_form_scores(spark):
-    ddl = "timestamp'2026-01-05 08:00:00'"
-    poi = spark.createDataFrame([("poi-a", "Cafe", None, 5), ("poi-b", "Park", None, 8)], "poi_id string, category string, model_poi_id long, n long")
-    made = index.Index(
-        "synthetic", poi,
-        spark.createDataFrame([("weekday:morning", "poi-a", 2), ("weekday:afternoon", "poi-a", 3), ("weekend:night", "poi-b", 8)], "bucket string, poi_id string, n long"),
-        spark.createDataFrame([("Cafe", "poi-a", 5), ("Park", "poi-b", 8)], "category string, poi_id string, n long"),
-        spark.createDataFrame([("poi-a", "poi-b", 4)], "src string, dst string, n long"),
-    )
-    history = F.array(F.struct(F.expr(ddl).alias("timestamp"), F.lit("poi-a").alias("poi_id"), F.lit("Park").alias("category_name")))
-    requests = spark.range(1).select(F.lit("x").alias("sample_id"), F.lit("synthetic").alias("dataset"), history.alias("history"), F.expr("timestamp'2026-01-05 09:00:00'").alias("target_time"), F.lit(10).alias("top_k"), F.lit("smoke").alias("profile"))
-    rows = {(r["variant"], r["poi_id"]): r for r in scoring.score_requests(requests, made, list(scoring.VARIANTS)).collect()}
-    a, b = math.log1p(5) + 1.25 * math.log1p(2) + 1.5, math.log1p(8) + 2 * math.log1p(4) + 0.75 * math.log1p(8)
-    assert rows["b3", "poi-a"]["score"] == pytest.approx(a) and rows["b3", "poi-b"]["score"] == pytest.approx(b)
-    assert rows["b3", "poi-b"]["candidate_sources"] == ["global", "transition", "history_category"]
-    assert rows["b0", "poi-b"]["score"] == pytest.approx(math.log1p(8)) and rows["b2", "poi-b"]["score"] == rows["b3_no_history", "poi-b"]["score"]
-    with pytest.raises(contracts.ContractError):
-        scoring.score_requests(requests.withColumn("target_poi_id", F.lit("poi-a")), made, ["b3"])
-    with pytest.raises(ValueError):
-        scoring.score_requests(requests, made, ["b9"])
+def asked(spark, back, at, dataset="harbour"):
+    """One request whose history is back (place, category), oldest first, an hour apart before at."""
+    start = f"timestamp'{at}'"
+    visit = [F.struct(F.expr(f"{start} - interval {len(back) - k} hours").alias("timestamp"), F.lit(p).alias("poi_id"), F.lit(c).alias("category_name")) for k, (p, c) in enumerate(back)]
+    return spark.range(1).select(F.lit("r").alias("sample_id"), F.lit(dataset).alias("dataset"), F.array(*visit).alias("history"), F.expr(start).alias("target_time"), F.lit(3).alias("top_k"), F.lit("full").alias("profile"))
 
 
-def test_metrics_edges(spark):
-    obs = spark.createDataFrame(
-        [("v", "1", "a", ["a", "a"], 1), ("v", "2", "b", ["unknown"], None), ("v", "3", "b", [], None)], "variant string, sample_id string, target_poi_id string, predictions array<string>, top_rank int"
+@pytest.fixture(scope="module")
+def harbour(spark):
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    return index.Index(
+        "harbour",
+        table([("pier", "Dock", 41, 30), ("mill", "Work", None, 12), ("cave", "Deep", 7, 1)], "poi_id string, category string, model_poi_id long, n long"),
+        table([("weekend:evening", "mill", 9), ("weekend:evening", "pier", 4), ("weekday:night", "cave", 1), ("weekday:night", "pier", 26), ("weekday:night", "mill", 3)], "bucket string, poi_id string, n long"),
+        table([("Dock", "pier", 28), ("Work", "pier", 2), ("Work", "mill", 12), ("Deep", "cave", 1)], "category string, poi_id string, n long"),
+        table([("mill", "cave", 1), ("mill", "pier", 6), ("pier", "mill", 5)], "src string, dst string, n long"),
     )
-    obs = obs.select("*", F.col("top_rank").alias("trace_rank"), F.lit(None).cast("int").alias("macro_rank"), F.array().cast("array<string>").alias("target_sources"), *(F.lit("x").alias(s) for s in metrics.SLICES))
-    catalog = spark.createDataFrame([("a",), ("b",), ("c",)], "poi_id string")
+
+
+def test_scores_term_by_term(spark, harbour):
+    log = math.log1p
+    # a Saturday evening after pier, mill, mill: the mill is the latest place, the pier the third from the end
+    requests = asked(spark, [("pier", "Dock"), ("mill", "Work"), ("mill", "Work")], "2025-06-14 20:00:00")
+    rows = {(r["variant"], r["poi_id"]): r["score"] for r in scoring.score_requests(requests, harbour, list(scoring.VARIANTS)).collect()}
+    pier = {"popularity": log(30), "time": 1.25 * log(4), "move": 2 * log(6), "revisit": 1.5 / 3, "category": 0.75 * log(28 + 2)}
+    mill = {"popularity": log(12), "time": 1.25 * log(9), "move": 0.0, "revisit": 1.5, "category": 0.75 * log(12)}
+    cave = {"popularity": log(1), "time": 0.0, "move": 2 * log(1), "revisit": 0.0, "category": 0.0}
+    without = {"b0": {"time", "move", "revisit", "category"}, "b1": {"move", "revisit", "category"}, "b2": {"revisit", "category"}, "b3": set(), "b3_no_time": {"time"}, "b3_no_transition": {"move"}, "b3_no_history": {"revisit", "category"}}
+    for variant, left_out in without.items():
+        for name, parts in (("pier", pier), ("mill", mill), ("cave", cave)):
+            assert rows[variant, name] == pytest.approx(sum(x for k, x in parts.items() if k not in left_out)), (variant, name)
+    top = {r["poi_id"]: r for r in scoring.recommendations(scoring.score_requests(requests, harbour, ["b3", "b1"])).filter("variant = 'b3'").collect()}
+    assert {p: r["rank"] for p, r in top.items()} == {"pier": 1, "mill": 2, "cave": 3} and top["pier"]["model_poi_id"] == 41
+    assert top["pier"]["candidate_sources"] == list(scoring.WEIGHTS) and top["cave"]["candidate_sources"] == ["global_popularity", "transition"]
+    assert top["mill"]["candidate_sources"] == ["global_popularity", "time_popularity", "recent_revisit", "history_category"]
+
+
+def test_requests_that_are_refused(spark, harbour):
+    requests = asked(spark, [("pier", "Dock")], "2025-06-14 20:00:00")
+    for column in ("target_poi_id", "label"):
+        with pytest.raises(contracts.ContractError):
+            scoring.score_requests(requests.withColumn(column, F.lit("pier")), harbour, ["b3"])
+    for variants in (["b9"], [], ["b0", "b0"]):
+        with pytest.raises(ValueError):
+            scoring.score_requests(requests, harbour, variants)
+    for dataset in ("lagoon", None):
+        with pytest.raises(Exception, match="the index is of harbour"):
+            scoring.score_requests(asked(spark, [("pier", "Dock")], "2025-06-14 20:00:00", dataset), harbour, ["b3"]).collect()
+
+
+def test_rates_and_reasons(spark):
+    """Four samples over a catalog of five places, against counts by hand."""
+    made = [
+        ("hits", "fig", ["fig", "elm", "oak"], 1), ("second", "elm", ["oak", "elm", "oak"], 2),
+        ("strange", "ash", ["reef", "oak", "reef", "elm"], None), ("nothing", "oak", [], None),
+    ]
+    obs = spark.createDataFrame([("b0", *r) for r in made], "variant string, sample_id string, target_poi_id string, predictions array<string>, top_rank int")
+    obs = obs.select("*", F.col("top_rank").alias("trace_rank"), F.lit(2).alias("macro_rank"), F.array().cast("array<string>").alias("target_sources"), *(F.lit("x").alias(s) for s in metrics.SLICES))
+    catalog = spark.createDataFrame([(p,) for p in ("fig", "elm", "oak", "ash", "yew")], "poi_id string")
     row = metrics.summarise(obs, catalog).first()
-    assert all(row[n] == pytest.approx(1 / 3) for n in ("hit_at_1", "coverage", "duplicate_rate", "invalid_rate", "empty_rate")) and row["validity_rate"] == 0
+    assert (row["hit_at_1"], row["hit_at_5"], row["mrr"]) == (0.25, 0.5, 0.375) and (row["macro_hit_at_1"], row["macro_hit_at_3"], row["macro_mrr"]) == (0.0, 1.0, 0.5)
+    assert row["ndcg_at_5"] == pytest.approx((1 + 1 / math.log2(3)) / 4)
+    assert (row["invalid_rate"], row["duplicate_rate"]) == (0.2, 0.2)  # 2 and 2 of 10 predicted
+    assert (row["validity_rate"], row["empty_rate"], row["coverage"]) == (0.25, 0.25, 0.6)
     reasons = {r["sample_id"]: r["reasons"] for r in metrics.failures(obs, catalog).collect()}
-    assert reasons == {"1": ["duplicate"], "2": ["invalid", "target_miss_at_10"], "3": ["empty", "target_miss_at_10"]}
-    assert one(spark, metrics.gain(F.lit(2), 5)) == pytest.approx(1 / math.log2(3))
+    assert reasons == {"second": ["duplicate"], "strange": ["duplicate", "invalid", "target_miss_at_10"], "nothing": ["empty", "target_miss_at_10"]}
     assert metrics.summarise(obs.limit(0), catalog).count() == 0 and set(metrics.empty_summary().values()) == {0.0}
+    by_slice = metrics.summarise(obs.withColumn("day_type", F.col("sample_id")), catalog, slices=True).filter("dimension = 'day_type' and value = 'strange'").first()
+    assert (by_slice["samples"], by_slice["invalid_rate"], by_slice["coverage"]) == (1, 0.5, 0.4)
 
 
 def test_overlaps_and_audit(spark, events, idx):
@@ -173,7 +208,7 @@ def test_overlaps_and_audit(spark, events, idx):
     assert [r["ordered"] for r in audit.temporal_boundaries(audit.split_summary(events.filter("split != 'test'"))).collect()] == [True, None]
     assert index.audit_index(idx, index.taxonomy(events)).agg(F.sum("violations")).first()[0] == 0
     broken = index.Index(idx.dataset, idx.poi_stats.withColumn("n", F.col("n") + 1), idx.time_counts, idx.category_counts, idx.transition_counts)
-    assert index.audit_index(broken, index.taxonomy(events)).filter("rule = 'time_sum'").first()["violations"] == 5
+    assert index.audit_index(broken, index.taxonomy(events)).filter("rule = 'time_sum'").first()["violations"] == 7
     first, second = (audit.fingerprint(df, audit.EVENT_COLUMNS).first()[0] for df in (events, events.repartition(5)))
     assert first == second != audit.fingerprint(both, audit.EVENT_COLUMNS).first()[0]
     with pytest.raises(ValueError):
@@ -181,12 +216,12 @@ def test_overlaps_and_audit(spark, events, idx):
 
 
 def test_encoder(spark, events):
-    train = events.filter("split = 'train' and category != 'Museum Kind'")
+    train = events.filter("split = 'train' and category != 'Deep'")
     e = encoder.fit_encoder(train, index.taxonomy(events), 3)
     assert [r["contiguous"] for r in encoder.check_ids(e, 3).collect()] == [True] * 3
-    coded = encoder.encode(events.filter("category = 'Museum Kind'"), e).first()
+    coded = encoder.encode(events.filter("category = 'Deep'"), e).first()
     assert coded["poi_code"] is None and coded["category_code"] is not None
-    assert encoder.unseen_values(train, events, "raw_poi_id").first()[0] == "museum"
+    assert encoder.unseen_values(train, events, "raw_poi_id").first()[0] == "cave"
 
 
 def test_requests_contract(spark):
@@ -232,7 +267,7 @@ def test_bundle(spark, idx, tmp_path):
     path = str(tmp_path / "bundle")
     tables.save_bundle(idx, path, "b3")
     loaded, variant = tables.load_bundle(spark, path)
-    assert variant == "b3" and loaded.poi_stats.count() == 5
+    assert variant == "b3" and loaded.poi_stats.count() == 7
     with pytest.raises(Exception, match="(?i)exist"):
         tables.save_bundle(idx, path, "b3")
     idx.poi_stats.withColumn("n", F.col("n") + 1).write.mode("overwrite").parquet(f"{path}/poi_stats")
@@ -240,11 +275,23 @@ def test_bundle(spark, idx, tmp_path):
         tables.load_bundle(spark, path)
 
 
-def test_evaluation_job(spark, tmp_path):
+def test_evaluation_job(spark, events, idx, tmp_path):
     paths = {s: write_csv(tmp_path, s) for s in contracts.SPLITS}
     out = str(tmp_path / "out")
     summary = {r["variant"]: r for r in run_evaluation(spark, "synthetic", paths, out, "p", list(scoring.VARIANTS)).collect()}
-    assert set(summary) == set(scoring.VARIANTS) and all(r["samples"] == 8 and r["hit_at_10"] == 1.0 and r["validity_rate"] == 1.0 for r in summary.values())
+    rows = examples.build_examples(events.filter("split != 'train'"), "p").select("sample_id", "target_poi_id", "target_category").collect()
+    requests = examples.requests_of(examples.build_examples(events.filter("split != 'train'"), "p"))
+    kind = {r["poi_id"]: r["category"] for r in idx.poi_stats.collect()}
+    assert set(summary) == set(scoring.VARIANTS) and len(rows) == 10
+    for variant, got in summary.items():
+        order = {s: [p for _, p in found] for s, found in dense(requests, idx, variant).items()}
+        places = [order[r["sample_id"]].index(r["target_poi_id"]) + 1 for r in rows]
+        kinds = [list(dict.fromkeys(kind[p] for p in order[r["sample_id"]]))[:3] for r in rows]
+        first = [ks.index(r["target_category"]) + 1 if r["target_category"] in ks else None for ks, r in zip(kinds, rows)]
+        want = {f"hit_at_{k}": sum(p <= k for p in places) / 10 for k in (1, 5, 10)} | {f"ndcg_at_{k}": sum(1 / math.log2(p + 1) for p in places if p <= k) / 10 for k in (5, 10)}
+        want |= {"mrr": sum(1 / p for p in places) / 10, "macro_hit_at_1": first.count(1) / 10, "macro_hit_at_3": sum(f is not None for f in first) / 10, "macro_mrr": sum(1 / f for f in first if f) / 10}
+        want |= {"candidate_recall_at_100": 1.0, "validity_rate": 1.0, "coverage": 1.0, "samples": 10}
+        assert {k: got[k] for k in want} == pytest.approx(want), variant
     assert spark.read.parquet(f"{out}/slices").count() > 7 and spark.read.parquet(f"{out}/runs").filter("metric = 'mrr'").count() == 7
     with pytest.raises(Exception, match="(?i)exist"):
         run_evaluation(spark, "synthetic", paths, out, "p", ["b0"])

@@ -53,6 +53,11 @@ def temporal_boundaries(summary: DataFrame) -> DataFrame:
     return first.unionAll(second)
 
 
+def temporal_order(boundaries: DataFrame) -> DataFrame:
+    """temporal_splits_ordered: whether all boundaries that can be judged are in order; null if none can."""
+    return boundaries.agg(F.bool_and("ordered").alias("temporal_splits_ordered"))
+
+
 def input_ordered(events: DataFrame, order: str) -> DataFrame:
     """split, input_time_ordered: whether rows come in time order along the column order. Parts of the order are checked side
     by side and then their boundaries, so no split passes through one task."""
@@ -81,7 +86,27 @@ def taxonomy_hash(events: DataFrame) -> DataFrame:
     return events.agg(F.sha2(F.to_json(F.array_sort(F.collect_set("category"))), 256).alias("taxonomy_sha256"))
 
 
-def manifest(events: DataFrame, protocol: str) -> DataFrame:
-    """A row per split: counts, time range, fingerprint, and the taxonomy's hash."""
+def check_declared(events: DataFrame, encoder: DataFrame, categories: DataFrame) -> None:
+    """The encoder's categories are the whole taxonomy, and no event has another one."""
+    coded = encoder.filter(F.col("mapping") == "category").select(F.col("value").alias("category"))
+    known = categories.select("category").distinct()
+    if not coded.exceptAll(known).unionAll(known.exceptAll(coded)).isEmpty():
+        raise ValueError("the encoder's categories aren't the taxonomy")
+    unknown = events.select("category").distinct().join(known, "category", "left_anti").orderBy("category").limit(10).collect()
+    if unknown:
+        raise ValueError(f"categories outside the taxonomy: {', '.join(r['category'] for r in unknown)}")
+
+
+def manifest(events: DataFrame, protocol: str, encoder: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """A row per split: counts, time range, fingerprint, the hash of the taxonomy (by default the categories of the events), and
+    of the encoder where one is given, which then is checked against both."""
+    if not protocol:
+        raise ValueError("the split protocol needs a name")
+    known = categories if categories is not None else events.select("category").distinct()
+    if encoder is not None:
+        check_declared(events, encoder, known)
     prints = fingerprint(events, EVENT_COLUMNS, ["split"])
-    return split_summary(events).join(prints, "split").join(F.broadcast(taxonomy_hash(events)), F.lit(True)).withColumn("split_protocol", F.lit(protocol))
+    out = split_summary(events).join(prints, "split").join(F.broadcast(taxonomy_hash(known)), F.lit(True)).withColumn("split_protocol", F.lit(protocol))
+    if encoder is None:
+        return out.withColumn("encoder_fingerprint", F.lit(None).cast("string"))
+    return out.join(F.broadcast(fingerprint(encoder, ["mapping", "value", "id"]).withColumnRenamed("fingerprint", "encoder_fingerprint")), F.lit(True))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfare.session import written_once
 
 def dense_ids(values: DataFrame, offset: int = 0) -> DataFrame:
     """value, id: distinct values in order, ids without gaps from offset. Ranges of values are numbered side by side and moved
     by the sizes of the ranges before them."""
     parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = values.select("value").filter(F.col("value").isNotNull()).distinct().repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
+    # ranges come from a sample: both branches below have to see the same ones
+    ranged = written_once(ranged)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("value").alias("first"))
     before = sizes.select(F.col("first"), (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))  # a row for each partition
     within = Window.partitionBy("part").orderBy("value")

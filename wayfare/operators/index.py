@@ -21,6 +21,10 @@ class Index:
     category_counts: DataFrame
     transition_counts: DataFrame
 
+    def kept(self) -> Index:
+        """The same tables, held by the executors, as scoring reads each of them several times."""
+        return Index(self.dataset, **{k: df.persist() for k, df in self.tables().items()})
+
     def tables(self) -> dict[str, DataFrame]:
         return {k: getattr(self, k) for k in ("poi_stats", "time_counts", "category_counts", "transition_counts")}
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.scalars import day_type, evaluation_history_bucket, rarity
 from wayfare.operators.index import Index
-from wayfare.operators.scoring import TRACE, macro_categories, ranked
+from wayfare.operators.scoring import SCORE_DIGITS, TRACE, candidate_sources
 
+#: Categories of a sample that are judged.
+MACRO = 3
 SLICES = ["history_length", "target_rarity", "day_type"]
 
 
@@ -29,8 +31,6 @@ def array_rank(values: Column, wanted: Column) -> Column:
     return F.when(F.coalesce(wanted, F.lit("")) != "", F.nullif(F.array_position(values, wanted), F.lit(0)))
 
 
-
-
 def _metrics() -> dict[str, Column]:
     """name -> mean of what, over samples. top: rank among the top_k, trace: in the trace, macro: of the category."""
     top, trace, macro = F.col("top_rank"), F.col("trace_rank"), F.col("macro_rank")
@@ -43,22 +43,28 @@ def _metrics() -> dict[str, Column]:
 def observations(rows: DataFrame, examples: DataFrame, index: Index) -> DataFrame:
     """variant, sample_id, ranks of the target, predictions, target_sources, and the slice keys. Labels are joined by
     sample_id after all scoring is done; places of the lists are pulled together once for each sample."""
-    trace = ranked(rows, TRACE)
-    lists = trace.groupBy("variant", "sample_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("top_k"), F.struct("rank", "poi_id")))), lambda x: x["poi_id"]).alias("predictions"),
-        F.array_sort(F.collect_list(F.struct("rank", "poi_id", "candidate_sources"))).alias("trace"),
+    # one ranking and one grouping serve the lists, the trace and the categories
+    order = Window.partitionBy("variant", "sample_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
+    all_ranked = rows.withColumn("rank", F.row_number().over(order))
+    lists = all_ranked.groupBy("variant", "sample_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= TRACE, F.struct("rank", "poi_id", "gives", "top_k")))).alias("trace"),
+        F.array_sort(F.collect_list(F.struct("rank", "category"))).alias("kinds"),
     )
-    macro = macro_categories(rows).groupBy("variant", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"]).alias("macro"))
+    lists = lists.select(
+        "variant", "sample_id", "trace",
+        F.transform(F.filter("trace", lambda x: x["rank"] <= x["top_k"]), lambda x: x["poi_id"]).alias("predictions"),
+        F.slice(F.array_distinct(F.transform("kinds", lambda x: x["category"])), 1, MACRO).alias("macro"),
+    )
     counts = index.poi_stats.select(F.col("poi_id").alias("target_poi_id"), F.col("n").alias("train_count"))
     labels = examples.select("sample_id", "target_poi_id", "target_category", F.size("history").alias("history_size"), "target_time").join(counts, "target_poi_id", "left")
-    joined = lists.join(macro, ["variant", "sample_id"], "left").join(labels, "sample_id")
+    joined = lists.join(labels, "sample_id")
     target = F.col("target_poi_id")
     return joined.select(
         "variant", "sample_id", "target_poi_id", "target_category", "predictions", "macro",
         array_rank(F.col("predictions"), target).alias("top_rank"),
         array_rank(F.transform("trace", lambda x: x["poi_id"]), target).alias("trace_rank"),
-        array_rank(F.coalesce("macro", F.array().cast("array<string>")), F.col("target_category")).alias("macro_rank"),
-        F.coalesce(F.get(F.filter("trace", lambda x: x["poi_id"] == target), F.lit(0))["candidate_sources"], F.array().cast("array<string>")).alias("target_sources"),
+        array_rank(F.col("macro"), F.col("target_category")).alias("macro_rank"),
+        candidate_sources(F.col("variant"), F.coalesce(F.get(F.filter("trace", lambda x: x["poi_id"] == target), F.lit(0))["gives"], F.lit(0))).alias("target_sources"),
         evaluation_history_bucket(F.col("history_size")).alias("history_length"), rarity(F.col("train_count")).alias("target_rarity"), day_type(F.col("target_time")).alias("day_type"),
     )
 
@@ -73,9 +79,9 @@ def with_validity(obs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def summarise(obs: DataFrame, catalog: DataFrame, slices: bool = False) -> DataFrame:
     """A row for each variant, or with slices for each variant, dimension and value: means over samples, rates over predicted
-    items, and the share of the catalog that is predicted."""
-    v = with_validity(obs, catalog)
+    items, and the share of the catalog that is predicted. Observations are read three times: keep them (written, or cached) before."""
     dims = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in SLICES)) if slices else F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")))
+    v = with_validity(obs, catalog)
     wide = v.withColumn("slice", F.explode(dims)).select("slice.dimension", "slice.value", *v.columns)
     keys = ["variant", "dimension", "value"]
     share = lambda part, whole: F.coalesce(F.try_divide(F.sum(part).cast("double"), F.sum(whole).cast("double")), F.lit(0.0))

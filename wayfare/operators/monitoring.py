@@ -29,58 +29,78 @@ def unknown_history(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     return requests.select("sample_id").distinct().join(unknown, "sample_id", "left").fillna(0, ["unknown_count"])
 
 
-def events_of(requests: DataFrame, rows: DataFrame, index: Index, versions: tuple[str, str, str], latency_ms: Column | None = None) -> DataFrame:
-    """A monitoring event for each request and variant of scored rows. Latency is a column of the caller's log, or 0."""
-    trace = ranked(rows, TRACE)
-    as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))
+def events_of(requests: DataFrame, rows: DataFrame, index: Index, versions: tuple[str, str, str], latency_ms: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A monitoring event for each request and variant of scored rows. Latency is a column of the caller's log, or 0. Columns
+    of the requests that are named as extra stay beside the event."""
     keys = ["variant", "sample_id"]
-    sources = trace.select(*keys, F.explode("candidate_sources").alias("source")).groupBy(*keys, "source").agg(F.count("*").alias("n")).groupBy(*keys).agg(as_map("source").alias("candidate_source_histogram"))
-    top = trace.filter(F.col("rank") <= F.col("top_k"))
-    kinds = top.groupBy(*keys, category_key(F.col("category")).alias("k")).agg(F.count("*").alias("n")).groupBy(*keys).agg(as_map("k").alias("category_histogram"))
-    entropy = top.groupBy(*keys).agg(softmax_entropy(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"])).alias("score_entropy"))
+    # one grouping of the ranked rows, dealt by sample like the ranking itself
+    lists = ranked(rows, TRACE).groupBy(*keys).agg(
+        F.flatten(F.collect_list("candidate_sources")).alias("sources"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= F.col("top_k"), F.struct("rank", "score", category_key(F.col("category")).alias("kind"))))).alias("top"),
+    )
+    histogram = lambda c: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(c)), lambda k: F.struct(k, F.size(F.filter(c, lambda x: x == k)).cast("long"))))
+    counted = lists.select(
+        *keys, histogram(F.col("sources")).alias("candidate_source_histogram"), histogram(F.transform("top", lambda x: x["kind"])).alias("category_histogram"),
+        softmax_entropy(F.transform("top", lambda x: x["score"])).alias("score_entropy"),
+    )
     size = index.poi_stats.agg(F.count("*").alias("candidate_count"))
-    facts = requests.select("sample_id", F.size("history").alias("h"), F.sha2(F.to_json(F.struct("dataset", "history", "target_time", "top_k")), 256).alias("digest"))
-    joined = sources.join(kinds, keys).join(entropy, keys).join(facts, "sample_id").join(unknown_history(requests, index.poi_stats), "sample_id").join(F.broadcast(size), F.lit(True))
+    facts = requests.select("sample_id", *extra, F.size("history").alias("h"), F.sha2(F.to_json(F.struct("dataset", "history", "target_time", "top_k")), 256).alias("digest"))
+    joined = counted.join(facts, "sample_id").join(unknown_history(requests, index.poi_stats), "sample_id").join(F.broadcast(size), F.lit(True))
     latency = latency_ms if latency_ms is not None else F.lit(0.0)
     version = F.struct(*(F.lit(v).alias(n) for n, v in zip(("release", "data", "model"), versions)))
     return joined.select(
         request_id(F.col("digest"), F.col("variant")).alias("request_id"), version.alias("versions"), monitoring_history_bucket(F.col("h")).alias("history_length_bucket"),
         "unknown_count", "candidate_count", "candidate_source_histogram", "category_histogram", "score_entropy",
-        F.create_map(F.lit("total"), latency).alias("stage_latency_ms"), latency.alias("total_latency_ms"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_code"),
-    ).select(*MONITORING_FIELDS)
+        F.create_map(F.lit("total"), latency).alias("stage_latency_ms"), latency.alias("total_latency_ms"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_code"), *extra,
+    ).select(*MONITORING_FIELDS, *extra)
 
 
-def distributions(events: DataFrame) -> DataFrame:
-    """dimension, key, weight, share: the six distributions of a window. Keys of weight 0 stay."""
+def distributions(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """dimension, key, weight, share: the six distributions of a window (or of each window of by). Keys of weight 0 stay."""
     one = lambda d, key: F.struct(F.lit(d).alias("dimension"), key.alias("key"), F.lit(1).cast("long").alias("weight"))
     of_map = lambda d, m: F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,bigint>"))), lambda e: F.struct(F.lit(d).alias("dimension"), e["key"].alias("key"), e["value"].alias("weight")))
     plain = F.array(
         one("history_length", F.col("history_length_bucket")), one("unknown_count", small_count_bucket(F.col("unknown_count"))),
         one("candidate_count", candidate_count_bucket(F.col("candidate_count"))), one("status", F.col("status")),
     )
-    rows = events.select(F.explode(F.concat(plain, of_map("candidate_source", "candidate_source_histogram"), of_map("category", "category_histogram"))).alias("r")).select("r.*")
-    sums = rows.groupBy("dimension", "key").agg(F.sum("weight").alias("weight"))
-    whole = F.sum("weight").over(Window.partitionBy("dimension"))
+    rows = events.select(*by, F.explode(F.concat(plain, of_map("candidate_source", "candidate_source_histogram"), of_map("category", "category_histogram"))).alias("r")).select(*by, "r.*")
+    sums = rows.groupBy(*by, "dimension", "key").agg(F.sum("weight").alias("weight"))
+    whole = F.sum("weight").over(Window.partitionBy(*by, "dimension"))
     return sums.withColumn("share", F.coalesce(F.try_divide(F.col("weight").cast("double"), whole.cast("double")), F.lit(0.0)))
 
 
+def _both(reference: DataFrame, current: DataFrame) -> DataFrame:
+    return reference.select(*MONITORING_FIELDS, F.lit("reference").alias("window")).unionByName(current.select(*MONITORING_FIELDS, F.lit("current").alias("window")))
+
+
+def _compared(shares: DataFrame, by: str, reference: str, current: str) -> DataFrame:
+    of = lambda name: F.coalesce(F.max(F.when(F.col(by) == name, F.col("share"))), F.lit(0.0))
+    return shares.groupBy("dimension", "key").agg(of(reference).alias("ref"), of(current).alias("cur"))
+
+
 def compare_distributions(reference: DataFrame, current: DataFrame) -> DataFrame:
     """dimension, key, ref, cur over the keys of both windows."""
-    side = lambda df, name: distributions(df).select("dimension", "key", F.col("share").alias(name))
-    return side(reference, "ref").join(side(current, "cur"), ["dimension", "key"], "full").fillna(0.0, ["ref", "cur"])
+    return _compared(distributions(_both(reference, current), ("window",)), "window", "reference", "current")
 
 
 def drift(reference: DataFrame, current: DataFrame, js_limit: float = JS_LIMIT, psi_limit: float = PSI_LIMIT) -> DataFrame:
     """dimension, js, psi, alert. Jensen-Shannon divergence (natural logarithm) and population stability index."""
-    for name, window in (("reference", reference), ("current", current)):
-        if window.isEmpty():
+    return drift_between(_both(reference, current), "window", "reference", "current", js_limit, psi_limit)
+
+
+def drift_between(events: DataFrame, by: str, reference: str, current: str, js_limit: float = JS_LIMIT, psi_limit: float = PSI_LIMIT) -> DataFrame:
+    """drift of two windows of one table, which its column by tells apart: events are read once."""
+    shares = distributions(events.filter(F.col(by).isin(reference, current)), (by,)).persist()  # a row for each key of a window
+    found = {r[by] for r in shares.select(by).distinct().collect()}
+    for name in (reference, current):
+        if name not in found:
             raise ValueError(f"the {name} window is empty")
     ref, cur = F.col("ref"), F.col("cur")
     mid = (ref + cur) / 2
     part = lambda p: F.when(p > 0, p / 2 * F.ln(p / F.nullif(mid, F.lit(0.0)))).otherwise(0.0)
     floor = lambda p: F.greatest(p, F.lit(PSI_FLOOR))
     psi = (floor(cur) - floor(ref)) * F.ln(floor(cur) / floor(ref))
-    sums = compare_distributions(reference, current).groupBy("dimension").agg(F.greatest(F.lit(0.0), F.sum(part(ref) + part(cur))).alias("js"), F.sum(psi).alias("psi"))
+    sums = _compared(shares, by, reference, current).groupBy("dimension").agg(F.greatest(F.lit(0.0), F.sum(part(ref) + part(cur))).alias("js"), F.sum(psi).alias("psi"))
     return sums.withColumn("alert", (F.col("js") > js_limit) | (F.col("psi") > psi_limit))
 
 

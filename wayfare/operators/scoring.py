@@ -20,15 +20,15 @@ from wayfare.functions.scalars import TIME_BUCKETS, time_bucket
 from wayfare.operators.index import Index
 
 # Weights of the signals, and the signals of each variant, in the order in which they add up.
-WEIGHTS = {"global": 1.0, "time_popularity": 1.25, "transition": 2.0, "recent_revisit": 1.5, "history_category": 0.75}
+WEIGHTS = {"global_popularity": 1.0, "time_popularity": 1.25, "transition": 2.0, "recent_revisit": 1.5, "history_category": 0.75}
 VARIANTS = {
-    "b0": ["global"],
-    "b1": ["global", "time_popularity"],
-    "b2": ["global", "time_popularity", "transition"],
-    "b3": ["global", "time_popularity", "transition", "recent_revisit", "history_category"],
-    "b3_no_time": ["global", "transition", "recent_revisit", "history_category"],
-    "b3_no_transition": ["global", "time_popularity", "recent_revisit", "history_category"],
-    "b3_no_history": ["global", "time_popularity", "transition"],
+    "b0": ["global_popularity"],
+    "b1": ["global_popularity", "time_popularity"],
+    "b2": ["global_popularity", "time_popularity", "transition"],
+    "b3": ["global_popularity", "time_popularity", "transition", "recent_revisit", "history_category"],
+    "b3_no_time": ["global_popularity", "transition", "recent_revisit", "history_category"],
+    "b3_no_transition": ["global_popularity", "time_popularity", "recent_revisit", "history_category"],
+    "b3_no_history": ["global_popularity", "time_popularity", "transition"],
 }
 TRACE = 100
 RECENT = 10
@@ -42,10 +42,13 @@ def check_variants(variants: list[str]) -> list[str]:
     return variants
 
 
-def request_facts(requests: DataFrame) -> DataFrame:
-    """What scoring needs of a request: bucket, latest place, places from the latest on, recent categories."""
+def request_facts(requests: DataFrame, dataset: str = "") -> DataFrame:
+    """What scoring needs of a request: bucket, latest place, places from the latest on, recent categories. With a dataset,
+    a request of another one is an error, as its places aren't those of the index."""
     visits = F.array_sort(F.transform("history", lambda h: F.struct(h["timestamp"], h["poi_id"], h["category_name"])))
-    v = requests.select("sample_id", "top_k", time_bucket(F.col("target_time")).alias("bucket"), F.reverse(visits).alias("v"))
+    other = F.raise_error(F.concat(F.lit(f"the index is of {dataset}, a request is of "), F.coalesce("dataset", F.lit("no dataset")))).cast("string")
+    sample = F.when(F.col("dataset").eqNullSafe(F.lit(dataset)), F.col("sample_id")).otherwise(other) if dataset else F.col("sample_id")
+    v = requests.select(sample.alias("sample_id"), "top_k", time_bucket(F.col("target_time")).alias("bucket"), F.reverse(visits).alias("v"))
     return v.select(
         "sample_id", "top_k", "bucket", F.get("v", F.lit(0))["poi_id"].alias("latest"), F.transform("v", lambda h: h["poi_id"]).alias("back"),
         F.array_distinct(F.transform(F.slice("v", 1, RECENT), lambda h: h["category_name"])).alias("recent"),
@@ -53,7 +56,7 @@ def request_facts(requests: DataFrame) -> DataFrame:
 
 
 def _term(signal: str, value: Column) -> Column:
-    return value * WEIGHTS[signal] if signal == "recent_revisit" else F.log1p(value) if signal == "global" else F.log1p(value) * WEIGHTS[signal]
+    return value * WEIGHTS[signal] if signal == "recent_revisit" else F.log1p(value) if signal == "global_popularity" else F.log1p(value) * WEIGHTS[signal]
 
 
 def _best(df: DataFrame, keys: list[str], score: Column, k: int) -> DataFrame:
@@ -62,18 +65,23 @@ def _best(df: DataFrame, keys: list[str], score: Column, k: int) -> DataFrame:
 
 
 def candidate_pool(facts: DataFrame, index: Index, variants: list[str], depth: int) -> DataFrame:
-    """sample_id, poi_id: every place that one of the variants can rank within depth, and what the categories need."""
+    """sample_id, poi_id, transition, recent_revisit: every place that one of the variants can rank within depth, and what the
+    categories need, with what the request itself gives to it. Only narrow rows are dealt: the history stays where it is."""
     active = set().union(*(VARIANTS[v] for v in variants))
     bucket = F.explode(F.array(*map(F.lit, TIME_BUCKETS))).alias("bucket")
     base = index.poi_stats.select("poi_id", "category", F.col("n").alias("g"), bucket).join(index.time_counts.withColumnRenamed("n", "t"), ["bucket", "poi_id"], "left").fillna(0, ["t"])
-    bases = {tuple(s for s in VARIANTS[v] if s in ("global", "time_popularity")) for v in variants}
-    scores = [reduce(lambda a, b: a + b, (_term(s, F.col({"global": "g", "time_popularity": "t"}[s])) for s in names)) for names in sorted(bases)]
+    bases = {tuple(s for s in VARIANTS[v] if s in ("global_popularity", "time_popularity")) for v in variants}
+    scores = [reduce(lambda a, b: a + b, (_term(s, F.col({"global_popularity": "g", "time_popularity": "t"}[s])) for s in names)) for names in sorted(bases)]
     of_bucket = reduce(DataFrame.unionAll, [x for s in scores for x in (_best(base, ["bucket"], s, depth), _best(base, ["bucket", "category"], s, 1).select("bucket", "poi_id"))])
-    lists = of_bucket.groupBy("bucket").agg(F.collect_set("poi_id").alias("pois"))
-    parts = [facts.join(lists, "bucket").select("sample_id", "pois"), facts.select("sample_id", F.col("back").alias("pois"))]
+    # one row for each time bucket, with depth places and one of each category at most
+    lists = F.broadcast(of_bucket.groupBy("bucket").agg(F.collect_set("poi_id").alias("pois")))
+    none, gives = F.lit(0).cast("long"), lambda poi, m, r: F.struct(poi.alias("poi_id"), m.cast("long").alias("m"), r.cast("double").alias("r"))
+    plain = lambda pois: F.transform(pois, lambda p: gives(p, none, F.lit(0.0))).alias("gives")
+    back = F.transform("back", lambda p, i: gives(p, none, F.lit(1.0) / (i + 1)))
+    parts = [facts.join(lists, "bucket").select("sample_id", F.concat(plain(F.col("pois")), back).alias("gives"))]
     if "transition" in active:
-        targets = index.transition_counts.groupBy("src").agg(F.collect_set("dst").alias("pois"))
-        parts.append(facts.join(targets, facts["latest"] == targets["src"]).select("sample_id", "pois"))
+        targets = index.transition_counts.groupBy("src").agg(F.collect_list(gives(F.col("dst"), F.col("n"), F.lit(0.0))).alias("gives"))
+        parts.append(facts.join(targets, facts["latest"] == targets["src"]).select("sample_id", "gives"))
     if "history_category" in active:
         kinds = index.category_counts.groupBy("poi_id").agg(F.count("*").alias("kinds"))
         seen = index.category_counts.withColumnRenamed("n", "c").join(kinds, "poi_id")
@@ -83,59 +91,66 @@ def candidate_pool(facts: DataFrame, index: Index, variants: list[str], depth: i
         by_kind = best.groupBy("bucket", "category").agg(F.collect_set("poi_id").alias("pois"))
         several = seen.filter("kinds > 1").groupBy("category").agg(F.collect_set("poi_id").alias("pois"))
         recent = facts.select("sample_id", "bucket", F.explode("recent").alias("category"))
-        parts += [recent.join(by_kind, ["bucket", "category"]).select("sample_id", "pois"), recent.join(several, "category").select("sample_id", "pois")]
-    rows = reduce(DataFrame.unionAll, parts).select("sample_id", F.explode("pois").alias("poi_id")).distinct()
-    return rows.join(index.poi_stats.select("poi_id"), "poi_id", "left_semi")
+        of_category = recent.join(several, "category").groupBy("sample_id").agg(F.array_distinct(F.flatten(F.collect_list("pois"))).alias("pois"))
+        parts += [recent.join(by_kind, ["bucket", "category"]).select("sample_id", plain(F.col("pois"))), of_category.select("sample_id", plain(F.col("pois")))]
+    rows = reduce(DataFrame.unionAll, parts).select("sample_id", F.explode("gives").alias("x")).select("sample_id", "x.*")
+    # dealt by sample, as are all steps after it
+    return rows.repartition("sample_id").groupBy("sample_id", "poi_id").agg(F.max("m").alias("transition"), F.max("r").alias("recent_revisit"))
 
 
 def signals(pool: DataFrame, facts: DataFrame, index: Index) -> DataFrame:
-    """The five raw signals of each (request, place) of the pool."""
+    """The five raw signals of each (request, place) of the pool that the index knows."""
     as_map = lambda df, key: df.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias(f"{key}s"))
     wide = index.poi_stats.join(as_map(index.time_counts, "bucket"), "poi_id", "left").join(as_map(index.category_counts, "category"), "poi_id", "left")
     wide = wide.select("poi_id", "category", "model_poi_id", F.col("n").alias("g"), "buckets", "categorys")
-    moves = index.transition_counts.select(F.col("src").alias("latest"), F.col("dst").alias("poi_id"), F.col("n").alias("m"))
-    joined = pool.join(facts, "sample_id").join(wide, "poi_id").join(moves, ["latest", "poi_id"], "left")
-    position = F.array_position("back", F.col("poi_id"))
+    joined = pool.join(facts.select("sample_id", "top_k", "bucket", "recent"), "sample_id").join(wide, "poi_id")
     count = lambda m, key: F.coalesce(F.try_element_at(m, key), F.lit(0).cast("long"))
     return joined.select(
         "sample_id", "top_k", "poi_id", "category", "model_poi_id",
-        F.col("g").alias("global"), count(F.col("buckets"), F.col("bucket")).alias("time_popularity"), F.coalesce("m", F.lit(0).cast("long")).alias("transition"),
-        F.when(position > 0, F.lit(1.0) / position).otherwise(0.0).alias("recent_revisit"),
+        F.col("g").alias("global_popularity"), count(F.col("buckets"), F.col("bucket")).alias("time_popularity"), "transition", "recent_revisit",
         F.aggregate("recent", F.lit(0).cast("long"), lambda a, c: a + count(F.col("categorys"), c)).alias("history_category"),
     )
 
 
 def scored(signal_rows: DataFrame, variants: list[str]) -> DataFrame:
-    """One row for each variant, with score and candidate_sources."""
+    """One row for each variant, with its score and gives, the bits of the signals that are above 0."""
 
     def of(variant: str) -> Column:
-        names = VARIANTS[variant]
-        score = reduce(lambda a, b: a + b, (_term(s, F.col(s)) for s in names))
-        sources = F.filter(F.array(*(F.when(F.lit(s == "global") | (F.col(s) > 0), F.lit(s)) for s in names)), lambda s: s.isNotNull())
-        return F.struct(F.lit(variant).alias("variant"), score.alias("score"), sources.alias("candidate_sources"))
+        return F.struct(F.lit(variant).alias("variant"), reduce(lambda a, b: a + b, (_term(s, F.col(s)) for s in VARIANTS[variant])).alias("score"))
 
-    rows = signal_rows.withColumn("v", F.explode(F.array(*map(of, variants))))
-    return rows.select("v.variant", "sample_id", "top_k", "poi_id", "model_poi_id", "category", "v.score", "v.candidate_sources")
+    bits = reduce(lambda a, b: a + b, (F.when(F.lit(s == "global_popularity") | (F.col(s) > 0), 1 << i).otherwise(0) for i, s in enumerate(WEIGHTS)))
+    rows = signal_rows.withColumn("gives", bits).withColumn("v", F.explode(F.array(*map(of, variants))))
+    return rows.select("v.variant", "sample_id", "top_k", "poi_id", "model_poi_id", "category", "v.score", "gives")
+
+
+def candidate_sources(variant: Column, gives: Column) -> Column:
+    """The names of a variant's signals that a place has, in the order of the variant; popularity always is one."""
+    order = list(WEIGHTS)
+    named = lambda names: F.filter(F.array(*(F.when(gives.bitwiseAND(F.lit(1 << order.index(s))) > 0, F.lit(s)) for s in names)), lambda s: s.isNotNull())
+    return reduce(lambda rest, v: F.when(variant == v, named(VARIANTS[v])).otherwise(rest), VARIANTS, F.array().cast("array<string>"))
+
+
+def _by_score() -> Window:
+    return Window.partitionBy("variant", "sample_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
 
 
 def ranked(rows: DataFrame, limit: int = TRACE) -> DataFrame:
-    order = Window.partitionBy("variant", "sample_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    top = rows.withColumn("rank", F.row_number().over(_by_score())).filter(F.col("rank") <= limit)
+    return top.withColumn("candidate_sources", candidate_sources(F.col("variant"), F.col("gives"))).drop("gives")
 
 
 def macro_categories(rows: DataFrame, limit: int = 3) -> DataFrame:
     """variant, sample_id, rank, category: categories in the order in which they first come in the ranking."""
     first = Window.partitionBy("variant", "sample_id", "category").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
-    order = Window.partitionBy("variant", "sample_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
     heads = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    return heads.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("variant", "sample_id", "rank", "category", "score")
+    return heads.withColumn("rank", F.row_number().over(_by_score())).filter(F.col("rank") <= limit).select("variant", "sample_id", "rank", "category", "score")
 
 
 def score_requests(requests: DataFrame, index: Index, variants: list[str], depth: int = TRACE) -> DataFrame:
     """All rows of the pools with their scores: ranked() and macro_categories() give the results. Only requests come in here:
     labels can't change a score."""
     check_variants(variants)
-    facts = request_facts(assert_target_blind(requests))
+    facts = request_facts(assert_target_blind(requests), index.dataset)
     return scored(signals(candidate_pool(facts, index, variants, depth), facts, index), variants)
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators.audit import manifest, overlap_counts
+from wayfare.operators.audit import EVENT_COLUMNS, fingerprint, manifest, overlap_counts, split_summary, temporal_boundaries, temporal_order
 from wayfare.operators.encoder import fit_encoder
 from wayfare.operators.examples import build_examples, requests_of, require_unique
 from wayfare.operators.index import Index, fit_index, taxonomy
 from wayfare.operators.metrics import failures, observations, summarise
-from wayfare.operators.scoring import VARIANTS, check_variants, ranked, score_requests
+from wayfare.operators.scoring import VARIANTS, check_variants, recommendations, score_requests
 from wayfare.session import get_session
 from wayfare.sources import tables
 from wayfare.sources.checkins import read_splits
@@ -29,11 +31,15 @@ def evaluate(events: DataFrame, protocol: str, variants: list[str], top_k: int =
 def run_evaluation(spark: SparkSession, dataset: str, paths: dict[str, str], output: str, protocol: str, variants: list[str], release: str = "dev", top_k: int = 10) -> DataFrame:
     """Writes manifest, overlaps, encoder, bundle, recommendations, summary, slices, failures and ledger under output, which must
     not exist. Returns the summary."""
+    began = time.time()
     check_variants(variants)
     events = read_splits(spark, paths, dataset)
-    manifest(events, protocol).withColumn("release", F.lit(release)).write.mode("errorifexists").parquet(f"{output}/manifest")
+    categories = taxonomy(events)
+    tables.save_encoder(fit_encoder(events.filter(F.col("split") == "train"), categories), f"{output}/encoder", dataset)
+    encoder = tables.load_encoder(spark, f"{output}/encoder", dataset)
+    manifest(events, protocol, encoder, categories).withColumn("release", F.lit(release)).write.mode("errorifexists").parquet(f"{output}/manifest")
     overlap_counts(events).write.parquet(f"{output}/overlaps")
-    tables.save_encoder(fit_encoder(events.filter(F.col("split") == "train"), taxonomy(events)), f"{output}/encoder")
+    temporal_order(temporal_boundaries(split_summary(events))).write.parquet(f"{output}/order")
     tables.save_bundle(fit_index(events.filter(F.col("split") == "train")), f"{output}/bundle", variants[0])
     index, _ = tables.load_bundle(spark, f"{output}/bundle")
     # examples and scored rows are written once and read by all that follows
@@ -41,15 +47,19 @@ def run_evaluation(spark: SparkSession, dataset: str, paths: dict[str, str], out
     examples = spark.read.parquet(f"{output}/examples")
     score_requests(requests_of(examples), index, variants).write.parquet(f"{output}/scored")
     rows = spark.read.parquet(f"{output}/scored")
-    ranked(rows).filter(F.col("rank") <= F.col("top_k")).drop("top_k").write.parquet(f"{output}/recommendations")
-    observations(rows, examples, index).write.parquet(f"{output}/observations")
+    by_sample = lambda df, *more: df.repartitionByRange("sample_id").sortWithinPartitions("sample_id", "variant", *more)
+    by_sample(recommendations(rows), "rank").write.parquet(f"{output}/recommendations")
+    by_sample(observations(rows, examples, index)).write.parquet(f"{output}/observations")
     obs = spark.read.parquet(f"{output}/observations")
     summarise(obs, index.poi_stats).write.parquet(f"{output}/summary")
     summarise(obs, index.poi_stats, slices=True).write.parquet(f"{output}/slices")
-    failures(obs, index.poi_stats).write.parquet(f"{output}/failures")
+    by_sample(failures(obs, index.poi_stats)).write.parquet(f"{output}/failures")
     summary = spark.read.parquet(f"{output}/summary")
-    tables.append_runs(summary, f"{output}/runs", f"{dataset}-{release}", {"protocol": protocol, "dataset": dataset})
-    text = spark.createDataFrame(list(zip(("json", "markdown"), tables.report(summary, f"Evaluation of {dataset}"))), "format string, text string")
+    data = fingerprint(events, EVENT_COLUMNS).first()["fingerprint"]
+    core = tables.report_core(summary, spark.read.parquet(f"{output}/slices"), spark.read.parquet(f"{output}/failures"), examples, dataset, release, data)
+    tables.append_runs(summary, f"{output}/runs", f"{dataset}-{release}", {"protocol": protocol, "dataset": dataset}, core)
+    texts = {"core": json.dumps(core, sort_keys=True), "markdown": tables.report(summary, f"Evaluation of {dataset}")[1], "runtime": json.dumps({"seconds": time.time() - began})}
+    text = spark.createDataFrame(list(texts.items()), "format string, text string")
     text.coalesce(1).write.json(f"{output}/report")
     return summary
 

@@ -192,9 +192,10 @@ def e2(spark, sf_dir):
     return rows.select("sample_id", "split", "target_poi_id", "target_category", F.size("history").cast("long").alias("history_size"), F.array_join("history.poi_id", ",").alias("places"))
 
 
-@query("d25_duplicate_samples", f"WITH {L_SQL}, {EXAMPLES_SQL} SELECT sid AS sample_id, count(*) AS n FROM sm GROUP BY 1 HAVING count(*) > 1")
+@query("d25_duplicate_samples", f"WITH {L_SQL}, {EXAMPLES_SQL} SELECT sid AS sample_id, count(*) AS n FROM (SELECT sid FROM sm UNION ALL SELECT sid FROM sm WHERE sid < '4') GROUP BY 1 HAVING count(*) > 1")
 def d25(spark, sf_dir):
-    return examples.duplicate_samples(examples.build_examples(_rest(l_view(spark, sf_dir)), PROTOCOL))
+    rows = examples.build_examples(_rest(l_view(spark, sf_dir)), PROTOCOL)
+    return examples.duplicate_samples(rows.unionAll(rows.filter(F.col("sample_id") < "4")))  # some come twice
 
 
 # C, D: audits
@@ -236,9 +237,18 @@ def d9(spark, sf_dir):
     return audit.temporal_boundaries(audit.split_summary(l_view(spark, sf_dir)))
 
 
+@query(
+    "d9_overall_order",
+    f"WITH {L_SQL}, m AS (SELECT split, min(ts) AS a, max(ts) AS b FROM e GROUP BY 1) SELECT bool_and(x.b <= y.a) AS temporal_splits_ordered FROM m x, m y WHERE (x.split, y.split) IN (('train', 'validation'), ('validation', 'test'))",
+)
+def d9_all(spark, sf_dir):
+    return audit.temporal_order(audit.temporal_boundaries(audit.split_summary(l_view(spark, sf_dir))))
+
+
 @query("d10_manifest")
 def d10(spark, sf_dir):
-    return audit.manifest(e_view(spark, sf_dir), PROTOCOL)
+    e = e_view(spark, sf_dir)
+    return audit.manifest(e, PROTOCOL, encoder.fit_encoder(_train(e), index.taxonomy(e)), index.taxonomy(e))
 
 
 @query(
@@ -250,10 +260,27 @@ def e6(spark, sf_dir):
     return audit.input_ordered(e, "event_id")
 
 
-@query("d24_index_audit", f"WITH {E_SQL}, r AS (SELECT unnest(['time_sum', 'category_sum', 'voted_category', 'outgoing', 'incoming', 'positive', 'model_ids', 'buckets', 'time_pois', 'category_pois', 'transition_sources', 'transition_targets', 'taxonomy']) AS rule) SELECT rule, CAST(0 AS BIGINT) AS violations FROM r")
+_BROKEN = {
+    "time_sum": "(SELECT count(*) FROM poi WHERE p < 'poi-010')", "category_sum": "(SELECT count(*) FROM poi WHERE p < 'poi-010')", "voted_category": "(SELECT count(*) FROM poi WHERE p >= 'poi-090')",
+    "outgoing": "(SELECT count(*) FROM (SELECT 1 FROM mv WHERE src = 'poi-030' LIMIT 1))", "buckets": "(SELECT count(*) FROM tm WHERE p = 'poi-020')",
+    "transition_sources": "(SELECT count(*) FROM mv WHERE src = 'poi-030')", "taxonomy": "(SELECT count(DISTINCT c) FROM cat WHERE c = 'click')",
+}
+_RULES = ["time_sum", "category_sum", "voted_category", "outgoing", "incoming", "positive", "model_ids", "buckets", "time_pois", "category_pois", "transition_sources", "transition_targets", "taxonomy"]
+
+
+@query("d24_index_audit", f"WITH {E_SQL}, {INDEX_SQL} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST({_BROKEN.get(r, '0')} AS BIGINT) AS violations" for r in _RULES))
 def d24(spark, sf_dir):
+    """Of an index with planted errors: counts, votes, a bucket, a source and a category that aren't those of its rows."""
     e = e_view(spark, sf_dir)
-    return index.audit_index(index.fit_index(_train(e)), index.taxonomy(e))
+    idx, p = index.fit_index(_train(e)), F.col("poi_id")
+    planted = index.Index(
+        idx.dataset,
+        idx.poi_stats.withColumn("n", F.col("n") + (p < "poi-010").cast("long")).withColumn("category", F.when(p >= "poi-090", "none").otherwise(F.col("category"))),
+        idx.time_counts.withColumn("bucket", F.when(p == "poi-020", "noon").otherwise(F.col("bucket"))),
+        idx.category_counts,
+        idx.transition_counts.withColumn("src", F.when(F.col("src") == "poi-030", "lost").otherwise(F.col("src"))),
+    )
+    return index.audit_index(planted, index.taxonomy(e).filter("category <> 'click'"))
 
 
 @query(
@@ -279,16 +306,16 @@ def f4(spark, sf_dir):
     return index.taxonomy(l_view(spark, sf_dir))
 
 
-@query("f7_unseen_pois", f"WITH {L_SQL} SELECT DISTINCT p AS raw_poi_id FROM e WHERE split <> 'train' AND p NOT IN (SELECT p FROM e WHERE split = 'train')")
+@query("f7_unseen_pois", f"WITH {L_SQL} SELECT DISTINCT p AS raw_poi_id FROM e WHERE split <> 'train' AND p NOT IN (SELECT p FROM e WHERE split = 'train' AND p NOT LIKE '%7')")
 def f7(spark, sf_dir):
     e = l_view(spark, sf_dir)
-    return encoder.unseen_values(_train(e), _rest(e), "raw_poi_id")
+    return encoder.unseen_values(_train(e).filter(~F.col("raw_poi_id").endswith("7")), _rest(e), "raw_poi_id")  # some are held back
 
 
 # G: scores. The SQL scores every place for every request.
 
-_TERMS = {"global": "ln(1 + g)", "time_popularity": "1.25 * ln(1 + t)", "transition": "2.0 * ln(1 + m)", "recent_revisit": "1.5 * r", "history_category": "0.75 * ln(1 + k)"}
-_COLUMN = {"global": "g", "time_popularity": "t", "transition": "m", "recent_revisit": "r", "history_category": "k"}
+_TERMS = {"global_popularity": "ln(1 + g)", "time_popularity": "1.25 * ln(1 + t)", "transition": "2.0 * ln(1 + m)", "recent_revisit": "1.5 * r", "history_category": "0.75 * ln(1 + k)"}
+_COLUMN = {"global_popularity": "g", "time_popularity": "t", "transition": "m", "recent_revisit": "r", "history_category": "k"}
 DENSE_SQL = f"""WITH {E_SQL}, {INDEX_SQL}, {EXAMPLES_SQL},
 rv AS (SELECT sid, p, max(1.0 / pos) AS r FROM hi GROUP BY 1, 2),
 rc AS (SELECT DISTINCT sid, c FROM hi WHERE pos <= 10),
@@ -301,18 +328,24 @@ sg AS (SELECT sm.sid, poi.p, vote.c, poi.n AS g, coalesce(tm.n, 0) AS t, coalesc
 
 def _score_sql(variant: str) -> str:
     names = scoring.VARIANTS[variant]
-    sources = " || ".join(["'global'"] + [f"CASE WHEN {_COLUMN[s]} > 0 THEN ',{s}' ELSE '' END" for s in names[1:]])
+    sources = " || ".join(["'global_popularity'"] + [f"CASE WHEN {_COLUMN[s]} > 0 THEN ',{s}' ELSE '' END" for s in names[1:]])
     return f"""{DENSE_SQL}, sc AS (SELECT sid, p, c, {" + ".join(_TERMS[s] for s in names)} AS score, {sources} AS sources FROM sg),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(score, 12) DESC, p) AS rank FROM sc)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str, variants: list[str]):
-    e = e_view(spark, sf_dir)
-    idx = index.fit_index(_train(e))
-    rows = examples.build_examples(_rest(e), PROTOCOL)
+def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view):
+    e = view(spark, sf_dir)
+    idx = index.fit_index(_train(e)).kept()
+    rows = examples.build_examples(_rest(e), PROTOCOL).persist()
     return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants)
 
 
+def _observed(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view):
+    """Observations are kept, as summaries read them several times."""
+    idx, rows, scores = _scored(spark, sf_dir, variants, view)
+    return idx, metrics.observations(scores, rows, idx).persist()
+
+
 def _top10(variant: str):
     def run(spark, sf_dir):
         top = scoring.recommendations(_scored(spark, sf_dir, [variant])[2])
@@ -324,6 +357,13 @@ def _top10(variant: str):
 for _n, _v in enumerate(scoring.VARIANTS, 1):
     query(f"g{_n}_rank_{_v}", f"{_score_sql(_v)} SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10")(_top10(_v))
 
+@query("g4_rank_b3_places", f"{_score_sql('b3').replace(E_SQL, L_SQL)} SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10")
+def g4_places(spark, sf_dir):
+    """On the view of many places of one category each, where the pool is a small part of the catalog."""
+    top = scoring.recommendations(_scored(spark, sf_dir, ["b3"], l_view)[2])
+    return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
+
+
 _MACRO_SQL = "hd AS (SELECT sid, c, min(rank) AS first FROM rk GROUP BY 1, 2), mc AS (SELECT sid, c, row_number() OVER (PARTITION BY sid ORDER BY first) AS rank FROM hd)"
 
 
@@ -354,19 +394,32 @@ def _matrix_sql() -> str:
 
 @query("d12_d27_variant_matrix", _matrix_sql())
 def d12(spark, sf_dir):
-    idx, rows, scores = _scored(spark, sf_dir, list(scoring.VARIANTS))
-    summary = metrics.summarise(metrics.observations(scores, rows, idx), idx.poi_stats)
+    idx, observed = _observed(spark, sf_dir, list(scoring.VARIANTS))
+    summary = metrics.summarise(observed, idx.poi_stats)
     return summary.select("variant", "samples", *(F.round(c, 9).alias(c) for c in [*_METRIC_NAMES, "coverage"]), "validity_rate")
 
 
+@query(
+    "d13_validity",
+    f"""{_score_sql("b3")}, pr AS (SELECT sid, count(*) AS n, count(*) FILTER (WHERE NOT p < 'poi-050') AS bad, count(DISTINCT p) AS d FROM rk WHERE rank <= 10 GROUP BY 1)
+    SELECT round(avg(CASE WHEN n > 0 AND bad = 0 AND n = d THEN 1.0 ELSE 0.0 END), 9) AS validity_rate, round(sum(bad) / sum(n), 9) AS invalid_rate, round(sum(n - d) / sum(n), 9) AS duplicate_rate,
+    round((SELECT count(DISTINCT p) FROM rk WHERE rank <= 10 AND p < 'poi-050') / (SELECT count(*) FROM poi WHERE p < 'poi-050'), 9) AS coverage FROM pr""",
+)
+def d13(spark, sf_dir):
+    """Against a catalog that lacks half of the places, so that some predictions are invalid."""
+    idx, observed = _observed(spark, sf_dir, ["b3"])
+    summary = metrics.summarise(observed, idx.poi_stats.filter("poi_id < 'poi-050'"))
+    return summary.select(*(F.round(c, 9).alias(c) for c in ("validity_rate", "invalid_rate", "duplicate_rate", "coverage")))
+
+
 @query(
     "d14_slices",
     f"{_score_sql('b3')}, {_OBS_SQL} "
     + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS samples, {_METRIC_SQL} FROM sl GROUP BY 2" for d in metrics.SLICES),
 )
 def d14(spark, sf_dir):
-    idx, rows, scores = _scored(spark, sf_dir, ["b3"])
-    summary = metrics.summarise(metrics.observations(scores, rows, idx), idx.poi_stats, slices=True)
+    idx, observed = _observed(spark, sf_dir, ["b3"])
+    summary = metrics.summarise(observed, idx.poi_stats, slices=True)
     return summary.select("dimension", "value", "samples", *(F.round(c, 9).alias(c) for c in _METRIC_NAMES))
 
 
@@ -376,8 +429,8 @@ def d14(spark, sf_dir):
     "SELECT sid AS sample_id, 'target_miss_at_10' AS reasons, predictions, CASE WHEN trace IS NULL THEN '' ELSE sources END AS target_sources FROM sl JOIN pr USING (sid) WHERE top IS NULL",
 )
 def d15(spark, sf_dir):
-    idx, rows, scores = _scored(spark, sf_dir, ["b3"])
-    bad = metrics.failures(metrics.observations(scores, rows, idx), idx.poi_stats)
+    idx, observed = _observed(spark, sf_dir, ["b3"])
+    bad = metrics.failures(observed, idx.poi_stats)
     return bad.select("sample_id", *(F.array_join(c, ",").alias(c) for c in ("reasons", "predictions", "target_sources")))
 
 
@@ -402,29 +455,21 @@ dr AS (SELECT dimension, greatest(0, sum(CASE WHEN r > 0 THEN r / 2 * ln(r / ((r
 SELECT dimension, round(js, 9) AS js, round(psi, 9) AS psi, js > 0.1 OR psi > 0.2 AS alert FROM dr"""
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Monitoring events of the validation and of the test requests."""
-    e = e_view(spark, sf_dir)
-    idx = index.fit_index(_train(e))
-    rows = examples.build_examples(_rest(e), PROTOCOL)
-
-    def window(split: str) -> DataFrame:
-        requests = examples.requests_of(rows.filter(F.col("split") == split))
-        return monitoring.events_of(requests, scoring.score_requests(requests, idx, ["b3"]), idx, ("r1", "d1", "m1"))
-
-    return window("validation"), window("test")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitoring events of the validation and of the test requests, with their split."""
+    idx, rows, scores = _scored(spark, sf_dir, ["b3"])
+    split = rows.select("sample_id", "split")
+    return monitoring.events_of(examples.requests_of(rows).join(split, "sample_id"), scores, idx, ("r1", "d1", "m1"), extra=("split",))
 
 
 @query("g10_batch_scoring", f"{_EVENT_SQL} SELECT split, hb AS history_length_bucket, unknown AS unknown_count, cc AS candidate_count, count(*) AS n, round(sum(entropy), 4) AS entropy FROM ev2 GROUP BY ALL")
 def g10(spark, sf_dir):
-    a, b = _windows(spark, sf_dir)
-    both = a.withColumn("split", F.lit("validation")).unionByName(b.withColumn("split", F.lit("test")))
-    return both.groupBy("split", "history_length_bucket", "unknown_count", "candidate_count").agg(F.count("*").alias("n"), F.round(F.sum("score_entropy"), 4).alias("entropy"))
+    return _events(spark, sf_dir).groupBy("split", "history_length_bucket", "unknown_count", "candidate_count").agg(F.count("*").alias("n"), F.round(F.sum("score_entropy"), 4).alias("entropy"))
 
 
 @query("d16_distributions", f"{_DIST_SQL} SELECT dimension, key, CAST(weight AS BIGINT) AS weight, round(share, 9) AS share FROM sh WHERE split = 'test'")
 def d16(spark, sf_dir):
-    return monitoring.distributions(_windows(spark, sf_dir)[1]).withColumn("share", F.round("share", 9))
+    return monitoring.distributions(_events(spark, sf_dir).filter("split = 'test'")).withColumn("share", F.round("share", 9))
 
 
 _NUMBERS = [("unknown_count", "unknown"), ("candidate_count", "cc"), ("score_entropy", "entropy"), ("total_latency_ms", "0"), ("stage_latency_ms.total", "0")]
@@ -439,27 +484,28 @@ _NUMBERS = [("unknown_count", "unknown"), ("candidate_count", "cc"), ("score_ent
     ),
 )
 def d17(spark, sf_dir):
-    rows = monitoring.numeric_summaries(_windows(spark, sf_dir)[1])
+    rows = monitoring.numeric_summaries(_events(spark, sf_dir).filter("split = 'test'"))
     return rows.select("name", "count", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max", "p50", "p95")))
 
 
 @query("d18_drift", f"{_DIST_SQL}, {_DRIFT_SQL.format(ref='sh WHERE split = ' + chr(39) + 'validation' + chr(39), cur='sh WHERE split = ' + chr(39) + 'test' + chr(39))}")
 def d18(spark, sf_dir):
-    rows = monitoring.drift(*_windows(spark, sf_dir))
+    rows = monitoring.drift_between(_events(spark, sf_dir), "split", "validation", "test")
     return rows.select("dimension", F.round("js", 9).alias("js"), F.round("psi", 9).alias("psi"), "alert")
 
 
 @query("j2_replay_injected")
 def j2(spark, sf_dir):
-    a, b = _windows(spark, sf_dir)
-    return monitoring.replay(a, b, inject=True)
+    events = _events(spark, sf_dir).persist()
+    return monitoring.replay(events.filter("split = 'validation'"), events.filter("split = 'test'"), inject=True)
 
 
-@query("c4_unknown_history", f"WITH {L_SQL}, {INDEX_SQL}, {EXAMPLES_SQL} SELECT unknown AS unknown_count, count(*) AS n FROM (SELECT hi.sid, count(*) FILTER (WHERE poi.p IS NULL) AS unknown FROM hi LEFT JOIN poi USING (p) GROUP BY 1) GROUP BY 1")
+@query("c4_unknown_history", f"WITH {L_SQL}, {INDEX_SQL}, {EXAMPLES_SQL} SELECT unknown AS unknown_count, count(*) AS n FROM (SELECT hi.sid, count(*) FILTER (WHERE poi.p IS NULL OR hi.p LIKE '%7') AS unknown FROM hi LEFT JOIN poi USING (p) GROUP BY 1) GROUP BY 1")
 def c4(spark, sf_dir):
     e = l_view(spark, sf_dir)
     rows = examples.build_examples(_rest(e), PROTOCOL).dropDuplicates(["sample_id"])
-    counts = monitoring.unknown_history(examples.requests_of(rows), _train(e).select(F.col("raw_poi_id").alias("poi_id")).distinct())
+    known = _train(e).select(F.col("raw_poi_id").alias("poi_id")).filter(~F.col("poi_id").endswith("7")).distinct()  # some are held back
+    counts = monitoring.unknown_history(examples.requests_of(rows), known)
     return counts.groupBy("unknown_count").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "wayfare", **conf: str) -> SparkSession:
@@ -17,3 +17,8 @@ def get_session(app_name: str = "wayfare", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """df with one fixed content: written to the checkpoint folder where the cluster names one, else held by the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()

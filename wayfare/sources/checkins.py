@@ -33,10 +33,11 @@ CITY = {
 }
 
 
-def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dict[str, list[str]], coordinates: bool, mode: str) -> tuple[DataFrame, DataFrame]:
+def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dict[str, list[str]], coordinates: bool, mode: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     if split not in SPLITS:
         raise ValueError(f"split must be one of {SPLITS}")
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).csv(path)
+    # with line feeds inside quotes a file can't be split, so that has to be asked for
+    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(path)
     # names that differ by case only are one name to Spark: take columns by position
     names = raw.columns
     raw = raw.select("*", F.col("_metadata.file_name").alias("_file"))
@@ -64,14 +65,14 @@ def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dic
     return valid.select(*keep), invalid
 
 
-def read_synthetic_split(spark: SparkSession, path: str, split: str, mode: str = "strict") -> DataFrame:
+def read_synthetic_split(spark: SparkSession, path: str, split: str, mode: str = "strict", multi_line: bool = False) -> DataFrame:
     """The plain layout, which has no coordinates."""
-    return _read(spark, path, split, "synthetic", PLAIN, False, mode)[0]
+    return _read(spark, path, split, "synthetic", PLAIN, False, mode, multi_line)[0]
 
 
-def read_city_split(spark: SparkSession, path: str, split: str, dataset: str = "nyc", mode: str = "strict") -> DataFrame:
+def read_city_split(spark: SparkSession, path: str, split: str, dataset: str = "nyc", mode: str = "strict", multi_line: bool = False) -> DataFrame:
     """The layouts of city files with their many column names."""
-    return _read(spark, path, split, dataset, CITY, True, mode)[0]
+    return _read(spark, path, split, dataset, CITY, True, mode, multi_line)[0]
 
 
 def quarantine_split(spark: SparkSession, path: str, split: str, dataset: str = "synthetic") -> tuple[DataFrame, DataFrame]:
@@ -80,12 +81,12 @@ def quarantine_split(spark: SparkSession, path: str, split: str, dataset: str =
     return _read(spark, path, split, dataset, PLAIN if plain else CITY, not plain, "quarantine")
 
 
-def read_splits(spark: SparkSession, paths: dict[str, str], dataset: str = "synthetic", mode: str = "strict") -> DataFrame:
+def read_splits(spark: SparkSession, paths: dict[str, str], dataset: str = "synthetic", mode: str = "strict", multi_line: bool = False) -> DataFrame:
     """All three splits, as given: rows never change their split."""
     if set(paths) != set(SPLITS):
         raise ValueError(f"paths must be given for exactly {SPLITS}")
-    read = read_synthetic_split if dataset == "synthetic" else lambda s, p, n, mode: read_city_split(s, p, n, dataset, mode)
-    first, *rest = (read(spark, paths[s], s, mode=mode) for s in SPLITS)
+    read = read_synthetic_split if dataset == "synthetic" else lambda s, p, n, mode, multi: read_city_split(s, p, n, dataset, mode, multi)
+    first, *rest = (read(spark, paths[s], s, mode, multi_line) for s in SPLITS)
     for df in rest:
         first = first.unionByName(df)
     return first

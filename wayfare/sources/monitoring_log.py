@@ -25,7 +25,9 @@ def read_events(spark: SparkSession, path: str, mode: str = "strict") -> DataFra
     """A window of events; a path that isn't there is an empty window."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MONITORING)
     return parse_events(lines, mode)[0]
 

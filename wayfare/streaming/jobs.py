@@ -16,19 +16,21 @@ from wayfare.operators.scoring import recommendations, score_requests
 from wayfare.sources.monitoring_log import parse_events
 
 
-def score_stream(requests: DataFrame, index: Index, variants: list[str], output: str, checkpoint: str) -> StreamingQuery:
+def score_stream(requests: DataFrame, index: Index, variants: list[str], output: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends the recommendations of each arriving batch to output, under its batch id: a batch that is run again after a
-    failure replaces its own files. Requests that break the contract go to output/rejected."""
+    failure replaces its own files. Requests that break the contract go to output/rejected. trigger is the one of writeStream; by
+    default what is there is worked off and the query ends. The index is held by the executors, not fitted for each batch."""
+    index = index.kept()
 
     def batch(df: DataFrame, batch_id: int) -> None:
         valid, invalid = enforce(df, request_rules(), "quarantine")
         recommendations(score_requests(valid, index, variants)).write.mode("overwrite").parquet(f"{output}/recommendations/batch={batch_id}")
         invalid.select("sample_id", "violations").write.mode("overwrite").parquet(f"{output}/rejected/batch={batch_id}")
 
-    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drift_stream(lines: DataFrame, reference: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+def drift_stream(lines: DataFrame, reference: DataFrame, output: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Drift of each arriving batch of monitoring lines against a fixed window; the batch is the window."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -36,7 +38,7 @@ def drift_stream(lines: DataFrame, reference: DataFrame, output: str, checkpoint
         if not events.isEmpty():
             drift(reference, events).withColumn("window", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 HISTORY_ROW = "raw_user_id string, session_id string, timestamp_utc timestamp, raw_poi_id string, category string, history_size int, history array<string>"
