@@ -14,6 +14,8 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pieces that a worker keeps before it starts anew (about 150 bytes each), and for one part of a piece (about 400) how many.
@@ -94,33 +96,42 @@ class Encoder:
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(more) - more))
         self.lens, self.flat = np.concatenate((self.lens, more)), np.concatenate((self.flat, np.array(flat, self.dtype)))
 
+    def _prepared(self, text: str) -> str | None:
+        """The text with a mark at each cut; None if it has to go to the library whole."""
+        if "\0" in text or any(s in text for s in self.special) or (SUSPECT.search(text) and UNSURE.search(text)):
+            return None
+        if "\n" in text and all(line and not line[0].isspace() and not line[-1].isspace() for line in text.split("\n")):
+            text = text.replace("\n", "\0\n\0")
+        return text.replace(" ", "\0 ")
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if len(self.known) > self.kept:
             self._clear()
         if len(self.parts) + len(self.stems) > self.kept // PIECES_PER_PART:
             self.parts, self.stems = {}, {}
-        pieces: list[str] = []
-        counts = [0]
-        for text in texts:
-            if "\0" in text or any(s in text for s in self.special) or (SUSPECT.search(text) and UNSURE.search(text)):
-                pieces.append(text)
-            else:
-                if "\n" in text and all(line and not line[0].isspace() and not line[-1].isspace() for line in text.split("\n")):
-                    text = text.replace("\n", "\0\n\0")
-                pieces += text.replace(" ", "\0 ").split("\0")
-            counts.append(len(pieces))
-        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        at = np.flatnonzero(index < 0)
-        if len(at):
-            missing = [pieces[i] for i in at.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
-            index[at] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        prepared = [self._prepared(t) for t in texts]
+        whole = np.fromiter((p is None for p in prepared), bool, len(prepared))
+        # a batch's pieces are made distinct before Python sees them
+        split = pc.split_pattern(pa.array([p for p in prepared if p is not None], pa.large_string()), "\0")
+        coded = pc.dictionary_encode(split.flatten())
+        pieces = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(numbers < 0)
+        numbers[at] = np.arange(len(self.known), len(self.known) + len(at))
+        self._learn([pieces[i] for i in at.tolist()])
+        index = numbers[coded.indices.to_numpy(zero_copy_only=False)]
         lens = self.lens[index]
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[index] - (ends - lens), lens) + np.arange(total)]
-        return ids, np.diff(np.concatenate(([0], ends))[counts])
+        ids = self.flat[np.repeat(self.starts[index] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        counts = np.diff(np.concatenate(([0], ends))[split.offsets.to_numpy()])
+        if not whole.any():
+            return ids, counts
+        others = [np.array(self._piece(t), self.dtype) for t, w in zip(texts, whole.tolist(), strict=True) if w]
+        cuts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        rest = iter(others)
+        parts = [next(rest) if w else next(cuts) for w in whole.tolist()]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 _encoders: dict[str, Encoder] = {}
