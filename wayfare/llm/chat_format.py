@@ -7,7 +7,8 @@ the placeholders. The template writes each turn as "### role: body</turn>" and a
 
 Defined cases: a null text is an empty one; a null role is the empty role; a part of an unknown or null type counts as text;
 turns of one number are ordered by role, then body; repeated rows are turns of their own; a null conversation id is a
-conversation; an empty table gives an empty result. Columns other than the named ones are ignored.
+conversation; places in a very long conversation are summed in two levels, so the work is about in proportion to its turns; an
+empty table gives an empty result. Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sums_before
+
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PLACEHOLDERS = {"image": "<image>", "audio": "<audio>", "document": "<document>"}
@@ -86,18 +89,14 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
         ).alias("t"),
     )
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def mark(state: Column, t: Column) -> Column:
-        start = state["at"] + F.length(t["head"])
-        span = F.struct(start.cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"))
-        spans = F.when(t["learned"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((start + F.length(t["body"]) + len(CLOSE)).cast("long").alias("at"), spans.alias("spans"))
+    lengths = F.transform("ts", lambda t: (F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)).cast("bigint"))
+    placed = F.zip_with("ts", sums_before(lengths), lambda t, at: F.struct((at + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length"), t["learned"].alias("learned")))
+    loss = F.transform(F.filter(placed, lambda x: x["learned"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
 
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("ts", none, mark, lambda s: s["spans"]).alias("loss"),
+        loss.alias("loss"),
         F.flatten(F.transform("ts", lambda t: t["attached"])).alias("attachments"),
     )
 

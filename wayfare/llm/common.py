@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,5 +116,37 @@ def sliced(batches, rows: int = BATCH_ROWS, mb: int = BATCH_MB):
             yield batch.slice(a, step)
 
 
+#: Items of an array that are summed, or spans that are redacted, in one go; an array that grows item by item is copied each time.
+RUN = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs_of(items: Column) -> Column:
+    """An array as an array of arrays of RUN items."""
+    last = F.greatest(F.ceil(F.size(items) / RUN).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
+
+
+def before_each(values: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each value what join makes of start and the values before it."""
+    none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, none, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def sums_before(values: Column) -> Column:
+    add = lambda a, b: a + b
+    zero = F.lit(0).cast("bigint")
+
+    def of_runs(runs: Column) -> Column:
+        starts = before_each(F.transform(runs, lambda r: F.aggregate(r, zero, add)), zero, add)
+        return F.flatten(F.zip_with(runs, starts, lambda r, at: before_each(r, at, add)))
+
+    return let(values, lambda v: let(runs_of(v), of_runs))
+
+
 def wide_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

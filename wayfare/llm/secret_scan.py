@@ -10,7 +10,7 @@ it is live. Tables written on the way hold hashes of values, never the values.
 Defined cases: a null text is empty and has no spans; spans that overlap between kinds are all kept, but an entropy candidate
 that touches a base span is dropped; a null owner or repository counts as one owner or repository of its own; repeated rows
 give repeated results; an empty table gives an empty result; the work on a very long text is about in proportion to its length
-and spans, as places are summed in two levels of RUN. Only the named columns are read, so others can't clash.
+and spans, as places are summed in two levels. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, staged, text_of
+from .common import before_each, let, row_hash, runs_of, staged, sums_before, text_of
 
 # The patterns of the base kinds and the least length of what they find.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,41 +35,11 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000
 
 #: Up to so many owners a value is their own; with several owners, up to so many repositories.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 20
-#: Matches that are summed, or spans that are redacted, in one go; an array of all grows by copying.
-RUN = 256
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,value_hash:string,live:boolean>"
 JUDGED = "struct<kind:string,start:bigint,end:bigint,verdict:string>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _runs(items: Column) -> Column:
-    """An array as an array of arrays of RUN items."""
-    last = F.greatest(F.ceil(F.size(items) / RUN).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
-
-
-def _before(values: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """For each value what join makes of start and the values before it."""
-    none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(values, none, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-
-
-def _sums_before(values: Column) -> Column:
-    add = lambda a, b: a + b
-    zero = F.lit(0).cast("bigint")
-
-    def of_runs(runs: Column) -> Column:
-        starts = _before(F.transform(runs, lambda r: F.aggregate(r, zero, add)), zero, add)
-        return F.flatten(F.zip_with(runs, starts, lambda r, at: _before(r, at, add)))
-
-    return _let(values, lambda v: _let(_runs(v), of_runs))
-
-
 def looks_live(value: Column) -> Column:
     """Eight different characters or more, and none of the usual placeholders."""
     return (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike(PLACEHOLDER)
@@ -78,17 +48,17 @@ def looks_live(value: Column) -> Column:
 def _spans(text: Column, pattern: str, kind: str, value_group: int, wanted: Callable[[Column], Column]) -> Column:
     """Spans of the matches whose value is wanted, left to right: their starts follow from the lengths of the matches and of
     what is between."""
-    gaps = _let(F.split(text, pattern, -1), lambda g: F.slice(g, F.lit(1), F.size(g) - 1))
+    gaps = let(F.split(text, pattern, -1), lambda g: F.slice(g, F.lit(1), F.size(g) - 1))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = F.arrays_zip(whole.alias("all"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole).alias("value"), gaps.alias("gap"))
 
     def placed(matches: Column) -> Column:
-        before = _sums_before(F.transform(matches, lambda x: (F.length(x["gap"]) + F.length(x["all"])).cast("bigint")))
+        before = sums_before(F.transform(matches, lambda x: (F.length(x["gap"]) + F.length(x["all"])).cast("bigint")))
         spans = F.zip_with(matches, before, lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["all"])).alias("end"), x["value"].alias("value")))
         shown = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash"), looks_live(s["value"]).alias("live"))
         return F.transform(F.filter(spans, lambda s: wanted(s["value"])), shown)
 
-    return F.when(text.rlike(pattern), _let(found, placed)).otherwise(F.array()).cast(f"array<{SPAN}>")
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
 def base_spans(text: Column) -> Column:
@@ -163,12 +133,12 @@ def redact(text: Column, spans: Column) -> Column:
 
     def of_runs(runs: Column) -> Column:
         first = F.lit(0).cast("bigint")
-        reach = _before(F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["end"]))), first, F.greatest)
+        reach = before_each(F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["end"]))), first, F.greatest)
         begins = F.transform(runs, lambda r, i: F.when(i == 0, first).otherwise(r[0]["start"]))
         ends = F.concat(F.transform(F.slice(runs, F.lit(2), F.size(runs)), lambda r: r[0]["start"]), F.array(F.length(text).cast("bigint")))
         return F.array_join(F.transform(F.arrays_zip(runs.alias("run"), reach.alias("reach"), begins.alias("begin"), ends.alias("end")), _redacted_run(text)), "")
 
-    return F.when(F.size(spans) == 0, text).otherwise(_let(ordered, lambda o: _let(_runs(o), of_runs)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, lambda o: let(runs_of(o), of_runs)))
 
 
 def _redacted_run(text: Column) -> Callable[[Column], Column]:
@@ -186,6 +156,6 @@ def _redacted_run(text: Column) -> Callable[[Column], Column]:
             none = F.struct(F.greatest(run["begin"], run["reach"]).alias("at"), F.lit("").alias("out"))
             return F.aggregate(run["run"], none, cover, lambda s: F.concat(s["out"], cut(part, run, s["at"], run["end"])))
 
-        return _let(F.substring(text, (run["begin"] + 1).cast("int"), (run["end"] - run["begin"]).cast("int")), over)
+        return let(F.substring(text, (run["begin"] + 1).cast("int"), (run["end"] - run["begin"]).cast("int")), over)
 
     return one

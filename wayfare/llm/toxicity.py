@@ -31,6 +31,8 @@ from .common import sliced, text_of
 
 SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 20_000
+#: Of the sample: sentences that the field is fitted on at most, and the part of those without a marked token that is drawn.
+TRAIN_SENTENCES, CLEAN_PART = 40_000, 0.05
 #: Words that a worker keeps before it starts anew.
 KEPT = 400_000
 STOPS = (b".", b"!", b"?")
@@ -57,7 +59,7 @@ def bucket(feature: str) -> int:
 
 def _sentences(text: str) -> list[list[str]]:
     out: list[list[str]] = [[]]
-    for raw in text.split():
+    for raw in WORDS.findall(text):
         out[-1].append(raw.lower().strip(EDGES))
         if raw[-1] in ".!?" or len(out[-1]) == SENTENCE:
             out.append([])
@@ -128,9 +130,9 @@ def train(docs: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, seed
     for text, toxic in docs:
         for words in _sentences(text):
             tags = [int(toxic and not marks.isdisjoint(features(w))) for w in words]
-            if any(tags) or rng.random() < 0.05:
+            if any(tags) or rng.random() < CLEAN_PART:
                 chosen.append((words, tags))
-    chosen = [chosen[i] for i in rng.permutation(len(chosen))[:40_000]]
+    chosen = [chosen[i] for i in rng.permutation(len(chosen))[:TRAIN_SENTENCES]]
     if chosen and any(any(t) for _, t in chosen):
         width = max(len(w) for w, _ in chosen)
         length = np.array([len(w) for w, _ in chosen])
