@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages over documents, each on all that the one before kept.
 
-Stage order: quality, near duplicates, secrets, mixing, packing. Decisions are joined back by a hash of the whole row; the
-list of rows to drop or change is broadcast while it is short (LIST_ROWS) and joined by shuffle beyond.
+Stage order: quality, near duplicates, secrets, mixing, packing. Decisions are joined back by a 128-bit hash of the whole row;
+the list of rows to drop or change is broadcast while it is short (LIST_ROWS) and joined by shuffle beyond.
+
+Defined cases, for every stage: an empty table gives an empty one of the same columns; a null text is an empty text, and stays
+null where the stage doesn't change it; null ids, languages and sources are values of their own; only the columns of documents
+are read, so further ones can't clash; texts are worked off whole, however long.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is above their language's threshold go."""
+    """Documents whose perplexity is above their language's threshold go. Equal rows go or stay together; texts without symbols
+    and all texts where nothing is labelled trusted stay."""
     judged = kneser_ney.judge(docs, read_table(spark, sf_dir, "labels"))
     rejected = staged(judged.filter(~F.col("kept")).select("row_hash").distinct(), "rejected")
     return _hashed(docs).join(if_short(rejected), "row_hash", "left_anti").select(*DOCUMENT_COLUMNS)
@@ -29,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles (0.8 or more alike) the one with the least doc_id stays; of equal
-    rows one."""
+    rows one. Of different rows with that doc_id the one with the least hash stays; a null doc_id stays only if all have none.
+    Texts without words are one group."""
     marked = staged(similar.similar_texts(docs).select("doc_id", "row_hash", "root"), "marked")
     # a group without any doc_id keeps its least row
     first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("stays"))
@@ -43,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live and weak credentials become [SECRET], widely copied examples [EXAMPLE]; n_chars follows."""
+    """Live and weak credentials become [SECRET], widely copied examples [EXAMPLE]; n_chars follows. Equal rows change alike;
+    overlapping spans are one mark."""
     found = secret_scan.scan(docs).filter(F.size("spans") > 0).select("row_hash", "spans").dropDuplicates(["row_hash"])
     joined = _hashed(docs).join(if_short(staged(found, "found")), "row_hash", "left")
     text = F.when(F.col("spans").isNotNull(), secret_scan.redact(F.coalesce("text", F.lit("")), F.col("spans"))).otherwise(F.col("text"))
@@ -52,11 +59,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
+    """Each document as often as its source's budget takes it. Equal rows are one kind of row with their summed number; documents
+    without words go; ties within a size are broken by a seeded hash."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full windows, one row each; repeated rows are packed once each, a text without tokens as its end id."""
     pieces = packing.pack(docs, end_id=1, kept=KEPT_PIECES)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
