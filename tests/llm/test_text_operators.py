@@ -245,3 +245,21 @@ def test_pipeline(spark, tmp_path):
         if name == "secrets":
             assert "[SECRET]" in texts[501] and "zQ9v" not in texts[501] and texts[3] == rows[3][1]
     assert df.agg(F.sum("length")).first()[0] > 1000
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, a tie of ids, a clashing column, and an empty table."""
+    rows = [(None, None, None, None, None), (None, "only one word", None, "a", 3), (4, None, "en", "a", 0), (4, "", "en", None, 0), (9, "same row", "en", "b", 8), (9, "same row", "en", "b", 8), (9, "other text", "fr", "b", 1)]
+    folder = str(tmp_path / "none")
+    spark.createDataFrame([], LABELS).write.parquet(f"{folder}/labels.parquet")
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("row_hash", "size", "node", "copies", "order")})
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, folder).cache()
+        seen[name] = [(r["doc_id"], r["text"]) if name != "pack" else r["doc_id"] for r in df.collect()]
+        empty = stage(spark, spark.createDataFrame([], SCHEMA), folder)
+        assert empty.count() == 0 and empty.columns == df.columns
+    assert len(seen["quality"]) == 7
+    assert len(seen["near_duplicates"]) == 4 and sum(i == 4 for i, _ in seen["near_duplicates"]) == 1  # the texts without words are one group
+    assert {(9, "same row"), (9, "other text"), (None, "only one word")} < set(seen["near_duplicates"])
+    assert len(seen["secrets"]) == 4 and all(t for _, t in seen["mix"]) and set(seen["pack"]) <= {9, None}
