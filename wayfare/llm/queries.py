@@ -92,5 +92,17 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\b'), '#', '\\h'), '<', '\\l')"
+OP5_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) AS x(k)),
+f AS (SELECT *, replace(replace({_ESCAPED.format("r")}, ':', '\\c'), chr(10), '\\n') AS er, {_ESCAPED.format("t")} AS et FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
+  coalesce(CAST(sum(length(t)) FILTER (WHERE r = 'assistant') AS BIGINT), 0) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, er, et) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || er || ': ' || et || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op5 only: the others hash, tokenize or fit in ways that SQL has no words for; tests compare them with plain Python."""
+    return {"op5_chat_format": OP5_SQL}
