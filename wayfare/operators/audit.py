@@ -26,12 +26,14 @@ def split_summary(events: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def shared_identities(events: DataFrame, kind: str) -> DataFrame:
-    """left_split, right_split, identity: event or session identities that two splits have. One shuffle of the identities."""
+    """left_split, right_split, identity: event or session identities that two splits have. Rows are grouped by what an identity
+    is made of, and hashed only where it is shared."""
+    made_of = ["dataset", "raw_user_id", "timestamp_utc", "raw_poi_id"] if kind == "event" else ["dataset", "raw_user_id", "session_id"]
+    held = events.groupBy(*made_of).agg(*(F.bool_or(F.col("split") == s).alias(f"in_{s}") for s in SPLITS))
+    shared = F.array(*(F.when(F.col(f"in_{a}") & F.col(f"in_{b}"), F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split"))) for a, b in combinations(SPLITS, 2)))
+    pairs = held.withColumn("pairs", F.filter(shared, lambda p: p.isNotNull())).filter(F.size("pairs") > 0)
     identity = event_identity() if kind == "event" else session_identity()
-    held = events.select(identity.alias("identity"), "split").groupBy("identity").agg(F.collect_set("split").alias("splits")).filter(F.size("splits") > 1)
-    pairs = F.array(*(F.struct(F.lit(a).alias("left_split"), F.lit(b).alias("right_split")) for a, b in combinations(SPLITS, 2)))
-    pair = F.explode(F.filter(pairs, lambda p: F.array_contains(F.col("splits"), p["left_split"]) & F.array_contains(F.col("splits"), p["right_split"])))
-    return held.select(pair.alias("pair"), "identity").select("pair.left_split", "pair.right_split", "identity")
+    return pairs.select(identity.alias("identity"), F.explode("pairs").alias("pair")).select("pair.left_split", "pair.right_split", "identity")
 
 
 def overlap_counts(events: DataFrame) -> DataFrame:

@@ -31,11 +31,17 @@ def fit_encoder(train: DataFrame, categories: DataFrame, offset: int = 0) -> Dat
     return out
 
 
+#: Ids of one mapping that go to all tasks; more are joined by shuffle, where adaptive execution splits hot values.
+BROADCAST_IDS = 1_000_000
+
+
 def encode(events: DataFrame, encoder: DataFrame) -> DataFrame:
-    """The events with poi_code, user_code and category_code; null for what the encoder doesn't know."""
+    """The events with poi_code, user_code and category_code; null for what the encoder doesn't know. Mappings of a checked size
+    are broadcast, so that neither the events nor their hot places are dealt."""
+    sizes = {r["mapping"]: r["count"] for r in encoder.groupBy("mapping").count().collect()}
     for name, column in (("poi", "raw_poi_id"), ("user", "raw_user_id"), ("category", "category")):
         codes = encoder.filter(F.col("mapping") == name).select(F.col("value").alias(column), F.col("id").alias(f"{name}_code"))
-        events = events.join(codes, column, "left")
+        events = events.join(F.broadcast(codes) if sizes.get(name, 0) <= BROADCAST_IDS else codes, column, "left")
     return events
 
 
