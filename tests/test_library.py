@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.data import EVENT, visits, write_csv
 from wayfare.functions import contracts, scalars
 from wayfare.operators import audit, encoder, examples, index, metrics, monitoring, scoring
+from wayfare.plans import replay as replay_job
 from wayfare.plans.evaluation import run_evaluation
 from wayfare.schemas import EVENT as EVENT_SCHEMA
 from wayfare.schemas import HISTORY, MONITORING
@@ -263,6 +264,46 @@ def test_monitoring_log(spark, tmp_path):
     assert valid.count() == 1 and {"undeclared_field", "error_code", "category_keys", "json"} <= broken
 
 
+def test_replay_job(spark, tmp_path):
+    for name in ("reference", "current"):
+        monitoring_log.append_events(window(spark), str(tmp_path / name))
+    for inject in (False, True):
+        out = str(tmp_path / f"out-{inject}")
+        replay_job.main(["--reference", str(tmp_path / "reference"), "--current", str(tmp_path / "current"), "--output", out, *(["--inject-drift"] if inject else [])])
+        found = {r["dimension"] for r in spark.read.parquet(f"{out}/drift").filter("alert").collect()}
+        assert found == ({"category", "history_length"} if inject else set())
+        assert spark.read.parquet(f"{out}/distributions").count() >= 6
+
+
+def test_manifest_and_encoder_checks(spark, events, tmp_path):
+    train, kinds = events.filter("split = 'train'"), index.taxonomy(events)
+    made = encoder.fit_encoder(train, kinds, 3)
+    assert audit.manifest(events, "p", made, kinds).select("encoder_fingerprint").distinct().count() == 1
+    with pytest.raises(ValueError, match="aren't the taxonomy"):
+        audit.manifest(events, "p", made.filter("value != 'Deep'"), kinds)
+    with pytest.raises(ValueError, match="outside the taxonomy: Deep"):
+        audit.manifest(events, "p", made.filter("value != 'Deep'"), kinds.filter("category != 'Deep'"))
+    tables.save_encoder(made, str(tmp_path / "e"), "synthetic", 3)
+    assert tables.load_encoder(spark, str(tmp_path / "e"), "synthetic").count() == made.count()
+    with pytest.raises(ValueError, match="of nyc"):
+        tables.load_encoder(spark, str(tmp_path / "e"), "nyc")
+    tables.save_encoder(made.filter("id != 4"), str(tmp_path / "gap"), "synthetic", 3)
+    with pytest.raises(ValueError, match="gaps"):
+        tables.load_encoder(spark, str(tmp_path / "gap"), "synthetic")
+    ordered = audit.temporal_order(audit.temporal_boundaries(audit.split_summary(events)))
+    assert ordered.first()[0] is True and audit.temporal_order(audit.temporal_boundaries(audit.split_summary(train))).first()[0] is None
+
+
+def test_report_core_is_the_same_in_every_run(spark):
+    summary = spark.createDataFrame([("b0", 3, 0.5)], "variant string, samples long, mrr double")
+    slices = spark.createDataFrame([("b0", "day_type", "weekday", 2, 0.25)], "variant string, dimension string, value string, samples long, mrr double")
+    bad = spark.createDataFrame([("b0", "s1")], "variant string, sample_id string")
+    ids = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
+    core = tables.report_core(summary, slices, bad, ids, "synthetic", "r1", "d")
+    assert core == tables.report_core(summary, slices, bad, ids.repartition(3), "synthetic", "r1", "d") and core["slices"]["b0"]["day_type"]["weekday"]["mrr"] == 0.25
+    assert core["core_sha256"] != tables.report_core(summary, slices, bad, ids.limit(2), "synthetic", "r1", "d")["core_sha256"]
+
+
 def test_bundle(spark, idx, tmp_path):
     path = str(tmp_path / "bundle")
     tables.save_bundle(idx, path, "b3")
