@@ -32,9 +32,9 @@ from .common import ROW_HASH, row_hash, sliced, staged, text_of
 ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 #: N-grams that all tasks hold (12 bytes each), and different n-grams that a counting task holds before it sends them.
-HOT, HELD = 1 << 16, 2_000_000
+HOT, HELD = 1 << 16, 1_000_000
 #: Characters whose n-grams are sorted at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Labels that are broadcast at most; beyond that documents and labels are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 QUANTILE, MARGIN = 0.99, 1.03
