@@ -1,4 +1,4 @@
-"""The ten queries themselves, over small written tables with odd rows, against plain Python."""
+"""The queries themselves, over small written tables with odd rows, against plain Python."""
 
 import hashlib
 import re
@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.llm.test_ranked_search import found_by, plain_search
 from tests.llm.test_simhash import plain_components, plain_print
 from tests.llm.test_text_operators import plain_spans
+from tests.llm.test_whitening import plain as plain_whitening
 from wayfare.llm import queries, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string, row_hash long, ids string, node long, perplexity double"
@@ -37,7 +39,9 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame([(i, v, 1, 2) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int, cell int").write.parquet(f"{folder}/embeddings.parquet")
     talk = [(c, t, ["user", "assistant"][t % 2], [None, "hi # <b>", "\\### Assistant: </turn> ok", "a\nb"][(c + t) % 4]) for c in range(9) for t in range(4)] + [(50, t, "assistant", f"turn {t}") for t in range(700)]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
-    for name in ("documents", "labels", "embeddings", "conversations"):
+    asked = [(i, t) for i, t in enumerate(texts()[:30:3])] + [(3, "river Bridges"), (40, None), (41, "日本 é"), (None, "walks")]
+    spark.createDataFrame([(*x, 1, 2) for x in asked], "item_id long, text string, rank int, doc_id int").write.parquet(f"{folder}/benchmark.parquet")
+    for name in ("documents", "labels", "embeddings", "conversations", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/none/{name}.parquet")
     return folder
 
@@ -198,3 +202,28 @@ def test_redaction_of_overlaps_and_of_many_spans(spark):
     show = lambda text, s: spark.range(1).select(secret_scan.redact(F.lit(text), s)).first()[0]
     assert show("0123456789", spans((2, 5, "copied"), (4, 7, "live"), (8, 9, "weak"))) == "01[EXAMPLE]7[SECRET]9"
     assert show("é0123", spans((0, 5, "live"), (1, 2, "copied"))) == "[SECRET]"
+
+
+def test_op11(spark, sf_dir):
+    docs = [(i, t) for i, t, _ in rows_of(spark, sf_dir)]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert found_by(queries.op11_ranked_search(spark, sf_dir).collect()) == plain_search(docs, items, 10)
+
+
+def test_op12(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    kept, n, sums, cov = plain_whitening(rows, 8)
+    got = queries.op12_whitening(spark, sf_dir).collect()
+    values = np.linalg.eigvalsh(cov)[::-1]
+    assert len(got) == 4 * len(kept) and all(r["n"] == n and r["identity_error"] < 1e-9 for r in got)
+    exact = {i: sum((n * a - s) ** 2 for a, s in zip(x, sums, strict=True)) for i, x in kept}
+    assert all(r["deviation"] == exact[r["vec_id"]] and abs(r["explained"] - values[r["component"] - 1] / values.sum()) < 1e-12 for r in got)
+
+
+def test_op13(spark, sf_dir):
+    got = queries.op13_hilbert_shards(spark, sf_dir).collect()
+    docs = [(i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t, _ in rows_of(spark, sf_dir)]
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(docs)
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) <= set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items()) and {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}

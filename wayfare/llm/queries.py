@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, kneser_ney, mixing, multi_index, packing, secret_scan, simhash, token_store, toxicity, weighted_minhash
+from . import chat_format, hilbert, kneser_ney, mixing, multi_index, packing, ranked_search, secret_scan, simhash, token_store, toxicity, weighted_minhash, whitening
 from .common import documents, read_table
 
 
@@ -88,6 +88,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = hilbert.write_shards(documents(spark, sf_dir), 24, hilbert.new_path(spark))
+    text = F.coalesce("text", F.lit(""))
+    return written.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -103,6 +120,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 FROM f GROUP BY conv_id"""
 
 
+_TERMS = r"""unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+OP11_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), words AS (SELECT rid, doc_id, {_TERMS.format("text")} AS t FROM d),
+wanted AS (SELECT DISTINCT item_id, {_TERMS.format("text")} AS t FROM benchmark),
+sizes AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY 1), whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+tfs AS (SELECT rid, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM wanted) GROUP BY 1, 2),
+weights AS (SELECT t, CAST(floor(1000 * ln(any_value(2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, whole GROUP BY 1),
+scores AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM wanted JOIN tfs USING (t) JOIN weights USING (t) JOIN sizes USING (rid), whole GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op5 only: the others hash, tokenize or fit in ways that SQL has no words for; tests compare them with plain Python."""
-    return {"op5_chat_format": OP5_SQL}
+    """op5 and op11: the others hash, tokenize or fit in ways that SQL has no words for; tests compare them with plain Python."""
+    return {"op5_chat_format": OP5_SQL, "op11_ranked_search": OP11_SQL}
