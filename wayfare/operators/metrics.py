@@ -42,29 +42,30 @@ def _metrics() -> dict[str, Column]:
 
 def observations(rows: DataFrame, examples: DataFrame, index: Index) -> DataFrame:
     """variant, sample_id, ranks of the target, predictions, target_sources, and the slice keys. Labels are joined by
-    sample_id after all scoring is done; places of the lists are pulled together once for each sample."""
-    # one ranking and one grouping serve the lists, the trace and the categories
+    sample_id after all scoring is done; of the ranked rows only the top_k, the target and the first place of each category are
+    pulled together."""
+    counts = index.poi_stats.select(F.col("poi_id").alias("target_poi_id"), F.col("n").alias("train_count"))
+    labels = examples.select("sample_id", "target_poi_id", "target_category", F.size("history").alias("history_size"), "target_time")
     order = Window.partitionBy("variant", "sample_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "poi_id")
-    all_ranked = rows.withColumn("rank", F.row_number().over(order))
-    lists = all_ranked.groupBy("variant", "sample_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= TRACE, F.struct("rank", "poi_id", "gives", "top_k")))).alias("trace"),
-        F.array_sort(F.collect_list(F.struct("rank", "category"))).alias("kinds"),
+    all_ranked = rows.withColumn("rank", F.row_number().over(order)).join(labels.select("sample_id", "target_poi_id"), "sample_id")
+    of_kind = all_ranked.groupBy("variant", "sample_id", "category").agg(
+        F.min("rank").alias("first"),
+        F.collect_list(F.when(F.col("rank") <= F.col("top_k"), F.struct("rank", "poi_id"))).alias("top"),
+        F.min(F.when((F.col("rank") <= TRACE) & (F.col("poi_id") == F.col("target_poi_id")), F.struct("rank", "gives"))).alias("target"),
     )
-    lists = lists.select(
-        "variant", "sample_id", "trace",
-        F.transform(F.filter("trace", lambda x: x["rank"] <= x["top_k"]), lambda x: x["poi_id"]).alias("predictions"),
-        F.slice(F.array_distinct(F.transform("kinds", lambda x: x["category"])), 1, MACRO).alias("macro"),
-    )
-    counts = index.poi_stats.select(F.col("poi_id").alias("target_poi_id"), F.col("n").alias("train_count"))
-    labels = examples.select("sample_id", "target_poi_id", "target_category", F.size("history").alias("history_size"), "target_time").join(counts, "target_poi_id", "left")
-    joined = lists.join(labels, "sample_id")
-    target = F.col("target_poi_id")
+    lists = of_kind.groupBy("variant", "sample_id").agg(
+        F.transform(F.array_sort(F.flatten(F.collect_list("top"))), lambda x: x["poi_id"]).alias("predictions"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("first", "category"))), 1, MACRO), lambda x: x["category"]).alias("macro"),
+        F.min("target").alias("target"),
+    )
+    joined = lists.join(labels.join(counts, "target_poi_id", "left"), "sample_id")
+    wanted = F.coalesce("target_poi_id", F.lit("")) != ""
     return joined.select(
         "variant", "sample_id", "target_poi_id", "target_category", "predictions", "macro",
-        array_rank(F.col("predictions"), target).alias("top_rank"),
-        array_rank(F.transform("trace", lambda x: x["poi_id"]), target).alias("trace_rank"),
+        array_rank(F.col("predictions"), F.col("target_poi_id")).alias("top_rank"),
+        F.when(wanted, F.col("target.rank")).cast("long").alias("trace_rank"),
         array_rank(F.col("macro"), F.col("target_category")).alias("macro_rank"),
-        candidate_sources(F.col("variant"), F.coalesce(F.get(F.filter("trace", lambda x: x["poi_id"] == target), F.lit(0))["gives"], F.lit(0))).alias("target_sources"),
+        candidate_sources(F.col("variant"), F.coalesce("target.gives", F.lit(0))).alias("target_sources"),
         evaluation_history_bucket(F.col("history_size")).alias("history_length"), rarity(F.col("train_count")).alias("target_rarity"), day_type(F.col("target_time")).alias("day_type"),
     )
 

@@ -1,11 +1,10 @@
 """Scores and ranks of places for requests, exact without scoring the whole catalog for each request.
 
-All signals are at least 0 and add up over a base that depends on the time bucket and the place only. So a place that gets
-nothing of its own from a request can be among the best K only if it is among the best K of its bucket. The pool of a request
-is therefore: the best K by base of the bucket; the best K by base and category of each recent category, among places of one
-category; all places of several categories that share a recent one; the targets of transitions from the latest place; the
-places of the history; and the best one of each voted category, for the ranking of categories. All variants share one pool and
-one join of the signals.
+All signals are at least 0 and add up. What a request itself gives to places (transitions from its latest place, revisits of its
+history) is explicit; every other place is scored by the request's profile alone, so it can be among the best only if it is
+among the best of that profile. The pool of a request is therefore: the best places of its profile (see serving: k places,
+whatever the catalog), the places of its history, and those targets of its latest place that the floor of the profile doesn't
+rule out. All variants share one pool and one join of the signals.
 """
 
 from __future__ import annotations
@@ -16,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.contracts import assert_target_blind
-from wayfare.functions.scalars import TIME_BUCKETS, time_bucket
+from wayfare.functions.scalars import time_bucket
 from wayfare.operators.index import Index
+from wayfare.operators.serving import SCORE_DIGITS, WEIGHTS, Lists, best_places, build_lists
+from wayfare.operators.serving import term as _term
 
-# Weights of the signals, and the signals of each variant, in the order in which they add up.
-WEIGHTS = {"global_popularity": 1.0, "time_popularity": 1.25, "transition": 2.0, "recent_revisit": 1.5, "history_category": 0.75}
+# The signals of each variant, in the order in which they add up.
 VARIANTS = {
     "b0": ["global_popularity"],
     "b1": ["global_popularity", "time_popularity"],
@@ -32,8 +32,6 @@ VARIANTS = {
 }
 TRACE = 100
 RECENT = 10
-#: Scores that agree in so many decimals are ties: sums of logarithms of equal products differ by rounding only.
-SCORE_DIGITS = 12
 
 
 def check_variants(variants: list[str]) -> list[str]:
@@ -55,44 +53,23 @@ def request_facts(requests: DataFrame, dataset: str = "") -> DataFrame:
     )
 
 
-def _term(signal: str, value: Column) -> Column:
-    return value * WEIGHTS[signal] if signal == "recent_revisit" else F.log1p(value) if signal == "global_popularity" else F.log1p(value) * WEIGHTS[signal]
-
-
-def _best(df: DataFrame, keys: list[str], score: Column, k: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.round(score, SCORE_DIGITS).desc(), "poi_id")
-    return df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select(*keys, "poi_id")
-
-
-def candidate_pool(facts: DataFrame, index: Index, variants: list[str], depth: int) -> DataFrame:
-    """sample_id, poi_id, transition, recent_revisit: every place that one of the variants can rank within depth, and what the
-    categories need, with what the request itself gives to it. Only narrow rows are dealt: the history stays where it is."""
-    active = set().union(*(VARIANTS[v] for v in variants))
-    bucket = F.explode(F.array(*map(F.lit, TIME_BUCKETS))).alias("bucket")
-    base = index.poi_stats.select("poi_id", "category", F.col("n").alias("g"), bucket).join(index.time_counts.withColumnRenamed("n", "t"), ["bucket", "poi_id"], "left").fillna(0, ["t"])
-    bases = {tuple(s for s in VARIANTS[v] if s in ("global_popularity", "time_popularity")) for v in variants}
-    scores = [reduce(lambda a, b: a + b, (_term(s, F.col({"global_popularity": "g", "time_popularity": "t"}[s])) for s in names)) for names in sorted(bases)]
-    of_bucket = reduce(DataFrame.unionAll, [x for s in scores for x in (_best(base, ["bucket"], s, depth), _best(base, ["bucket", "category"], s, 1).select("bucket", "poi_id"))])
-    # one row for each time bucket, with depth places and one of each category at most
-    lists = F.broadcast(of_bucket.groupBy("bucket").agg(F.collect_set("poi_id").alias("pois")))
+def candidate_pool(facts: DataFrame, lists: Lists, variants: list[str]) -> DataFrame:
+    """sample_id, poi_id, transition, recent_revisit: every place that one of the variants can rank within the depth of the
+    lists, and what the categories need, with what the request itself gives to it. Only narrow rows are dealt: the history stays
+    where it is."""
+    kinds = {("time_popularity" in VARIANTS[v], "history_category" in VARIANTS[v]) for v in variants}
+    known = facts.withColumn("recent", F.sort_array(F.array_compact("recent")))
+    best = best_places(known.select("bucket", "recent").distinct(), lists, kinds)
+    met = known.join(best, ["bucket", "recent"])
     none, gives = F.lit(0).cast("long"), lambda poi, m, r: F.struct(poi.alias("poi_id"), m.cast("long").alias("m"), r.cast("double").alias("r"))
-    plain = lambda pois: F.transform(pois, lambda p: gives(p, none, F.lit(0.0))).alias("gives")
+    plain = F.transform("pois", lambda p: gives(p, none, F.lit(0.0)))
     back = F.transform("back", lambda p, i: gives(p, none, F.lit(1.0) / (i + 1)))
-    parts = [facts.join(lists, "bucket").select("sample_id", F.concat(plain(F.col("pois")), back).alias("gives"))]
-    if "transition" in active:
-        targets = index.transition_counts.groupBy("src").agg(F.collect_list(gives(F.col("dst"), F.col("n"), F.lit(0.0))).alias("gives"))
-        parts.append(facts.join(targets, facts["latest"] == targets["src"]).select("sample_id", "gives"))
-    if "history_category" in active:
-        kinds = index.category_counts.groupBy("poi_id").agg(F.count("*").alias("kinds"))
-        seen = index.category_counts.withColumnRenamed("n", "c").join(kinds, "poi_id")
-        single = seen.filter("kinds = 1").select("poi_id", F.col("category").alias("seen_category"), "c").join(base, "poi_id").drop("category").withColumnRenamed("seen_category", "category")
-        own = _term("history_category", F.col("c"))
-        best = reduce(DataFrame.unionAll, [_best(single, ["bucket", "category"], s + own, depth) for s in scores])
-        by_kind = best.groupBy("bucket", "category").agg(F.collect_set("poi_id").alias("pois"))
-        several = seen.filter("kinds > 1").groupBy("category").agg(F.collect_set("poi_id").alias("pois"))
-        recent = facts.select("sample_id", "bucket", F.explode("recent").alias("category"))
-        of_category = recent.join(several, "category").groupBy("sample_id").agg(F.array_distinct(F.flatten(F.collect_list("pois"))).alias("pois"))
-        parts += [recent.join(by_kind, ["bucket", "category"]).select("sample_id", plain(F.col("pois"))), of_category.select("sample_id", plain(F.col("pois")))]
+    parts = [met.select("sample_id", F.concat(plain, back).alias("gives"))]
+    if any("transition" in VARIANTS[v] for v in variants):
+        t = lists.targets
+        reached = met.join(t, (met["latest"] == t["src"]) & (t["bound"] + WEIGHTS["recent_revisit"] >= met["floor"]))
+        near = F.filter("entries", lambda e: (e["bound"] >= F.col("floor")) | F.array_contains("back", e["poi_id"]))
+        parts.append(reached.select("sample_id", F.transform(near, lambda e: gives(e["poi_id"], e["n"], F.lit(0.0))).alias("gives")))
     rows = reduce(DataFrame.unionAll, parts).select("sample_id", F.explode("gives").alias("x")).select("sample_id", "x.*")
     # dealt by sample, as are all steps after it
     return rows.repartition("sample_id").groupBy("sample_id", "poi_id").agg(F.max("m").alias("transition"), F.max("r").alias("recent_revisit"))
@@ -146,12 +123,13 @@ def macro_categories(rows: DataFrame, limit: int = 3) -> DataFrame:
     return heads.withColumn("rank", F.row_number().over(_by_score())).filter(F.col("rank") <= limit).select("variant", "sample_id", "rank", "category", "score")
 
 
-def score_requests(requests: DataFrame, index: Index, variants: list[str], depth: int = TRACE) -> DataFrame:
-    """All rows of the pools with their scores: ranked() and macro_categories() give the results. Only requests come in here:
-    labels can't change a score."""
+def score_requests(requests: DataFrame, index: Index, variants: list[str], depth: int = TRACE, lists: Lists | None = None) -> DataFrame:
+    """All rows of the pools with their scores: ranked() and macro_categories() give the results, down to depth, or that of the
+    lists where they are given. Only requests come in here: labels can't change a score."""
     check_variants(variants)
     facts = request_facts(assert_target_blind(requests), index.dataset)
-    return scored(signals(candidate_pool(facts, index, variants, depth), facts, index), variants)
+    pool = candidate_pool(facts, lists or build_lists(index, depth), variants)
+    return scored(signals(pool, facts, index), variants)
 
 
 def recommendations(rows: DataFrame) -> DataFrame:

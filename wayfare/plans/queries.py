@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
 from wayfare.operators import audit, encoder, examples, index, metrics, monitoring, scoring
-from wayfare.plans.views import e_view, l_view
+from wayfare.plans.views import e_view, l_view, m_view
 
 PROTOCOL = "p1"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,7 @@ L_SQL = """e AS (SELECT CAST(o_custkey AS VARCHAR) AS u, CAST(o_custkey AS VARCH
   lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS p, p_brand AS c,
   CASE WHEN l_shipdate < TIMESTAMP '1999-12-01' THEN 'train' WHEN l_shipdate < TIMESTAMP '2000-09-01' THEN 'validation' ELSE 'test' END AS split
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+M_SQL = L_SQL.replace("p_brand AS c", "CASE WHEN l_linenumber > 2 THEN 'kind-' || CAST(l_partkey % 40 AS VARCHAR) ELSE p_brand END AS c")
 STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%fZ')"
 DAY = "CASE WHEN isodow({0}) >= 6 THEN 'weekend' ELSE 'weekday' END"
 BUCKET = DAY + " || ':' || CASE WHEN hour({0}) BETWEEN 5 AND 11 THEN 'morning' WHEN hour({0}) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour({0}) BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END"
@@ -333,11 +334,11 @@ def _score_sql(variant: str) -> str:
 rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(score, 12) DESC, p) AS rank FROM sc)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view):
+def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view, depth: int = scoring.TRACE):
     e = view(spark, sf_dir)
     idx = index.fit_index(_train(e)).kept()
     rows = examples.build_examples(_rest(e), PROTOCOL).persist()
-    return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants)
+    return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants, depth)
 
 
 def _observed(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view):
@@ -348,7 +349,7 @@ def _observed(spark: SparkSession, sf_dir: str, variants: list[str], view: Calla
 
 def _top10(variant: str):
     def run(spark, sf_dir):
-        top = scoring.recommendations(_scored(spark, sf_dir, [variant])[2])
+        top = scoring.recommendations(_scored(spark, sf_dir, [variant], depth=10)[2])
         return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
 
     return run
@@ -357,11 +358,25 @@ def _top10(variant: str):
 for _n, _v in enumerate(scoring.VARIANTS, 1):
     query(f"g{_n}_rank_{_v}", f"{_score_sql(_v)} SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10")(_top10(_v))
 
-@query("g4_rank_b3_places", f"{_score_sql('b3').replace(E_SQL, L_SQL)} SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10")
+
+_TOP_SQL = " SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10"
+
+
+def _top10_of(view: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = scoring.recommendations(_scored(spark, sf_dir, ["b3"], view, 10)[2])
+    return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
+
+
+@query("g4_rank_b3_places", _score_sql("b3").replace(E_SQL, L_SQL) + _TOP_SQL)
 def g4_places(spark, sf_dir):
     """On the view of many places of one category each, where the pool is a small part of the catalog."""
-    top = scoring.recommendations(_scored(spark, sf_dir, ["b3"], l_view)[2])
-    return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
+    return _top10_of(l_view, spark, sf_dir)
+
+
+@query("g4_rank_b3_several", _score_sql("b3").replace(E_SQL, M_SQL) + _TOP_SQL)
+def g4_several(spark, sf_dir):
+    """On the view of many places of two categories each: the best come from blocks that their bounds leave."""
+    return _top10_of(m_view, spark, sf_dir)
 
 
 _MACRO_SQL = "hd AS (SELECT sid, c, min(rank) AS first FROM rk GROUP BY 1, 2), mc AS (SELECT sid, c, row_number() OVER (PARTITION BY sid ORDER BY first) AS rank FROM hd)"
