@@ -19,6 +19,7 @@ from wayfare.functions.scalars import time_bucket
 from wayfare.operators.index import Index
 from wayfare.operators.serving import SCORE_DIGITS, WEIGHTS, Lists, best_places, build_lists
 from wayfare.operators.serving import term as _term
+from wayfare.session import written_once
 
 # The signals of each variant, in the order in which they add up.
 VARIANTS = {
@@ -59,7 +60,7 @@ def candidate_pool(facts: DataFrame, lists: Lists, variants: list[str]) -> DataF
     where it is."""
     kinds = {("time_popularity" in VARIANTS[v], "history_category" in VARIANTS[v]) for v in variants}
     known = facts.withColumn("recent", F.sort_array(F.array_compact("recent")))
-    best = best_places(known.select("bucket", "recent").distinct(), lists, kinds)
+    best = written_once(best_places(known.select("bucket", "recent").distinct(), lists, kinds))
     met = known.join(best, ["bucket", "recent"])
     none, gives = F.lit(0).cast("long"), lambda poi, m, r: F.struct(poi.alias("poi_id"), m.cast("long").alias("m"), r.cast("double").alias("r"))
     plain = F.transform("pois", lambda p: gives(p, none, F.lit(0.0)))

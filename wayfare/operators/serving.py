@@ -17,7 +17,7 @@ Bucket "*" stands for scores without time. All lists follow from the index: they
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +56,13 @@ class Lists:
     several: DataFrame | None
     targets: DataFrame
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {k: df for k in ("base", "singles", "first", "several", "targets") if (df := getattr(self, k)) is not None}
+
+    def kept(self) -> Lists:
+        """The same lists, held by the executors."""
+        return replace(self, **{k: df.persist() for k, df in self.tables().items()})
+
 
 def _order(score: Column) -> list[Column]:
     return [F.round(score, SCORE_DIGITS).desc(), F.col("poi_id")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import scalars
-from wayfare.operators import audit, encoder, examples, index, metrics, monitoring, scoring
+from wayfare.operators import audit, encoder, examples, index, metrics, monitoring, scoring, serving
 from wayfare.plans.views import e_view, l_view, m_view
 
 PROTOCOL = "p1"
@@ -338,7 +338,8 @@ def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callabl
     e = view(spark, sf_dir)
     idx = index.fit_index(_train(e)).kept()
     rows = examples.build_examples(_rest(e), PROTOCOL).persist()
-    return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants, depth)
+    lists = serving.build_lists(idx, depth).kept()
+    return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants, lists=lists)
 
 
 def _observed(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view):
