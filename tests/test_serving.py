@@ -10,6 +10,11 @@ from wayfare.operators import scoring, serving
 from wayfare.operators.index import Index
 
 
+@pytest.fixture(autouse=True)
+def lists_for_small_catalogs(monkeypatch):
+    monkeypatch.setattr(serving, "WHOLE", 0)
+
+
 def catalog(spark, n, seed=0, kinds=20, most=4, hub=0):
     """An index of n places with up to `most` categories each; with a hub, a place that has moves to so many places."""
     rng = np.random.default_rng(seed)

@@ -60,8 +60,11 @@ def candidate_pool(facts: DataFrame, lists: Lists, variants: list[str]) -> DataF
     where it is."""
     kinds = {("time_popularity" in VARIANTS[v], "history_category" in VARIANTS[v]) for v in variants}
     known = facts.withColumn("recent", F.sort_array(F.array_compact("recent")))
-    best = written_once(best_places(known.select("bucket", "recent").distinct(), lists, kinds))
-    met = known.join(best, ["bucket", "recent"])
+    if lists.whole is not None:
+        met = known.join(F.broadcast(lists.whole), F.lit(True))
+    else:
+        best = written_once(best_places(known.select("bucket", "recent").distinct(), lists, kinds))
+        met = known.join(best, ["bucket", "recent"])
     none, gives = F.lit(0).cast("long"), lambda poi, m, r: F.struct(poi.alias("poi_id"), m.cast("long").alias("m"), r.cast("double").alias("r"))
     plain = F.transform("pois", lambda p: gives(p, none, F.lit(0.0)))
     back = F.transform("back", lambda p, i: gives(p, none, F.lit(1.0) / (i + 1)))

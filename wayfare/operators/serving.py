@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.scalars import TIME_BUCKETS
 from wayfare.operators.index import Index
+from wayfare.session import written_once
 
 # Weights of the signals.
 WEIGHTS = {"global_popularity": 1.0, "time_popularity": 1.25, "transition": 2.0, "recent_revisit": 1.5, "history_category": 0.75}
@@ -34,6 +35,8 @@ SCORE_DIGITS = 12
 HEADS = 3
 #: Entries of a block, and blocks' levels of bound for each unit of score.
 BLOCK, LEVELS = 256, 4
+#: A catalog of at most so many places is its own pool: that is less work than lists, and as bounded.
+WHOLE = 512
 #: Bounds and floors are sums in another order than scores: this covers their rounding.
 SLACK = 1e-9
 ANY_TIME = "*"
@@ -47,17 +50,19 @@ def term(signal: str, value: Column) -> Column:
 class Lists:
     """base(bucket, entries), singles(bucket, category, entries), first(bucket, category, entries),
     several(bucket, category, bound, entries), targets(src, bound, entries); depth: of the ranking that they serve. first and
-    several are None where no place has several categories."""
+    several are None where no place has several categories; a catalog of WHOLE places has whole(pois, floor), one row, and
+    targets only."""
 
     depth: int
-    base: DataFrame
-    singles: DataFrame
+    base: DataFrame | None
+    singles: DataFrame | None
     first: DataFrame | None
     several: DataFrame | None
     targets: DataFrame
+    whole: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: df for k in ("base", "singles", "first", "several", "targets") if (df := getattr(self, k)) is not None}
+        return {k: df for k in ("base", "singles", "first", "several", "targets", "whole") if (df := getattr(self, k)) is not None}
 
     def kept(self) -> Lists:
         """The same lists, held by the executors."""
@@ -84,11 +89,18 @@ def in_blocks(rows: DataFrame, keys: list[str], bound: Column, name: str, entry:
 
 def build_lists(index: Index, depth: int) -> Lists:
     """The lists of an index, for rankings of depth places."""
+    never = F.lit(float("inf"))
+    if index.poi_stats.limit(WHOLE + 1).count() <= WHOLE:
+        moves = index.transition_counts.groupBy("src").agg(never.alias("bound"), F.collect_list(F.struct(F.col("dst").alias("poi_id"), "n", never.alias("bound"))).alias("entries"))
+        whole = index.poi_stats.agg(F.collect_list("poi_id").alias("pois"), (-F.first(never)).alias("floor"))
+        return Lists(depth, None, None, None, None, moves, whole)
     counts = index.category_counts.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("counts"))
     place = index.poi_stats.select("poi_id", F.col("category").alias("voted"), F.col("n").alias("g")).join(counts, "poi_id")
     bucket = F.explode(F.array(*map(F.lit, [*TIME_BUCKETS, ANY_TIME]))).alias("bucket")
     timed = place.select("*", bucket).join(index.time_counts.withColumnRenamed("n", "t"), ["bucket", "poi_id"], "left").fillna(0, ["t"])
+    # read by every list
     base = timed.withColumn("base", term("global_popularity", F.col("g")) + term("time_popularity", F.col("t")))
+    base = written_once(base.select("bucket", "poi_id", "voted", "g", "base", "counts"))
     entry = F.struct("poi_id", "voted", "base", "counts")
     heads = _best(_best(base, ["bucket", "voted"], F.col("base"), 1), ["bucket"], F.col("base"), HEADS)
     top = _best(base, ["bucket"], F.col("base"), depth).unionAll(heads)
@@ -99,7 +111,7 @@ def build_lists(index: Index, depth: int) -> Lists:
     one = base.filter(F.size("counts") == 1).select("*", F.explode("counts").alias("category", "n")).withColumn("score", alone)
     singles = _best(one, ["bucket", "category"], F.col("score"), depth).groupBy("bucket", "category").agg(F.collect_list(scored).alias("entries"))
     first = several = None
-    if not place.filter(F.size("counts") > 1).isEmpty():
+    if not base.filter((F.col("bucket") == ANY_TIME) & (F.size("counts") > 1)).isEmpty():
         many = base.filter(F.size("counts") > 1).select("*", F.explode("counts").alias("category", "n")).withColumn("score", alone)
         first = _best(many, ["bucket", "category"], F.col("score"), depth).groupBy("bucket", "category").agg(F.collect_list(entry).alias("entries"))
         several = in_blocks(many, ["bucket", "category"], F.col("base") + term("history_category", F.col("g")), "poi_id", entry)

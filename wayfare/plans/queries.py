@@ -337,7 +337,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(score, 12) D
 def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view, depth: int = scoring.TRACE):
     e = view(spark, sf_dir)
     idx = index.fit_index(_train(e)).kept()
-    rows = examples.build_examples(_rest(e), PROTOCOL).persist()
+    # dealt by sample once, as everything after is
+    rows = examples.build_examples(_rest(e), PROTOCOL).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_id").persist()
     lists = serving.build_lists(idx, depth).kept()
     return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants, lists=lists)
 
