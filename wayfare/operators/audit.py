@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wayfare.functions.contracts import SPLITS
 from wayfare.functions.scalars import canonical_timestamp, event_identity, session_identity
 
-FINGERPRINT_BUCKETS = 4096
+#: A fingerprint's sum has so many limbs of 16 bits: 256 bits.
+LIMBS = 16
 EVENT_COLUMNS = ["dataset", "split", "raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "model_poi_id", "category", "latitude", "longitude"]
 
 
@@ -71,17 +72,47 @@ def input_ordered(events: DataFrame, order: str) -> DataFrame:
     return parts.withColumn("turn", turn).groupBy("split").agg((~F.bool_or(F.col("back") | F.coalesce("turn", F.lit(False)))).alias("input_time_ordered"))
 
 
-def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """fingerprint of the multiset of rows (for each group of by): row hashes with their counts, digested in a fixed number of
-    buckets and then once more, whatever the order and partitioning of the rows."""
-    by = by or []
+def row_digest(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of a row as JSON, nulls included, times in their canonical form."""
     text = [canonical_timestamp(F.col(c)).alias(c) if dict(df.dtypes)[c].startswith("timestamp") else F.col(c) for c in columns]
-    row = F.sha2(F.to_json(F.struct(*text), {"ignoreNullFields": "false"}), 256).alias("h")
-    counted = df.select(*by, row).groupBy(*by, "h").agg(F.count("*").alias("n"))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(FINGERPRINT_BUCKETS)).alias("bucket")
-    join = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    digests = counted.groupBy(*by, bucket).agg(join(F.concat_ws(":", "h", F.col("n").cast("string"))).alias("d"))
-    return digests.groupBy(*by).agg(join(F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 4, "0"), "d")).alias("fingerprint"))
+    return F.sha2(F.to_json(F.struct(*text), {"ignoreNullFields": "false"}), 256)
+
+
+def fingerprint_state(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, rows, limbs: a multiset hash that adds up. Each row is a 256-bit number; limbs are the sums of its 16-bit limbs, least
+    first. Sums are made where the rows are and merged, so a task holds a fixed number of longs, and states of parts (days,
+    files) give the state of the whole by merge_states. It tells changed, added, doubled and lost rows; it isn't made to
+    withstand someone who searches for rows of a given sum."""
+    by = by or []
+    word = lambda i: F.conv(F.substring("digest", 57 - 8 * i, 8), 16, 10).cast("long")
+    words = df.select(*by, row_digest(df, columns).alias("digest")).select(*by, *(word(i).alias(f"w{i}") for i in range(LIMBS // 2)))
+    low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFF))), (lambda c: F.shiftright(c, 16))
+    sums = words.groupBy(*by).agg(F.count("*").alias("rows"), *(F.sum(half(F.col(f"w{i}"))).alias(f"s{2 * i + h}") for i in range(LIMBS // 2) for h, half in enumerate((low, high))))
+    return sums.select(*by, "rows", F.array(*(F.coalesce(f"s{i}", F.lit(0).cast("long")) for i in range(LIMBS))).alias("limbs"))
+
+
+def merge_states(states: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The states of unions of parts."""
+    by = by or []
+    sums = states.groupBy(*by).agg(F.sum("rows").alias("rows"), *(F.sum(F.get("limbs", F.lit(i))).alias(f"s{i}") for i in range(LIMBS)))
+    return sums.select(*by, "rows", F.array(*(F.coalesce(f"s{i}", F.lit(0).cast("long")) for i in range(LIMBS))).alias("limbs"))
+
+
+def state_digest(rows: Column, limbs: Column) -> Column:
+    """SHA-256 of the number of rows and of their sum modulo 2^256, in hexadecimal digits."""
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text"))
+
+    def add(at: Column, limb: Column) -> Column:
+        whole = at["carry"] + limb
+        digits = F.lower(F.lpad(F.hex(whole.bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+        return F.struct(F.shiftright(whole, 16).alias("carry"), F.concat(digits, at["text"]).alias("text"))
+
+    return F.sha2(F.concat(rows.cast("string"), F.lit(":"), F.aggregate(limbs, start, add, lambda at: at["text"])), 256)
+
+
+def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """fingerprint of the multiset of rows (for each group of by), whatever their order and partitioning."""
+    return fingerprint_state(df, columns, by).select(*(by or []), state_digest(F.col("rows"), F.col("limbs")).alias("fingerprint"))
 
 
 def taxonomy_hash(events: DataFrame) -> DataFrame:

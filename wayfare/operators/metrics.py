@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.scalars import day_type, evaluation_history_bucket, rarity
 from wayfare.operators.index import Index
+from wayfare.operators.percentiles import with_percentiles
 from wayfare.operators.scoring import SCORE_DIGITS, TRACE, candidate_sources
 
 #: Categories of a sample that are judged.
@@ -112,9 +113,9 @@ def failures(obs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(
-        F.count(column).alias("count"), F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.95).alias("p95"), F.max(column).alias("max")
-    )
+    plain = F.count(column).alias("count"), F.avg(column).alias("mean"), F.max(column).alias("max")
+    found = with_percentiles(df, by or [], column, {"p50": 0.5, "p95": 0.95}, *plain)
+    return found.select(*(by or []), "count", "mean", "p50", "p95", "max")
 
 
 def endpoint_metrics(log: DataFrame, endpoints: list[str]) -> DataFrame:

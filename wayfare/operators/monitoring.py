@@ -15,11 +15,14 @@ from wayfare.functions.scalars import (
     softmax_entropy,
 )
 from wayfare.operators.index import Index
+from wayfare.operators.percentiles import with_percentiles
 from wayfare.operators.scoring import TRACE, ranked
 from wayfare.schemas import MONITORING_FIELDS
 
 # Alert thresholds and the floor of a share in PSI.
 JS_LIMIT, PSI_LIMIT, PSI_FLOOR = 0.10, 0.20, 1e-6
+#: Names that are tried for a category that no event has.
+FRESH_KEYS = 1000
 
 
 def unknown_history(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -113,9 +116,8 @@ def numeric_summaries(events: DataFrame) -> DataFrame:
     plain = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in ("unknown_count", "candidate_count", "score_entropy", "total_latency_ms")))
     stages = F.transform(F.map_entries("stage_latency_ms"), lambda e: F.struct(F.concat(F.lit("stage_latency_ms."), e["key"]).alias("name"), e["value"].alias("x")))
     rows = events.select(F.explode(F.concat(plain, stages)).alias("r")).select("r.*").filter(F.col("x").isNotNull())
-    return rows.groupBy("name").agg(
-        F.count("*").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", 0.5).alias("p50"), F.percentile("x", 0.95).alias("p95")
-    )
+    found = with_percentiles(rows, ["name"], "x", {"p50": 0.5, "p95": 0.95}, F.count("*").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return found.select("name", "count", "mean", "min", "max", "p50", "p95")
 
 
 def inject_drift(events: DataFrame) -> DataFrame:
@@ -125,13 +127,12 @@ def inject_drift(events: DataFrame) -> DataFrame:
     row = top.orderBy(F.desc("count"), "place").first()
     if row is None:
         return events
-    goal = next(b for b in reversed(HISTORY_BUCKETS) if b != row["history_length_bucket"])
+    longest, second = HISTORY_BUCKETS[-1], HISTORY_BUCKETS[-2]
+    goal = second if row["history_length_bucket"] == longest else longest
     used = events.select(F.explode(F.map_keys("category_histogram")).alias("k")).filter(F.col("k").startswith("category_"))
-    for attempt in range(1000):
-        fresh = "injected-drift" if not attempt else f"injected-drift-{attempt}"
-        key = events.sparkSession.range(1).select(category_key(F.lit(fresh))).first()[0]
-        if used.filter(F.col("k") == key).isEmpty():
-            break
+    names = F.concat(F.array(F.lit("injected-drift")), F.transform(F.sequence(F.lit(1), F.lit(FRESH_KEYS)), lambda i: F.concat(F.lit("injected-drift-"), i.cast("string"))))
+    fresh = events.sparkSession.range(1).select(F.posexplode(names).alias("attempt", "name")).select("attempt", category_key(F.col("name")).alias("k"))
+    key = fresh.join(used.distinct(), "k", "left_anti").orderBy("attempt").first()["k"]
     total = F.aggregate(F.map_values("category_histogram"), F.lit(0).cast("long"), lambda a, x: a + x)
     bucket = F.when(F.col("history_length_bucket") == row["history_length_bucket"], goal).otherwise(F.col("history_length_bucket"))
     return events.withColumn("history_length_bucket", bucket).withColumn("category_histogram", F.create_map(F.lit(key), F.greatest(F.lit(1).cast("long"), total)))

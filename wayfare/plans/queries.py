@@ -110,7 +110,20 @@ def b678(spark, sf_dir):
     )
 
 
-@query("b9_fingerprint")
+def _digest_sql(text: str, source: str, by: str) -> str:
+    """Rows as JSON text, their SHA-256 as 16 limbs of 16 bits, the limbs' sums carried into 256 bits, and the digest of both."""
+    limb = lambda i: f"CAST(sum(CAST('0x' || substr(h, {61 - 4 * i}, 4) AS BIGINT)) AS BIGINT) AS s{i}"
+    carried = "s0 AS c0, " + ", ".join(f"s{i} + c{i - 1} // 65536 AS c{i}" for i in range(1, audit.LIMBS))
+    digits = ", ".join(f"c{i} % 65536" for i in reversed(range(audit.LIMBS)))
+    return f"""SELECT {by}, sha256(n || ':' || format('{"{:04x}" * audit.LIMBS}', {digits})) AS fingerprint FROM (SELECT *, {carried} FROM (
+    SELECT {by}, count(*) AS n, {", ".join(map(limb, range(audit.LIMBS)))} FROM (SELECT {by}, sha256({text}) AS h FROM {source}) GROUP BY 1))"""
+
+
+_EVENT_TEXT = """'{"dataset":"synthetic","split":"' || split || '","raw_user_id":"' || u || '","session_id":"' || s || '","timestamp_utc":"' || """ + STAMP.format("ts") + """ || '","raw_poi_id":"' || p || '","model_poi_id":null,"category":"' || c || '","latitude":null,"longitude":null}'"""
+_CODE_TEXT = """'{"mapping":"' || mapping || '","value":"' || value || '","id":' || id || '}'"""
+
+
+@query("b9_fingerprint", f"WITH {E_SQL} " + _digest_sql(_EVENT_TEXT, "e", "split"))
 def b9(spark, sf_dir):
     return audit.fingerprint(e_view(spark, sf_dir), audit.EVENT_COLUMNS, ["split"])
 
@@ -246,10 +259,20 @@ def d9_all(spark, sf_dir):
     return audit.temporal_order(audit.temporal_boundaries(audit.split_summary(l_view(spark, sf_dir))))
 
 
-@query("d10_manifest")
+_CODES_SQL = " UNION ALL ".join(f"SELECT 1 AS one, '{m}' AS mapping, v AS value, row_number() OVER (ORDER BY v) - 1 AS id FROM (SELECT DISTINCT {c} AS v FROM e{w})" for m, c, w in (("poi", "p", " WHERE split = 'train'"), ("user", "u", " WHERE split = 'train'"), ("category", "c", "")))
+
+
+@query(
+    "d10_manifest",
+    f"""WITH {E_SQL}, codes AS ({_CODES_SQL}), prints AS ({_digest_sql(_EVENT_TEXT, "e", "split")}), coded AS ({_digest_sql(_CODE_TEXT, "codes", "one")}),
+    sums AS (SELECT split, count(*) AS events, count(DISTINCT u || '|' || s) AS sessions, {STAMP.format("min(ts)")} AS first_ts, {STAMP.format("max(ts)")} AS last_ts FROM e GROUP BY 1)
+    SELECT split, events, sessions, first_ts, last_ts, prints.fingerprint AS fingerprint, (SELECT sha256('["' || string_agg(c, '","' ORDER BY c) || '"]') FROM (SELECT DISTINCT c FROM e)) AS taxonomy_sha256,
+    '{PROTOCOL}' AS split_protocol, coded.fingerprint AS encoder_fingerprint FROM sums JOIN prints USING (split), coded""",
+)
 def d10(spark, sf_dir):
     e = e_view(spark, sf_dir)
-    return audit.manifest(e, PROTOCOL, encoder.fit_encoder(_train(e), index.taxonomy(e)), index.taxonomy(e))
+    found = audit.manifest(e, PROTOCOL, encoder.fit_encoder(_train(e), index.taxonomy(e)), index.taxonomy(e))
+    return found.withColumns({c: scalars.canonical_timestamp(F.col(c)) for c in ("first_ts", "last_ts")})
 
 
 @query(
@@ -511,10 +534,17 @@ def d18(spark, sf_dir):
     return rows.select("dimension", F.round("js", 9).alias("js"), F.round("psi", 9).alias("psi"), "alert")
 
 
-@query("j2_replay_injected")
+_INJECTED_SQL = """top AS (SELECT key FROM ds WHERE split = 'test' AND dimension = 'history_length' ORDER BY weight DESC, list_position(['0', '1', '2-5', '6-10', '11-20', '21-50', '51-100', '101+'], key) LIMIT 1),
+dx AS (SELECT split, dimension, CASE WHEN split <> 'test' THEN key WHEN dimension = 'category' THEN 'category_' || substr(sha256('injected-drift'), 1, 16)
+  WHEN dimension = 'history_length' AND key = (SELECT key FROM top) THEN CASE key WHEN '101+' THEN '51-100' ELSE '101+' END ELSE key END AS key, sum(weight) AS weight FROM ds GROUP BY ALL),
+shx AS (SELECT *, weight / sum(weight) OVER (PARTITION BY split, dimension) AS share FROM dx)"""
+
+
+@query("j2_replay_injected", f"{_DIST_SQL}, {_INJECTED_SQL}, {_DRIFT_SQL.format(ref='shx WHERE split = ' + chr(39) + 'validation' + chr(39), cur='shx WHERE split = ' + chr(39) + 'test' + chr(39))}")
 def j2(spark, sf_dir):
     events = _events(spark, sf_dir).persist()
-    return monitoring.replay(events.filter("split = 'validation'"), events.filter("split = 'test'"), inject=True)
+    rows = monitoring.replay(events.filter("split = 'validation'"), events.filter("split = 'test'"), inject=True)
+    return rows.select("dimension", F.round("js", 9).alias("js"), F.round("psi", 9).alias("psi"), "alert")
 
 
 @query("c4_unknown_history", f"WITH {L_SQL}, {INDEX_SQL}, {EXAMPLES_SQL} SELECT unknown AS unknown_count, count(*) AS n FROM (SELECT hi.sid, count(*) FILTER (WHERE poi.p IS NULL OR hi.p LIKE '%7') AS unknown FROM hi LEFT JOIN poi USING (p) GROUP BY 1) GROUP BY 1")
