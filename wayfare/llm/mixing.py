@@ -1,8 +1,8 @@
 """Mixing sources to target weights by fitting word budgets exactly.
 
 Documents are counted by (source, size). Each source's budget is first spent on whole passes over the source; what is left is
-a subset-sum problem over the size histogram: an even share of each size, then a bounded-knapsack dynamic programme over the
-last few documents' worth of words. Documents are then chosen within each size in a seeded order.
+a subset-sum problem over the size histogram, by a bounded-knapsack dynamic programme over sets of sums (see fit_budget).
+Documents are then chosen within each size in a seeded order.
 
 Defined cases: a null text has size 0; a document of size 0 is never taken (taken = 0); a null source is a source of its own
 that comes last; repeated rows are documents of their own; an empty table gives an empty result. Input columns other than the
@@ -11,6 +11,7 @@ five of documents are ignored, so extra columns can't clash.
 
 from __future__ import annotations
 
+import zlib
 from itertools import cycle
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, row_hash, staged, text_of, word_count
 
-#: Words above which a document is placed before the programme, whose memory is three times the largest size that it sees.
-LARGE = 1 << 21
+#: Widest set of sums, in words; it's wider only where a few documents alone need it.
+WIDTH = 1 << 24
+#: Words that the programme fills in its first attempt, in largest documents; each further attempt has FURTHER times as many.
+FIRST, FURTHER = 2, 8
 #: Rows of one (source, size) that one task ranks together; larger groups are split by hash.
 GROUP_ROWS = 4096
 
@@ -45,74 +48,84 @@ def water_fill(sizes: list[int], weights: list[float], share: float, cap: float)
     return targets
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up as near to budget as a subset can get.
-
-    sizes are distinct and above 0. All but about two of the largest documents' words are taken evenly over the sizes (the
-    rounding error of that is below one document); the rest is a bounded knapsack over what is left of each size. Documents of
-    more than LARGE words get their even share first and then, the largest first, what still fits; the others fill the rest.
-    """
-    if len(sizes) and sizes.max() > LARGE:
-        return _fit_large(sizes.astype(np.int64), counts.astype(np.int64), budget)
-    order = np.argsort(sizes)
-    size, count = sizes[order].astype(np.int64), counts[order].astype(np.int64)
-    total, largest = int((size * count).sum()), int(size[-1])
-    take = np.zeros(len(size), np.int64)
-    if budget >= total:
-        take = count.copy()
-    elif budget > 0:
-        even = max(0, budget - 2 * largest) / total
-        cut = np.floor(np.cumsum(count) * even).astype(np.int64)
-        take = np.minimum(np.diff(cut, prepend=0), count)
-        left = budget - int((take * size).sum())
-        spare = np.minimum(count - take, (left + largest) // size)
-        width = left + largest + 1
-        reached, first = np.zeros(width, bool), np.full(width, -1, np.int64)
-        reached[0] = True
-        items: list[tuple[int, int]] = []
-        for i in np.flatnonzero(spare)[::-1]:
-            n, part = int(spare[i]), 1
-            while n > 0 and not reached[left]:
-                k = min(part, n)
-                w = int(size[i]) * k
-                if w < width:
-                    new = np.zeros(width, bool)
-                    new[w:] = reached[:-w]
-                    new &= ~reached
-                    first[new] = len(items)
-                    reached |= new
-                items.append((i, k))
-                n, part = n - k, part * 2
-            if reached[left]:
-                break
-        sums = np.flatnonzero(reached)
-        at = int(sums[np.lexsort((sums, np.abs(sums - left)))[0]])
-        while at:
-            i, k = items[first[at]]
+def nearest_sum(size: list[int], count: list[int], goal: int, beyond: float = 0.0) -> tuple[int, list[int]]:
+    """The sum nearest to goal + beyond (less than 1 off; ties: the smaller) of at most count[i] times size[i] each, and how
+    often each. What is taken or what is left out is looked for, whichever is less.
+
+    A set of sums is one long integer, a bit for each word; sizes are added in parts of 1, 2, 4... of each. What each part adds
+    to the set is kept compressed: these additions have no sum in common, so together they hold each once."""
+    whole = sum(s * c for s, c in zip(size, count, strict=True))
+    if not 0 <= goal < whole:
+        return (whole, count) if goal > 0 else (0, [0] * len(size))
+    if turned := 2 * goal > whole:
+        goal, beyond = whole - goal, -beyond
+    # nothing is nearer than twice the goal if it's above, and a sum that passes the goal does so by one document
+    width = min(goal + max(size), 2 * goal) + 2
+    reached, inside = 1, (1 << width) - 1
+    steps: list[tuple[int, int, bytes]] = []
+    for i in sorted(range(len(size)), key=lambda i: -size[i]):
+        n, part = min(count[i], (width - 1) // size[i]), 1
+        while n > 0 and not reached >> goal & 1:
+            k = min(part, n)
+            new = (reached << size[i] * k) & inside & ~reached
+            if new:
+                reached |= new
+                steps.append((i, k, zlib.compress(new.to_bytes(-(-width // 8), "little"), 1)))
+            n, part = n - k, part * 2
+    low = (reached & ((1 << goal + 1) - 1)).bit_length() - 1
+    above = reached >> goal + 1
+    high = goal + (above & -above).bit_length() if above else None
+    over, under = (high - goal - beyond if high is not None else width), goal - low + beyond
+    at = best = high if over < under or (turned and over == under) else low
+    take = [0] * len(size)
+    for i, k, new in reversed(steps):
+        if at and zlib.decompress(new)[at >> 3] >> (at & 7) & 1:
             take[i] += k
-            at -= int(size[i]) * k
-    out = np.zeros(len(size), np.int64)
-    out[order] = take
+            at -= size[i] * k
+    return (whole - best, [c - t for c, t in zip(count, take, strict=True)]) if turned else (best, take)
+
+
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each size to take so that their sizes add up near to budget. sizes are distinct and above 0.
+
+    All but about FIRST largest documents' words are taken evenly over the sizes, and a programme over all that is left of each
+    size fills the rest. If that doesn't meet the budget (to the word, or as near as the sizes' common divisor allows), it is
+    tried again with FURTHER times as many words left to it, up to all: then the sum is the nearest that any subset has. So the
+    result is the nearest sum whenever it meets the budget or the budget is below WIDTH words; of larger budgets that no attempt
+    meets it is the nearest sum that takes an even share of all but the last WIDTH words. Memory is a few bits for each word of
+    WIDTH or of three largest documents, whichever is more."""
+    order = np.argsort(sizes)  # so that the order of rows can't change the result
+    out = np.zeros(len(sizes), np.int64)
+    out[order] = _fit_sorted(sizes[order], counts[order], budget)
     return out
 
 
-def _fit_large(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    large = sizes > LARGE
-    share = min(1.0, max(0, budget) / int((sizes * counts).sum()))
-    take = np.where(large, np.floor(counts * share).astype(np.int64), 0)
-    left, rest = budget - int((take * sizes).sum()), int((sizes * counts)[~large].sum())
-    order = [i for i in np.argsort(-sizes) if large[i]]
-    for i in order:  # what the small ones can't fill
-        more = min(int(counts[i] - take[i]), max(0, left - rest) // int(sizes[i]))
-        take[i] += more
-        left -= more * int(sizes[i])
-    spare = [i for i in order if take[i] < counts[i]]
-    if spare and left > rest and abs(left - int(sizes[spare[-1]])) < left - rest:
-        take[spare[-1]] += 1
-        left -= int(sizes[spare[-1]])
-    if left > 0 and rest:
-        take[~large] = fit_budget(sizes[~large], counts[~large], left)
-    return take
+def _fit_sorted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    unit = int(np.gcd.reduce(sizes)) if len(sizes) else 1
+    size, count = [int(s) // unit for s in sizes], [int(c) for c in counts]
+    total = sum(s * c for s, c in zip(size, count, strict=True))
+    goal = (2 * budget + unit - 1) // (2 * unit)  # nearest multiple; of two the smaller
+    beyond = (budget - goal * unit) / unit
+    if goal >= total:
+        return np.array(count, np.int64)
+    if goal <= 0:
+        return np.zeros(len(size), np.int64)
+    largest, shares = max(size), np.array(count, np.int64)
+    best, words = None, FIRST * largest
+    while True:
+        words = min(words, max(WIDTH, FIRST * largest), goal)
+        take = shares * 0
+        if words < goal:
+            cut = [c * (goal - words) // total for c in np.cumsum(shares).tolist()]  # the rounding error of the sum is below one document
+            take = np.minimum(np.diff(np.array(cut), prepend=0), shares)
+        left = goal - sum(s * int(t) for s, t in zip(size, take, strict=True))
+        if left >= 0:
+            found, more = nearest_sum(size, (shares - take).tolist(), left, beyond)
+            if best is None or abs(found - left - beyond) < best[0]:
+                best = abs(found - left - beyond), found == left, take + np.array(more, np.int64)
+        if (best and best[1]) or words >= min(goal, max(WIDTH, FIRST * largest)):
+            return best[2] if best else take
+        words *= FURTHER
 
 
 def _fit_source(hist: pd.DataFrame) -> pd.DataFrame:
