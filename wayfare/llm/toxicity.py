@@ -7,12 +7,14 @@ bounded sample of labelled rows (SAMPLE_DOCS documents with the least hashes of
 token's probability; their maximum, sum and share give a document's score by a logistic regression fitted on the same sample,
 and tokens of SPAN_LEAST or more are the offending spans.
 
-Words hash into BUCKETS feature numbers, so the model that goes to the tasks has one size. A sentence is up to SENTENCE
-tokens and ends after '.', '!' or '?'.
+Words hash into BUCKETS feature numbers, so the model that goes to the tasks has one size. A sentence ends after '.', '!' or
+'?', or with the text, however long it is: chains run over whole sentences. They are worked off in rows of ROW tokens that hand
+the forward vector to the next row and the backward vector to the one before, so memory follows the tokens at hand.
 
 Defined cases: a null or empty text has no tokens and gets the score of a document without toxic ones; labels that are null
 or of unknown documents are ignored; a document labelled twice counts as toxic if one label says so; without labels of both
-kinds every score is 0; repeated rows are scored each; an empty table gives an empty result. Only named columns are read.
+kinds every score is 0; repeated rows are scored each; rows of one doc_id all enter the sample, as far as it goes, in the order
+of their texts; an empty table gives an empty result. Only named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ TRAIN_SENTENCES, CLEAN_PART = 40_000, 0.05
 KEPT = 400_000
 STOPS = (b".", b"!", b"?")
 BUCKETS = 1 << 18
-SENTENCE = 48
+#: Tokens of a row.
+ROW = 48
 SPAN_LEAST = 0.5
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»¡¿…“”‘’"
@@ -61,7 +64,7 @@ def _sentences(text: str) -> list[list[str]]:
     out: list[list[str]] = [[]]
     for raw in WORDS.findall(text):
         out[-1].append(raw.lower().strip(EDGES))
-        if raw[-1] in ".!?" or len(out[-1]) == SENTENCE:
+        if raw[-1] in ".!?":
             out.append([])
     return [s for s in out if s]
 
@@ -96,28 +99,68 @@ class Field:
         self.transition = np.zeros((2, 2))
 
 
-def marginals(potential: np.ndarray, transition: np.ndarray, length: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
-    """Marginals of tag toxic for padded sentences (rows), by scaled forward-backward; adds expected transitions to pairs."""
+def _handed_over(emit: np.ndarray, move: np.ndarray, length: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a chain the vector that comes into its first token, the one that comes back to its last, and the forward
+    vector that it ends with. A row's tokens are one 2x2 product; chains pass vectors on from product to product."""
+    n, width = emit.shape[:2]
+    into, back, end = np.ones((n, 2)), np.ones((n, 2)), np.ones((n, 2))
+    chained = follows | np.append(follows[1:], False)
+    rows = np.flatnonzero(chained)
+    if not len(rows):
+        return into, back, end
+    whole = np.zeros((len(rows), 2, 2))
+    whole[:, [0, 1], [0, 1]] = emit[rows, 0]
+    for t in range(1, width):
+        step = (whole @ move) * emit[rows, t][:, None, :]
+        step /= step.sum((1, 2), keepdims=True)
+        whole = np.where((t < length[rows])[:, None, None], step, whole)
+    at = np.full(n, -1)  # the place of a row in whole
+    at[rows] = np.arange(len(rows))
+    nth = np.arange(n) - np.maximum.accumulate(np.where(follows, 0, np.arange(n)))  # place in the chain
+    of_place = [np.flatnonzero(chained & (nth == k)) for k in range(int(nth[rows].max()) + 1)]
+    for k, some in enumerate(of_place):
+        if k:
+            step = end[some - 1] @ move
+            into[some] = step / step.sum(1, keepdims=True)
+        step = np.einsum("ni,nij->nj", into[some], whole[at[some]])
+        end[some] = step / step.sum(1, keepdims=True)
+    for some in reversed(of_place[1:]):
+        step = np.einsum("nij,nj->ni", whole[at[some]], back[some]) @ move.T
+        back[some - 1] = step / step.sum(1, keepdims=True)
+    return into, back, end
+
+
+def marginals(potential: np.ndarray, transition: np.ndarray, length: np.ndarray, pairs: np.ndarray | None = None, follows: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of tag toxic for padded rows, by scaled forward-backward; adds expected transitions to pairs. A row that follows
+    goes on with the chain of the row before it."""
     n, width = potential.shape
+    follows = np.zeros(n, bool) if follows is None else follows
     move = np.exp(transition)
     emit = np.stack([np.ones_like(potential), np.exp(np.clip(potential, -30, 30))], axis=2)
+    into, back, end = _handed_over(emit, move, length, follows)
     forward, backward = np.zeros((width, n, 2)), np.ones((width, n, 2))
-    f = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+    f = into * emit[:, 0]
+    f /= f.sum(1, keepdims=True)
     forward[0] = f
     for t in range(1, width):
         f = (f @ move) * emit[:, t]
         f /= f.sum(1, keepdims=True)
         forward[t] = f
-    b = np.ones((n, 2))
+    b = back
+    backward[width - 1] = b
     for t in range(width - 2, -1, -1):
         step = (b * emit[:, t + 1]) @ move.T
-        b = np.where((t + 1 < length)[:, None], step / step.sum(1, keepdims=True), 1.0)
+        b = np.where((t + 1 < length)[:, None], step / step.sum(1, keepdims=True), back)
         backward[t] = b
     both = forward * backward
     tags = (both / both.sum(2, keepdims=True))[:, :, 1].T
-    for t in range(width - 1 if pairs is not None else 0):
-        inside = t + 1 < length
-        joint = forward[t][inside][:, :, None] * move[None] * (emit[inside, t + 1] * backward[t + 1][inside])[:, None, :]
+    if pairs is not None:
+        for t in range(width - 1):
+            inside = t + 1 < length
+            joint = forward[t][inside][:, :, None] * move[None] * (emit[inside, t + 1] * backward[t + 1][inside])[:, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        joined = np.flatnonzero(follows)
+        joint = end[joined - 1][:, :, None] * move[None] * (emit[joined, 0] * backward[0][joined])[:, None, :]
         pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     return tags
 
@@ -134,30 +177,31 @@ def train(docs: list[tuple[str, int]], rounds: int = 60, rate: float = 0.5, seed
                 chosen.append((words, tags))
     chosen = [chosen[i] for i in rng.permutation(len(chosen))[:TRAIN_SENTENCES]]
     if chosen and any(any(t) for _, t in chosen):
-        width = max(len(w) for w, _ in chosen)
-        length = np.array([len(w) for w, _ in chosen])
+        rows, columns, numbers, previous, moved = [], [], [], [], np.zeros((2, 2))
+        cut = [(words, tags, a) for words, tags in chosen for a in range(0, len(words), ROW)]
+        length = np.array([min(ROW, len(words) - a) for words, _, a in cut])
+        follows = np.array([a > 0 for _, _, a in cut])
+        width = int(length.max())
         inside = np.arange(width) < length[:, None]
-        gold = np.zeros((len(chosen), width))
-        rows, columns, numbers, previous = [], [], [], []
-        for i, (words, tags) in enumerate(chosen):
-            gold[i, : len(tags)] = tags
-            for t, w in enumerate(words):
+        gold = np.zeros((len(cut), width))
+        for i, (words, tags, a) in enumerate(cut):
+            gold[i, : length[i]] = tags[a : a + ROW]
+            for t, w in enumerate(words[a : a + ROW]):
                 for f in features(w):
                     rows.append(i), columns.append(t), numbers.append(bucket(f))
-                previous.append((i, t, bucket(words[t - 1])) if t else (i, 0, -1))
+                if a + t:
+                    previous.append((i, t, bucket(words[a + t - 1])))
+        for _, tags in chosen:
+            np.add.at(moved, (tags[:-1], tags[1:]), 1)
         rows, columns, numbers = map(np.array, (rows, columns, numbers))
-        pi, pt, pn = np.array([p for p in previous if p[2] >= 0], np.int64).reshape(-1, 3).T
-        moved = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                moved[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & inside[:, 1:]).sum()
+        pi, pt, pn = np.array(previous, np.int64).reshape(-1, 3).T
         squares = [np.full(BUCKETS, 1e-8), np.full(BUCKETS, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
         for _ in range(rounds):
             potential = np.full(gold.shape, field.bias)
             np.add.at(potential, (rows, columns), field.emission[numbers])
             np.add.at(potential, (pi, pt), field.before[pn])
             pairs = np.zeros((2, 2))
-            tags = marginals(potential, field.transition, length, pairs)
+            tags = marginals(potential, field.transition, length, pairs, follows)
             wrong = np.where(inside, gold - tags, 0.0)
             steps = [
                 np.bincount(numbers, wrong[rows, columns], BUCKETS) - 1e-2 * field.emission,
@@ -224,22 +268,23 @@ class Scorer:
         own, before, stop = self.adds_of([w for ws in words for w in ws])
         begin = np.concatenate(([True], stop[:-1]))
         begin[(np.cumsum(counts) - counts)[counts > 0]] = True
+        potential = self.field.bias + own + np.where(begin, 0.0, np.concatenate(([0.0], before[:-1])))
         starts = np.flatnonzero(begin)
+        row_begin = begin | ((np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))) % ROW == 0)
+        starts = np.flatnonzero(row_begin)
         sizes = np.diff(np.append(starts, n))
-        within = np.arange(n) - np.repeat(starts, sizes)
-        begin |= within % SENTENCE == 0
-        starts = np.flatnonzero(begin)
-        sizes = np.diff(np.append(starts, n))
-        potential = self.field.bias + own + np.where(begin, 0.0, np.concatenate(([0.0], before[:-1])))
+        follows = ~begin[starts]
         at = np.arange(n) - np.repeat(starts, sizes)
-        out = np.zeros(n)
-        for a in range(0, len(starts), 16_384):
-            some, size = starts[a : a + 16_384], sizes[a : a + 16_384]
+        out, heads = np.zeros(n), np.flatnonzero(~follows)
+        # whole chains together, in parts of about so many rows
+        cuts = np.unique(np.append(heads[np.searchsorted(heads, np.arange(0, heads[-1] + 1, 16_384))], len(starts)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some, size = starts[a:b], sizes[a:b]
             tokens = slice(int(some[0]), int(some[-1] + size[-1]))
             row = np.repeat(np.arange(len(some)), size)
             padded = np.zeros((len(some), int(size.max())))
             padded[row, at[tokens]] = potential[tokens]
-            out[tokens] = marginals(padded, self.field.transition, size)[row, at[tokens]]
+            out[tokens] = marginals(padded, self.field.transition, size, follows=follows[a:b])[row, at[tokens]]
         return out, counts
 
     def adds_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +320,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS
     picked = []
     for toxic in (0, 1):
         ids = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2)
-        rows = docs.filter(F.length(text_of()) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", text_of().alias("text"), "toxic").limit(limit)
+        rows = docs.filter(F.length(text_of()) <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("doc_id", text_of().alias("text"), "toxic").orderBy("doc_id", "text").limit(limit)
         picked += sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
     return [(text, toxic) for _, text, toxic in picked]
 
