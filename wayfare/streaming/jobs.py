@@ -1,15 +1,12 @@
-"""Streams: scoring of arriving requests, drift of arriving windows, and rolling histories."""
+"""Streams: scoring of arriving requests and drift of arriving windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayfare.functions.contracts import MAX_HISTORY, enforce, request_rules
+from wayfare.functions.contracts import enforce, request_rules
 from wayfare.operators.index import Index
 from wayfare.operators.monitoring import drift
 from wayfare.operators.scoring import recommendations, score_requests
@@ -39,33 +36,3 @@ def drift_stream(lines: DataFrame, reference: DataFrame, output: str, checkpoint
             drift(reference, events).withColumn("window", F.lit(batch_id)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-HISTORY_ROW = "raw_user_id string, session_id string, timestamp_utc timestamp, raw_poi_id string, category string, history_size int, history array<string>"
-HISTORY_STATE = "times array<bigint>, pois array<string>, categories array<string>"
-
-
-def rolling_histories(events: DataFrame, idle: str | None = "1 day", limit: int = MAX_HISTORY) -> DataFrame:
-    """For each arriving visit, its session's latest visits before it (places, oldest first). Visits that arrive late are
-    sorted into the state; a session's state is at most limit visits and goes after it was idle. With idle=None states stay, and
-    a query that works off what is available ends (with a timeout it waits for it)."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(zip(*state.get)) if state.exists else []
-        new = sorted((int(t.value // 1000), p, c) for pdf in frames for t, p, c in zip(pdf["timestamp_utc"], pdf["raw_poi_id"], pdf["category"]))
-        rows = []
-        for visit in new:
-            before = [h for h in held if h <= visit][-limit:]
-            rows.append((*key, pd.Timestamp(visit[0], unit="us"), visit[1], visit[2], len(before), [p for _, p, _ in before]))
-            held = sorted([*held, visit])[-limit:]
-        state.update(tuple(list(x) for x in zip(*held)))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "category", "history_size", "history"])
-
-    visits = events.select("raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "category")
-    return visits.groupBy("raw_user_id", "session_id").applyInPandasWithState(run, HISTORY_ROW, HISTORY_STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
