@@ -8,6 +8,7 @@ from tests.test_library import dense
 from wayfare.functions.scalars import TIME_BUCKETS
 from wayfare.operators import scoring, serving
 from wayfare.operators.index import Index
+from wayfare.sources import serving_tables
 
 
 @pytest.fixture(autouse=True)
@@ -105,3 +106,50 @@ def test_blocks_are_of_bounded_size(spark):
     rows = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").cast("string").alias("poi_id"), F.when(F.col("id") < 19_000, 1.0).otherwise(F.col("id") / 1000).alias("b"))
     blocks = serving.in_blocks(rows, ["k"], F.col("b"), "poi_id", F.col("poi_id")).select("bound", F.size("entries").alias("n"), F.array_max("entries").alias("x")).collect()
     assert sum(r["n"] for r in blocks) == 20_000 and max(r["n"] for r in blocks) < 2 * serving.BLOCK
+
+
+def moved_scans(plan, name):
+    """Scans of name's tables in the lines of a plan, with whether an Exchange lies between each and the first join above it."""
+    lines = [(len(line) - len(line.lstrip(" :+-|")), line.strip(" :+-|")) for line in plan.splitlines() if line.strip()]
+    out = []
+    for i, (depth, text) in enumerate(lines):
+        table = text.partition(f"spark_catalog.default.{name}_")[2].partition("[")[0]
+        if not table:
+            continue
+        at, moved = depth, False
+        for d, t in reversed(lines[:i]):
+            if d < at:
+                at = d
+                if "Join" in t:
+                    break
+                moved |= "Exchange" in t and "Broadcast" not in t
+        out.append((table, moved))
+    return out
+
+
+def test_saved_lists_are_joined_where_they_lie(spark):
+    idx, asked, name = catalog(spark, 200), requests(spark, 200, 15), "lists_v1"
+    lists = serving.build_lists(idx, 10)
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        serving_tables.save_lists(lists, name)
+        with pytest.raises(ValueError, match="exist"):
+            serving_tables.save_lists(lists, name)
+        for c, v in zip(before, ("-1", "false")):
+            spark.conf.set(c, v)
+        loaded = serving_tables.load_lists(spark, name)
+        facts = scoring.request_facts(asked).withColumn("recent", F.sort_array("recent"))
+        best = serving.best_places(facts.select("bucket", "recent").distinct(), loaded, {(True, True)})
+        rows = scoring.score_requests(asked, idx, ["b3"], lists=loaded)
+        scans = moved_scans(best._jdf.queryExecution().executedPlan().toString(), name) + moved_scans(rows._jdf.queryExecution().executedPlan().toString(), name)
+        assert {t for t, _ in scans} >= {"singles", "first", "several", "targets", "places"} and not any(moved for t, moved in scans if t in serving_tables.KEYS)
+        top = lambda df: sorted(map(tuple, scoring.ranked(df, 10).select("sample_id", "rank", "poi_id").collect()))
+        got = top(rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+        for t in ("lists", *lists.tables()):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{t}")
+    assert got == top(scoring.score_requests(asked, idx, ["b3"], depth=10))
+    with pytest.raises(ValueError, match="no complete"):
+        serving_tables.load_lists(spark, name)

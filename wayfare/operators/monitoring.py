@@ -18,6 +18,7 @@ from wayfare.operators.index import Index
 from wayfare.operators.percentiles import with_percentiles
 from wayfare.operators.scoring import TRACE, ranked
 from wayfare.schemas import MONITORING_FIELDS
+from wayfare.session import written_once
 
 # Alert thresholds and the floor of a share in PSI.
 JS_LIMIT, PSI_LIMIT, PSI_FLOOR = 0.10, 0.20, 1e-6
@@ -93,17 +94,28 @@ def drift(reference: DataFrame, current: DataFrame, js_limit: float = JS_LIMIT,
 
 def drift_between(events: DataFrame, by: str, reference: str, current: str, js_limit: float = JS_LIMIT, psi_limit: float = PSI_LIMIT) -> DataFrame:
     """drift of two windows of one table, which its column by tells apart: events are read once."""
-    shares = distributions(events.filter(F.col(by).isin(reference, current)), (by,)).persist()  # a row for each key of a window
+    shares = written_once(distributions(events.filter(F.col(by).isin(reference, current)), (by,)))  # a row for each key of a window
     found = {r[by] for r in shares.select(by).distinct().collect()}
     for name in (reference, current):
         if name not in found:
             raise ValueError(f"the {name} window is empty")
+    return _judged(_compared(shares, by, reference, current), js_limit, psi_limit)
+
+
+def drift_of_shares(reference: DataFrame, current: DataFrame, js_limit: float = JS_LIMIT, psi_limit: float = PSI_LIMIT) -> DataFrame:
+    """drift of two windows of which the distributions are known."""
+    columns = ["dimension", "key", "share"]
+    both = reference.select(*columns, F.lit("reference").alias("window")).unionAll(current.select(*columns, F.lit("current").alias("window")))
+    return _judged(_compared(both, "window", "reference", "current"), js_limit, psi_limit)
+
+
+def _judged(compared: DataFrame, js_limit: float, psi_limit: float) -> DataFrame:
     ref, cur = F.col("ref"), F.col("cur")
     mid = (ref + cur) / 2
     part = lambda p: F.when(p > 0, p / 2 * F.ln(p / F.nullif(mid, F.lit(0.0)))).otherwise(0.0)
     floor = lambda p: F.greatest(p, F.lit(PSI_FLOOR))
     psi = (floor(cur) - floor(ref)) * F.ln(floor(cur) / floor(ref))
-    sums = _compared(shares, by, reference, current).groupBy("dimension").agg(F.greatest(F.lit(0.0), F.sum(part(ref) + part(cur))).alias("js"), F.sum(psi).alias("psi"))
+    sums = compared.groupBy("dimension").agg(F.greatest(F.lit(0.0), F.sum(part(ref) + part(cur))).alias("js"), F.sum(psi).alias("psi"))
     return sums.withColumn("alert", (F.col("js") > js_limit) | (F.col("psi") > psi_limit))
 
 

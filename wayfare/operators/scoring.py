@@ -79,12 +79,9 @@ def candidate_pool(facts: DataFrame, lists: Lists, variants: list[str]) -> DataF
     return rows.repartition("sample_id").groupBy("sample_id", "poi_id").agg(F.max("m").alias("transition"), F.max("r").alias("recent_revisit"))
 
 
-def signals(pool: DataFrame, facts: DataFrame, index: Index) -> DataFrame:
+def signals(pool: DataFrame, facts: DataFrame, places: DataFrame) -> DataFrame:
     """The five raw signals of each (request, place) of the pool that the index knows."""
-    as_map = lambda df, key: df.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias(f"{key}s"))
-    wide = index.poi_stats.join(as_map(index.time_counts, "bucket"), "poi_id", "left").join(as_map(index.category_counts, "category"), "poi_id", "left")
-    wide = wide.select("poi_id", "category", "model_poi_id", F.col("n").alias("g"), "buckets", "categorys")
-    joined = pool.join(facts.select("sample_id", "top_k", "bucket", "recent"), "sample_id").join(wide, "poi_id")
+    joined = pool.join(facts.select("sample_id", "top_k", "bucket", "recent"), "sample_id").join(places, "poi_id")
     count = lambda m, key: F.coalesce(F.try_element_at(m, key), F.lit(0).cast("long"))
     return joined.select(
         "sample_id", "top_k", "poi_id", "category", "model_poi_id",
@@ -132,8 +129,8 @@ def score_requests(requests: DataFrame, index: Index, variants: list[str], depth
     lists where they are given. Only requests come in here: labels can't change a score."""
     check_variants(variants)
     facts = request_facts(assert_target_blind(requests), index.dataset)
-    pool = candidate_pool(facts, lists or build_lists(index, depth), variants)
-    return scored(signals(pool, facts, index), variants)
+    lists = lists or build_lists(index, depth)
+    return scored(signals(candidate_pool(facts, lists, variants), facts, lists.places), variants)
 
 
 def recommendations(rows: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def term(signal: str, value: Column) -> Column:
 @dataclass(frozen=True)
 class Lists:
     """base(bucket, entries), singles(bucket, category, entries), first(bucket, category, entries),
-    several(bucket, category, bound, entries), targets(src, bound, entries); depth: of the ranking that they serve. first and
+    several(bucket, category, bound, entries), targets(src, bound, entries), places(poi_id, category, model_poi_id, g, buckets,
+    categorys: what the signals of a place are made of); depth: of the ranking that they serve. first and
     several are None where no place has several categories; a catalog of WHOLE places has whole(pois, floor), one row, and
     targets only."""
 
@@ -59,10 +60,11 @@ class Lists:
     first: DataFrame | None
     several: DataFrame | None
     targets: DataFrame
+    places: DataFrame
     whole: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: df for k in ("base", "singles", "first", "several", "targets", "whole") if (df := getattr(self, k)) is not None}
+        return {k: df for k in ("base", "singles", "first", "several", "targets", "places", "whole") if (df := getattr(self, k)) is not None}
 
     def kept(self) -> Lists:
         """The same lists, held by the executors."""
@@ -87,13 +89,20 @@ def in_blocks(rows: DataFrame, keys: list[str], bound: Column, name: str, entry:
     return blocks.select(*keys, "bound", "entries")
 
 
+def wide_rows(index: Index) -> DataFrame:
+    """A row for each place with its counts by time bucket and by category."""
+    as_map = lambda df, key: df.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias(f"{key}s"))
+    wide = index.poi_stats.join(as_map(index.time_counts, "bucket"), "poi_id", "left").join(as_map(index.category_counts, "category"), "poi_id", "left")
+    return wide.select("poi_id", "category", "model_poi_id", F.col("n").alias("g"), "buckets", "categorys")
+
+
 def build_lists(index: Index, depth: int) -> Lists:
     """The lists of an index, for rankings of depth places."""
     never = F.lit(float("inf"))
     if index.poi_stats.limit(WHOLE + 1).count() <= WHOLE:
         moves = index.transition_counts.groupBy("src").agg(never.alias("bound"), F.collect_list(F.struct(F.col("dst").alias("poi_id"), "n", never.alias("bound"))).alias("entries"))
         whole = index.poi_stats.agg(F.collect_list("poi_id").alias("pois"), (-F.first(never)).alias("floor"))
-        return Lists(depth, None, None, None, None, moves, whole)
+        return Lists(depth, None, None, None, None, moves, wide_rows(index), whole)
     counts = index.category_counts.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("counts"))
     place = index.poi_stats.select("poi_id", F.col("category").alias("voted"), F.col("n").alias("g")).join(counts, "poi_id")
     bucket = F.explode(F.array(*map(F.lit, [*TIME_BUCKETS, ANY_TIME]))).alias("bucket")
@@ -120,7 +129,7 @@ def build_lists(index: Index, depth: int) -> Lists:
     moves = index.transition_counts.join(index.poi_stats.select(F.col("poi_id").alias("dst"), F.col("n").alias("g")), "dst").join(busiest.withColumnRenamed("poi_id", "dst"), "dst", "left").fillna(0, ["t"])
     most = reduce(lambda a, b: a + b, (term(s, F.col(c)) for s, c in (("global_popularity", "g"), ("time_popularity", "t"), ("transition", "n"), ("history_category", "g"))))
     targets = in_blocks(moves, ["src"], most, "dst", F.struct(F.col("dst").alias("poi_id"), "n", (most + SLACK).alias("bound")))
-    return Lists(depth, of_bucket, singles, first, several, targets)
+    return Lists(depth, of_bucket, singles, first, several, targets, wide_rows(index))
 
 
 def _score(entry: Column, recent: Column) -> Column:
