@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.scalars import TIME_BUCKETS, time_bucket
+from wayfare.operators.skew import spread_sessions
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,11 @@ def guard_training_rows(train: DataFrame) -> str:
 
 def consecutive_pairs(events: DataFrame) -> DataFrame:
     """(src, dst): visits that follow each other in a session."""
-    order = Window.partitionBy("raw_user_id", "session_id").orderBy("timestamp_utc", "raw_poi_id", "category")
-    return events.select(F.col("raw_poi_id").alias("src"), F.lead("raw_poi_id").over(order).alias("dst")).filter(F.col("dst").isNotNull())
+    session, in_order = ["raw_user_id", "session_id"], [F.col("timestamp_utc"), F.col("raw_poi_id"), F.col("category")]
+    rows = spread_sessions(events.select(*session, "timestamp_utc", "raw_poi_id", "category"), session, in_order, 1)
+    order = Window.partitionBy(*session, "part").orderBy(*in_order, F.col("halo").desc())
+    pairs = rows.withColumn("src", F.lag("raw_poi_id").over(order)).withColumn("nth", F.row_number().over(order))
+    return pairs.filter(~F.col("halo") & (F.col("nth") > 1)).select("src", F.col("raw_poi_id").alias("dst")).filter(F.col("dst").isNotNull())
 
 
 def fit_index(train: DataFrame, guard: bool = True) -> Index:
