@@ -228,10 +228,12 @@ def test_encoder(spark, events):
 def test_requests_contract(spark):
     visit = "timestamp'2026-01-01 08:00:00'"
     h = F.expr(f"array(struct({visit} as timestamp, 'p' as poi_id, 'c' as category_name, 1L as model_poi_id, 1D as latitude, 1D as longitude))").cast(HISTORY)
-    base = spark.range(1).select(h.alias("history"), F.expr("timestamp'2026-01-01 09:00:00'").alias("target_time"), F.lit(10).alias("top_k"))
+    base = spark.range(1).select(h.alias("history"), F.expr("timestamp'2026-01-01 09:00:00'").alias("target_time"), F.lit(10).alias("top_k"), F.lit("nyc").alias("dataset"), F.lit("smoke").alias("profile"))
     broken = base.withColumn("target_time", F.expr("timestamp'2026-01-01 07:00:00'")).withColumn("top_k", F.lit(0))
     assert base.select(contracts.violations(contracts.request_rules())).first()[0] == []
     assert broken.select(contracts.violations(contracts.request_rules())).first()[0] == ["top_k", "target_time"]
+    other = base.withColumn("dataset", F.lit("oslo")).withColumn("profile", F.lit(None).cast("string"))
+    assert other.select(contracts.violations(contracts.request_rules())).first()[0] == ["dataset", "profile"]
 
 
 def window(spark, n=20, **changes):

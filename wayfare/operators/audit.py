@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.contracts import SPLITS
 from wayfare.functions.scalars import canonical_timestamp, event_identity, session_identity
+from wayfare.session import written_once
 
 #: A fingerprint's sum has so many limbs of 16 bits: 256 bits.
 LIMBS = 16
@@ -61,15 +62,27 @@ def temporal_order(boundaries: DataFrame) -> DataFrame:
     return boundaries.agg(F.bool_and("ordered").alias("temporal_splits_ordered"))
 
 
+def with_file_order(read: DataFrame) -> DataFrame:
+    """What was just read from files, with file_order: file, start of the block, and the place within it. Blocks are read in one
+    task each and in order, so no column of the data is needed. Use it before any other step."""
+    return read.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")).alias("file_order"))
+
+
 def input_ordered(events: DataFrame, order: str) -> DataFrame:
-    """split, input_time_ordered: whether rows come in time order along the column order. Parts of the order are checked side
-    by side and then their boundaries, so no split passes through one task."""
-    part = (F.col(order) / 100_000).cast("long") if dict(events.dtypes)[order] in ("bigint", "int") else F.lit(0)
-    w = Window.partitionBy("split", "part").orderBy(order)
-    rows = events.select("split", order, "timestamp_utc", part.alias("part")).withColumn("back", F.lag("timestamp_utc").over(w) > F.col("timestamp_utc"))
-    parts = rows.groupBy("split", "part").agg(F.bool_or(F.coalesce("back", F.lit(False))).alias("back"), F.min_by("timestamp_utc", order).alias("head"), F.max_by("timestamp_utc", order).alias("tail"))
-    turn = F.lag("tail").over(Window.partitionBy("split").orderBy("part")) > F.col("head")
-    return parts.withColumn("turn", turn).groupBy("split").agg((~F.bool_or(F.col("back") | F.coalesce("turn", F.lit(False)))).alias("input_time_ordered"))
+    """split, input_time_ordered: whether rows come in time order along the column order, which is file_order or any column that
+    can be sorted. Blocks of files, or ranges of the order, are checked side by side and then their boundaries, so no split
+    passes through one task."""
+    narrow = events.select("split", F.col(order).alias("at"), "timestamp_utc")
+    if dict(events.dtypes)[order].startswith("struct<file:"):
+        parts = narrow.withColumn("part", F.struct("at.file", "at.start"))
+    else:
+        count = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # ranges come from a sample: all that follows has to see the same ones
+        parts = written_once(narrow.repartitionByRange(count, "split", "at").withColumn("part", F.spark_partition_id()))
+    back = F.lag("timestamp_utc").over(Window.partitionBy("split", "part").orderBy("at")) > F.col("timestamp_utc")
+    ends = parts.withColumn("back", back).groupBy("split", "part").agg(F.bool_or(F.coalesce("back", F.lit(False))).alias("back"), F.min_by("timestamp_utc", "at").alias("head"), F.max_by("timestamp_utc", "at").alias("tail"))
+    turn = F.lag("tail").over(Window.partitionBy("split").orderBy("part")) > F.col("head")  # a row for each part
+    return ends.withColumn("turn", turn).groupBy("split").agg((~F.bool_or(F.col("back") | F.coalesce("turn", F.lit(False)))).alias("input_time_ordered"))
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:

@@ -5,8 +5,6 @@ EVENT = (
     "model_poi_id long, category string, latitude double, longitude double"
 )
 HISTORY = "array<struct<timestamp:timestamp,poi_id:string,category_name:string,model_poi_id:bigint,latitude:double,longitude:double>>"
-REQUEST = f"sample_id string, dataset string, history {HISTORY}, target_time timestamp, top_k int, profile string"
-LABEL = "sample_id string, split string, target_poi_id string, target_model_poi_id long, target_category string"
 VERSIONS = "struct<release:string,data:string,model:string>"
 MONITORING = (
     f"request_id string, versions {VERSIONS}, history_length_bucket string, unknown_count long, candidate_count long, "
@@ -17,4 +15,3 @@ MONITORING_FIELDS = [field.strip().split(" ")[0] for field in (
     "request_id", "versions", "history_length_bucket", "unknown_count", "candidate_count", "candidate_source_histogram",
     "category_histogram", "score_entropy", "stage_latency_ms", "total_latency_ms", "status", "error_code",
 )]
-RECOMMENDATION = "variant string, sample_id string, rank int, poi_id string, model_poi_id long, category string, score double, candidate_sources array<string>"

@@ -42,6 +42,7 @@ def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dic
     names = raw.columns
     raw = raw.select("*", F.col("_metadata.file_name").alias("_file"))
     raw = raw.toDF(*(f"c{i}" for i in range(len(names))), "source_file")
+    as_read = F.to_json(F.struct(*(F.col(f"c{i}").alias(f"{i}_{n}") for i, n in enumerate(names))))
     place = {name: f"c{i}" for i, name in enumerate(names)}
     text = lambda field: F.coalesce(*([blank_to_null(F.col(place[a])) for a in aliases[field] if a in place] or [F.lit(None).cast("string")]))
     declared = F.when(text("split") == "val", "validation").otherwise(text("split"))
@@ -51,7 +52,7 @@ def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dic
         parse_timestamp(given["timestamp_utc"]).alias("timestamp_utc"), text("raw_poi_id").alias("raw_poi_id"),
         given["model_poi_id"].try_cast("long").alias("model_poi_id"), text("category").alias("category"),
         given["latitude"].try_cast("double").alias("latitude"), given["longitude"].try_cast("double").alias("longitude"),
-        declared.alias("declared"), *(given[c].isNotNull().alias(f"given_{c}") for c in ("model_poi_id", "latitude", "longitude")), "source_file",
+        declared.alias("declared"), *(given[c].isNotNull().alias(f"given_{c}") for c in ("model_poi_id", "latitude", "longitude")), "source_file", as_read.alias("source_row"),
     )
     rules = {
         **event_rules(),
@@ -60,9 +61,9 @@ def _read(spark: SparkSession, path: str, split: str, dataset: str, aliases: dic
     }
     if not coordinates:
         rules["no_coordinates"] = F.col("given_latitude") | F.col("given_longitude")
-    valid, invalid = enforce(rows, rules, mode)
+    valid, invalid = enforce(rows, rules, mode, ("source_file", "source_row"))
     keep = ["dataset", "split", "raw_user_id", "session_id", "timestamp_utc", "raw_poi_id", "model_poi_id", "category", "latitude", "longitude"]
-    return valid.select(*keep), invalid
+    return valid.select(*keep), invalid.drop("source_row")
 
 
 def read_synthetic_split(spark: SparkSession, path: str, split: str, mode: str = "strict", multi_line: bool = False) -> DataFrame:

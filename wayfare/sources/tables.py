@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +24,18 @@ def _facts(df: DataFrame) -> tuple[int, str]:
     return df.count(), row["fingerprint"] if row else ""
 
 
-def save_bundle(index: Index, path: str, variant: str) -> None:
-    """The index's tables, and a manifest with their sizes and fingerprints; an existing bundle is never overwritten."""
+def save_bundle(index: Index, path: str, variant: str, mode: str = "errorifexists") -> None:
+    """The index's tables, and a manifest with their sizes and fingerprints, which comes last; an existing bundle isn't
+    overwritten, unless by a job that replaces the parts of an attempt that failed (mode "overwrite")."""
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
     tables = index.tables()
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        df.write.mode(mode).parquet(f"{path}/{name}")
     spark = index.poi_stats.sparkSession
     rows = [(name, *_facts(spark.read.parquet(f"{path}/{name}"))) for name in tables]
     manifest = spark.createDataFrame(rows, "name string, n long, fingerprint string")
-    manifest.withColumn("variant", F.lit(variant)).withColumn("dataset", F.lit(index.dataset)).withColumn("config", F.lit(json.dumps(CONFIG, sort_keys=True))).coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    manifest.withColumn("variant", F.lit(variant)).withColumn("dataset", F.lit(index.dataset)).withColumn("config", F.lit(json.dumps(CONFIG, sort_keys=True))).coalesce(1).write.mode(mode).parquet(f"{path}/manifest")
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[Index, str]:
@@ -51,13 +53,13 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Index, str]:
 ENCODER_VERSION, REPORT_VERSION, LINEAGE = "1", "1", "production_current"
 
 
-def save_encoder(encoder: DataFrame, path: str, dataset: str, offset: int = 0) -> None:
+def save_encoder(encoder: DataFrame, path: str, dataset: str, offset: int = 0, mode: str = "errorifexists") -> None:
     """The ids, and what they were made of."""
     if not dataset or offset < 0:
         raise ValueError("an encoder has a dataset and an offset of at least 0")
-    encoder.repartitionByRange("mapping", "value").sortWithinPartitions("mapping", "value").write.mode("errorifexists").parquet(f"{path}/ids")
+    encoder.repartitionByRange("mapping", "value").sortWithinPartitions("mapping", "value").write.mode(mode).parquet(f"{path}/ids")
     facts = [(ENCODER_VERSION, dataset, "train", offset)]
-    encoder.sparkSession.createDataFrame(facts, "version string, dataset string, fitted_split string, id_offset long").coalesce(1).write.mode("errorifexists").parquet(f"{path}/facts")
+    encoder.sparkSession.createDataFrame(facts, "version string, dataset string, fitted_split string, id_offset long").coalesce(1).write.mode(mode).parquet(f"{path}/facts")
 
 
 def load_encoder(spark: SparkSession, path: str, dataset: str) -> DataFrame:
@@ -101,7 +103,9 @@ def report_core(summary: DataFrame, slices: DataFrame, failures: DataFrame, exam
 
 
 def append_runs(summary: DataFrame, path: str, run_id: str, params: dict[str, str], core: dict | None = None) -> None:
-    """Ledger rows (run_id, variant, params, metric, value, and the fingerprints of configuration, samples, data and core)."""
+    """Ledger rows (run_id, variant, params, metric, value, and the fingerprints of configuration, samples, data and core). The
+    ledger is partitioned by run and variant, and writing one again replaces it: each (run, variant, metric) is there once,
+    however often a job is run."""
     taken = sorted(set(params) & set(RESERVED))
     if taken:
         raise ValueError(f"reserved keys: {', '.join(taken)}")
@@ -109,4 +113,18 @@ def append_runs(summary: DataFrame, path: str, run_id: str, params: dict[str, st
     entries = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("m")
     rows = summary.select(F.lit(run_id).alias("run_id"), "variant", F.lit(json.dumps(params, sort_keys=True)).alias("params"), entries)
     known = {"lineage": LINEAGE, "config_fingerprint": config_fingerprint(), **{k: (core or {}).get(k) for k in ("sample_set", "data_fingerprint", "core_sha256")}}
-    rows.select("run_id", "variant", "params", "m.metric", "m.value", *(F.lit(v).cast("string").alias(k) for k, v in known.items())).write.mode("append").parquet(path)
+    rows.select("run_id", "variant", "params", "m.metric", "m.value", *(F.lit(v).cast("string").alias(k) for k, v in known.items())).write.mode("overwrite").partitionBy("run_id", "variant").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def is_published(spark: SparkSession, output: str) -> bool:
+    try:
+        return not spark.read.parquet(f"{output}/published").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
+def publish(spark: SparkSession, output: str, facts: dict[str, str]) -> None:
+    """The mark that all tables of an output are complete, written after them."""
+    spark.createDataFrame(list(facts.items()), "fact string, value string").coalesce(1).write.mode("overwrite").parquet(f"{output}/published")

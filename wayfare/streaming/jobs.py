@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayfare.functions.contracts import enforce, request_rules
+from wayfare.functions.contracts import check_recommendations, enforce, request_rules
 from wayfare.operators.index import Index
 from wayfare.operators.monitoring import distributions, drift_of_shares
 from wayfare.operators.scoring import TRACE, recommendations, score_requests
@@ -24,7 +24,9 @@ def score_stream(requests: DataFrame, index: Index, variants: list[str], output:
 
     def batch(df: DataFrame, batch_id: int) -> None:
         valid, invalid = enforce(df, request_rules(), "quarantine")
-        recommendations(score_requests(valid, index, variants, lists=lists)).write.mode("overwrite").parquet(f"{output}/recommendations/batch={batch_id}")
+        path = f"{output}/recommendations/batch={batch_id}"
+        recommendations(score_requests(valid, index, variants, lists=lists)).write.mode("overwrite").parquet(path)
+        check_recommendations(df.sparkSession.read.parquet(path))
         invalid.select("sample_id", "violations").write.mode("overwrite").parquet(f"{output}/rejected/batch={batch_id}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
