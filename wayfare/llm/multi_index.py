@@ -89,15 +89,16 @@ def fit(sample: np.ndarray, recall: float, k: int, centroids: int, seed: int = 3
     cells = cells_of(sample, books)
     counts = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
     queries = sample[:: max(1, len(sample) // 256)]
-    near = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, : min(k + 1, len(sample))]
+    near = np.array([np.argsort(-(sample @ q), kind="stable")[: min(k + 1, len(sample))] for q in queries])
     best = (1.0, False)
     for plain in (False, True):
         first, second = half_distances(queries, books, plain)
-        order = np.argsort((first[:, :, None] + second[:, None, :]).reshape(len(queries), -1), axis=1, kind="stable")
-        passed = np.cumsum(counts[order], axis=1)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-        needed = np.take_along_axis(passed, np.take_along_axis(rank, cells[near], 1), 1) / len(sample)
+        needed = np.empty(near.shape)
+        for i in range(len(queries)):  # one at a time: a row has all pairs of centroids
+            order = np.argsort((first[i][:, None] + second[i][None, :]).ravel(), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            needed[i] = np.cumsum(counts[order])[rank[cells[near[i]]]] / len(sample)
         best = min(best, (float(np.quantile(needed, recall)), plain))
     return books, best[1], best[0]
 
