@@ -69,3 +69,23 @@ def test_sum_of_digests_is_modulo_two_to_the_256(spark):
     digests = [int(r["h"], 16) for r in df.select(audit.row_digest(df, ["t"]).alias("h")).collect()]
     state = audit.fingerprint_state(df, ["t"]).first()
     assert sum(v << 16 * i for i, v in enumerate(state["limbs"])) == sum(digests)
+
+
+def test_days_merge_into_the_audit_of_all(spark, tmp_path):
+    path = str(tmp_path / "days")
+    day = F.expr("timestamp'2026-03-01 00:00:00'") + F.make_interval(days=(F.col("id") % 5).cast("int"), mins=(F.col("id") % 700).cast("int"))
+    none = F.lit(None).cast("double")
+    events = spark.range(4000).select(
+        F.lit("synthetic").alias("dataset"), F.when(F.col("id") % 5 < 3, "train").otherwise("test").alias("split"), (F.col("id") % 900).cast("string").alias("raw_user_id"), F.lit("s").alias("session_id"),
+        day.alias("timestamp_utc"), (F.col("id") % 77).cast("string").alias("raw_poi_id"), F.lit(None).cast("long").alias("model_poi_id"), F.lit("c").alias("category"), none.alias("latitude"), none.alias("longitude"),
+    ).cache()
+    for d in (0, 1, 2, 3, 4, 2):  # a day comes twice
+        audit.add_days(events.filter(F.dayofmonth("timestamp_utc") == d + 1), path)
+    got = {r["split"]: r for r in audit.merged_days(spark.read.parquet(path)).collect()}
+    prints = {r["split"]: r["fingerprint"] for r in audit.fingerprint(events, audit.EVENT_COLUMNS, ["split"]).collect()}
+    for r in audit.split_summary(events).collect():
+        m = got[r["split"]]
+        assert (m["events"], m["first_ts"], m["last_ts"], m["fingerprint"]) == (r["events"], r["first_ts"], r["last_ts"], prints[r["split"]])
+        assert abs(m["approximate_sessions"] - r["sessions"]) <= 0.04 * r["sessions"]
+    # an audit of one day more reads that day alone: what is merged are rows of the table of states
+    assert spark.read.parquet(path).count() == 5

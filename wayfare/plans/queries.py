@@ -128,6 +128,16 @@ def b9(spark, sf_dir):
     return audit.fingerprint(e_view(spark, sf_dir), audit.EVENT_COLUMNS, ["split"])
 
 
+@query(
+    "d8_d10_merged_days",
+    f"WITH {E_SQL}, prints AS ({_digest_sql(_EVENT_TEXT, 'e', 'split')}) SELECT split, count(*) AS events, {STAMP.format('min(ts)')} AS first_ts, {STAMP.format('max(ts)')} AS last_ts, any_value(prints.fingerprint) AS fingerprint FROM e JOIN prints USING (split) GROUP BY 1",
+)
+def merged_days(spark, sf_dir):
+    """Counts, times and fingerprints of the splits from the states of their days."""
+    found = audit.merged_days(audit.daily_states(e_view(spark, sf_dir)))
+    return found.select("split", "events", *(scalars.canonical_timestamp(F.col(c)).alias(c) for c in ("first_ts", "last_ts")), "fingerprint")
+
+
 @query("b10_taxonomy_hash", f"WITH {E_SQL} SELECT sha256('[\"' || string_agg(c, '\",\"' ORDER BY c) || '\"]') AS taxonomy_sha256 FROM (SELECT DISTINCT c FROM e)")
 def b10(spark, sf_dir):
     return audit.taxonomy_hash(e_view(spark, sf_dir))
