@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.llm import hilbert
+from wayfare.operators import skew
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot long, curve int"
 
@@ -85,6 +86,20 @@ def test_shards(spark, tmp_path):
     assert all(r["curve"] == plain_index([low(r[d], c) for d, c in zip(hilbert.DIMENSIONS, cuts, strict=True)], hilbert.BITS) for r in got)
 
 
+def test_ranges_hold_like_bytes(spark, monkeypatch):
+    """Long texts beside each other, a text and a row that many share: no range has much more than its part."""
+    monkeypatch.setattr(skew, "LEAST", 100)
+    rows = [(i, f"t{i} " + "x" * (3000 if i % 10 == 0 else 30), "en", "hot", 3000 if i % 10 == 0 else 30) for i in range(2000)]
+    rows += [(5000 + i, "one text of many rows", "en", "hot", 7) for i in range(2000)] + [(1, "a row repeated", "fr", "hot", 9)] * 2000
+    table, before, n = hilbert.in_order(docs_of(spark, rows))
+    held = sorted(r["b"] for r in table.groupBy("range").agg(F.sum(F.octet_length("text") + hilbert.ROW_BYTES).alias("b")).collect())
+    assert n == 6000 and len(held) >= 24 and held[-1] <= 2.5 * sum(held) / len(held)
+    placed = table.join(before, "range").select("curve", "text", (F.col("before") + F.col("numbered") - F.col("first")).alias("at")).orderBy("at").collect()
+    assert [r["at"] for r in placed] == list(range(6000)) and [r["curve"] for r in placed] == sorted(r["curve"] for r in placed)
+    copies = [r["at"] for r in placed if r["text"] == "one text of many rows"]
+    assert copies == list(range(copies[0], copies[0] + 2000))
+
+
 def test_reader_skips_shards_by_any_column(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(i, f"t{i}", f"l{rng.integers(0, 30):02d}", f"s{rng.integers(0, 30):02d}", int(rng.integers(0, 10_000))) for i in range(4000)]

@@ -3,9 +3,9 @@
 Each column becomes one of LEVELS steps, cut where the column's distribution reaches equal shares of the rows (a column of four
 values of equal weight takes the steps 0, 16, 32 and 48), so every column divides the cube from its coarsest bits on. The steps'
 place on the Hilbert curve is the sort key. Rows are sorted by ranges side by side, numbered through by the sizes of the ranges,
-and cut into runs of equal row counts, at most one apart (the law `rows`). Ranges are cut by the whole key, which ends in a hash
-of the text, the id and a number of the row, so a third of all rows in one cell, or one row repeated, still spreads over all
-ranges. Each run becomes the files of one shard; manifest() has every column's smallest and largest value in each shard, and
+and cut into runs of equal row counts, at most one apart (the law `rows`). Ranges hold about equal bytes: they are cut from the
+bytes of the curve's cells, and within a cell by a hash of the text, so neither a full cell nor long texts beside each other
+fill one task. A text that many rows share, found by a sketch, is a cell of its own and cut by a hash of its rows. Each run becomes the files of one shard; manifest() has every column's smallest and largest value in each shard, and
 shards_for() the shards that a condition on the columns leaves.
 
 Only DataFrame functions: the curve is an automaton whose table curve_table() derives, walked by aggregate() over the bits.
@@ -24,13 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.operators.skew import heavy_keys
+
 from .common import DOCUMENT_COLUMNS, discard, shared_dir, staged, text_of, wide_partitions
 
 BITS = 6
 LEVELS = 1 << BITS
 DIMENSIONS = ("source", "lang", "n_chars")
-#: Bytes of text in one range of the sort.
-RANGE_BYTES = 128 << 20
+#: Bytes of one task of the sort, and ranges that share it.
+TASK_BYTES, RANGES = 128 << 20, 4
+#: Bytes that a row counts beside its text.
+ROW_BYTES = 64
 #: A number of monotonically_increasing_id() is the partition, then the row in so many bits.
 ROW_BITS = 33
 
@@ -74,23 +78,20 @@ def curve_index(steps: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(corners, start, walk, lambda at: at["index"])
 
 
-def numbered(df: DataFrame, keys: list, parts: int, name: str, drop: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """df, written in the order of keys, with `range` and `nth`, its range and its place there; and how many rows lie before
-    each range: a row for each of the parts."""
+def numbered(df: DataFrame, keys: list, parts: int, name: str) -> DataFrame:
+    """df, written in the order of keys, with `range` and `nth`, its range and its place there."""
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("numbered", F.monotonically_increasing_id())
-    table = staged(ranged.drop(*drop), name)
+    table = staged(ranged, name)
     at = F.col("numbered")
     out = table.withColumn("range", F.shiftright(at, ROW_BITS)).withColumn("nth", at.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).drop("numbered")
     out.staged_at = table.staged_at
-    sizes = out.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).cast("long").alias("before"))
-    return out, before
+    return out
 
 
 def steps_of(df: DataFrame, column: str, levels: int = LEVELS) -> list[tuple[int, object]]:
     """(step, its least value): a value's step is its share of the rows before it, in levels. At most levels entries come here."""
     counts = staged(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "values")
-    table, _ = numbered(counts, ["value"], wide_partitions(df.sparkSession), "values-in-order")
+    table = numbered(counts, ["value"], wide_partitions(df.sparkSession), "values-in-order")
     running = F.sum("n").over(Window.partitionBy("range").orderBy("nth")) - F.col("n")
     sums = table.groupBy("range").agg(F.sum("n").alias("rows"))
     before = sums.select("range", (F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).alias("before"))  # a row for each range
@@ -118,23 +119,41 @@ def along_curve(docs: DataFrame, dimensions: tuple = DIMENSIONS, levels: int = L
 
 
 def in_order(docs: DataFrame, dimensions: tuple = DIMENSIONS) -> tuple[DataFrame, DataFrame, int]:
-    """The documents written in the order of the curve, the rows before each range, and how many there are."""
-    d = docs.select(*DOCUMENT_COLUMNS)
-    whole = d.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_of())).alias("bytes")).first()
-    parts = max(wide_partitions(docs.sparkSession), -(-(whole["bytes"] or 0) // RANGE_BYTES))
-    keyed = along_curve(d, dimensions).withColumn("text_hash", F.xxhash64(text_of())).withColumn("row_number", F.monotonically_increasing_id())
-    table, before = numbered(keyed, ["curve", "text_hash", "doc_id", "row_number"], parts, "curve", ("text_hash", "row_number"))
+    """The documents written in the order of the curve with `range` and `numbered`, a row for each range with `first` (its least
+    number) and `before` (rows of the ranges before it), and how many documents there are."""
+    d = docs.select(*DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64(text_of())).withColumn("bytes", (F.octet_length(text_of()) + ROW_BYTES).cast("long"))
+    whole = d.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    shared = heavy_keys(d, F.col("text_hash"))
+    parts = max(wide_partitions(docs.sparkSession), -(-(whole["bytes"] or 0) // TASK_BYTES))
+    step = max(1.0, (whole["bytes"] or 0) / (parts * RANGES))
+    keyed = along_curve(d, dimensions).withColumn("row_number", F.monotonically_increasing_id())
+    own = F.when(F.col("text_hash").isin(shared), F.col("text_hash")) if shared else F.lit(None).cast("long")
+    keyed = keyed.withColumn("own", own)
+    share = F.when(F.col("own").isNull(), F.col("text_hash")).otherwise(F.xxhash64("doc_id", "row_number")).bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(2.0**63)
+    keyed = keyed.withColumn("share", share)
+    # at most one row for each cell of the curve, and for each shared text in it
+    cells = keyed.groupBy("curve", "own").agg(F.sum("bytes").alias("held"))
+    start = (F.sum("held").over(Window.orderBy("curve", F.col("own").asc_nulls_last())) - F.col("held")).alias("start")
+    cells = staged(cells.select(F.col("curve").alias("c_curve"), F.col("own").alias("c_own"), start, "held"), "cells")
+    met = keyed.join(F.broadcast(cells), (F.col("curve") == F.col("c_curve")) & F.col("own").eqNullSafe(F.col("c_own")))
+    ranged = met.withColumn("range", F.floor((F.col("start") + F.col("share") * F.col("held")) / step).cast("long"))
+    keys = ["range", "curve", F.col("own").asc_nulls_last(), "share", "text_hash", "doc_id", "row_number"]
+    sorted_rows = ranged.repartition(parts, "range").sortWithinPartitions(*keys).withColumn("numbered", F.monotonically_increasing_id())
+    table = staged(sorted_rows.select(*DOCUMENT_COLUMNS, "curve", "range", "numbered"), "curve")
+    sizes = table.groupBy("range").agg(F.count("*").alias("n"), F.min("numbered").alias("first"))
+    before = sizes.select("range", "first", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).cast("long").alias("before"))  # parts * RANGES rows
+    discard(cells)
     return table, before, whole["n"]
 
 
 def write_shards(docs: DataFrame, shards: int, path: str, dimensions: tuple = DIMENSIONS) -> DataFrame:
     """Write documents into shard=0 .. shard=N-1 below path, each a run of the curve, and read them back with shard and slot."""
     table, before, n = in_order(docs, dimensions)
-    position = F.col("before") + F.col("nth")
+    position = F.col("before") + F.col("numbered") - F.col("first")
     shard = F.expr(f"cast((position * {shards}L) div {max(n, 1)}L as int)")
-    first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")  # of the run
+    begin = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")  # of the run
     placed = table.join(F.broadcast(before), "range").withColumn("position", position).withColumn("shard", shard)
-    rows = placed.select(*DOCUMENT_COLUMNS, "curve", "shard", (F.col("position") - first).alias("slot"))
+    rows = placed.select(*DOCUMENT_COLUMNS, "curve", "shard", (F.col("position") - begin).alias("slot"))
     rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     discard(table)
     return read_shards(docs.sparkSession, path, docs)
