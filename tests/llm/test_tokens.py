@@ -1,6 +1,9 @@
 """Encoding, the token store and packing against the library's own encoding of whole texts."""
 
+import time
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -100,9 +103,77 @@ def test_packing_holds_each_id_once(spark, coder, lane):
 def test_windows_keep_the_shares():
     counts = [100] * 60
     sources = ["a"] * 40 + ["b"] * 20
-    pieces = packing.serve(sources, counts, {"a": 2 / 3, "b": 1 / 3}, {}, 128, 16)
+    pieces = packing.serve(sources, counts, {"a": 2, "b": 1}, {}, 128, 16)
     begin = np.cumsum(pieces[:, 2]) - pieces[:, 2]
     for w in range(0, 5800, 640):
         inside = (begin >= w) & (begin < w + 640)
         share = sum(n for i, _, n in pieces[inside] if sources[i] == "a") / pieces[inside, 2].sum()
         assert abs(share - 2 / 3) < 0.1
+
+
+def plain_rounds(sources, counts, shares, owed, window, least):
+    """Deficit round-robin round by round, in fractions."""
+    left = {s: [[i, n] for i, n in enumerate(counts) if sources[i] == s] for s in sources}
+    earned = {s: Fraction(owed.get(s, 0)) for s in left}
+    out, space = [], window
+    while any(left.values()):
+        ring = sorted((s for s in left if left[s]), key=lambda s: (s is None, s or ""))
+        whole = sum(shares[s] for s in ring)
+        for s in ring:
+            earned[s] += Fraction(shares[s] * window, whole)
+            while left[s] and earned[s] >= least:
+                i, rest = left[s][0]
+                n = min(rest, space, int(earned[s]))
+                out.append((i, counts[i] - rest, n))
+                earned[s] -= n
+                space = space - n or window
+                left[s][0][1] -= n
+                if not left[s][0][1]:
+                    left[s].pop(0)
+    return out
+
+
+def test_serving_equals_plain_rounds():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        names = ["a", "b", "c", None][: rng.integers(1, 5)]
+        shares = {s: int(rng.integers(1, 5)) for s in names}
+        # a window that all sums of shares divide, so that no rounding decides who is due
+        window = int(np.lcm.reduce([sum(shares[s] for k, s in enumerate(names) if m >> k & 1) for m in range(1, 1 << len(names))]))
+        window *= max(1, 200 // window)
+        n = rng.integers(1, 12)
+        sources, counts = [names[k] for k in rng.integers(0, len(names), n)], rng.integers(1, 3 * window + 1, n).tolist()
+        owed = {s: float(rng.integers(-2 * window, window)) for s in names}
+        least = int(rng.choice([1, 16, window, 2 * window + 1]))
+        found = packing.serve(sources, counts, shares, owed, window, least)
+        assert [tuple(p) for p in found.tolist()] == plain_rounds(sources, counts, shares, owed, window, least)
+
+
+def test_serving_follows_the_pieces():
+    for n in (20_000, 100_000):  # sources, a document each
+        sources = [f"s{i:06}" for i in range(n)]
+        begin = time.process_time()
+        pieces = packing.serve(sources, [50] * n, dict.fromkeys(sources, 7), {}, 2048, 128)
+        assert sorted(pieces[:, 0].tolist()).count(0) >= 1 and pieces[:, 2].sum() == 50 * n
+        assert len(pieces) < 1.1 * n and time.process_time() - begin < 10
+    begin = time.process_time()  # debts of a million lanes
+    pieces = packing.serve(["a", "b"] * 50, [1000] * 100, {"a": 1, "b": 1}, {"a": 4e11, "b": -4e11}, 2048, 128)
+    assert pieces[:, 2].sum() == 100_000 and time.process_time() - begin < 1
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 3, "b": 1}, {"b": 1}])
+def test_given_weights_fill_each_lanes_windows(spark, coder, weights):
+    rows = [(i, "word " * 20, "en", "b" if i % 10 == 0 else "a", 0) for i in range(2000)]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(1), weights, window=64, lane_tokens=4000, least=8).collect()
+    assert sum(r["length"] for r in out) == sum(len(plain(coder, r[1])) + 1 for r in rows)
+    windows = {}
+    for r in out:
+        windows.setdefault(r["sequence_id"], Counter())["b" if r["doc_id"] % 10 == 0 else "a"] += r["length"]
+    full = [windows[k] for k in sorted(windows) if sum(windows[k].values()) == 64]
+    # where both sources still have tokens, their proportions are the weights'; a debt of one window is paid first
+    mixed = [w for w in full if w["a"] and w["b"]]
+    if "a" in weights:
+        share = sum(w["b"] for w in mixed) / sum(map(Counter.total, mixed))
+        assert len(mixed) > 20 and abs(share - 1 / (1 + weights["a"])) < 0.15
+    else:
+        assert len(mixed) < len(full) / 5

@@ -4,16 +4,20 @@ Documents are dealt by hash into lanes of about LANE_TOKENS tokens; lanes are wr
 queues in rounds: a source earns its share of a window per round and, once it has earned enough, spends it on the next
 tokens of its queue; documents are cut where a window or a source's earnings end. What a source has earned and not spent is
 its deficit; it goes on to the next window, and from lane to lane: a lane starts with what the lanes before it owe, which
-follows from their token counts alone, so lanes run side by side. The last window of a lane is cut into windows whose lengths
-are powers of two, which need no padding.
+follows from their token counts alone, so lanes run side by side. At most a window is carried either way: with weights that
+aren't the corpus's shares a source runs dry in each lane, and what it couldn't spend would grow without end. The last window
+of a lane is cut into windows whose lengths are powers of two, which need no padding.
 
-Defined cases: a null text is an empty one and is packed as its end id; a null source is a source of its own; repeated rows
-are packed once each; an empty table gives an empty result. Columns other than those of documents are ignored.
+Defined cases: a null text is an empty one and is packed as its end id; a null source is a source of its own; a source without
+a weight (none given, or not above 0) has a millionth of all weights, so it comes at last; repeated rows are packed once each;
+an empty table gives an empty result. Columns other than those of documents are ignored.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from heapq import heapify, heappop, heappush
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ LANE_TOKENS = 1 << 20
 LEAST_SERVED = 128
 #: Rows (lane, source) of deficits that are broadcast at most; beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shares are whole multiples of 2^-SHARE_BITS where a lane is served, so that sums of them are exact.
+SHARE_BITS = 40
 LANE = "part int, lane int, doc_ids array<long>, sources array<string>, counts array<long>, ids binary, wide boolean"
 
 
@@ -64,19 +70,38 @@ def lanes(docs: DataFrame, vocabulary: str, end_id: int, lane_tokens: int, kept:
 
 
 def serve(sources: list, counts: list[int], shares: dict, owed: dict, window: int, least: int) -> np.ndarray:
-    """Pieces (document, start, length) of a lane in the order they are served; no piece crosses a window."""
+    """Pieces (document, start, length) of a lane in the order they are served; no piece crosses a window. shares are whole
+    numbers above 0, of any sum.
+
+    In a round, a window is shared among the sources that still have tokens, and those that have earned at least so many are
+    served, in order. All earn at the same pace for each unit of their shares, so the pace's sum up to now gives what each has
+    earned, and a calendar holds at which sum each is due: rounds in which none is due are jumped, and a round meets only
+    those that it serves. The work follows the pieces, not rounds times sources."""
+    least = max(least, 1)
     queues: dict = {}
     for i, s in enumerate(sources):
         queues.setdefault(s, deque()).append(i)
     ring = sorted(queues, key=lambda s: (s is None, s or ""))
-    deficit = {s: owed.get(s, 0.0) for s in ring}
+    # what each source has besides its pace: what it was owed, less what it has spent
+    balance = [owed.get(s, 0.0) for s in ring]
+    share = [shares[s] for s in ring]
+    pace, whole = 0.0, sum(share)
+    calendar = [((least - b) / w, k) for k, (b, w) in enumerate(zip(balance, share, strict=True))]
+    heapify(calendar)
     done = [0] * len(counts)
     pieces: list[tuple[int, int, int]] = []
     space = window
-    while ring:
-        whole = sum(shares[s] for s in ring)
-        for s in ring:
-            queue, earned = queues[s], deficit[s] + shares[s] / whole * window
+    while calendar:
+        step = window / whole
+        pace += step * max(1, ceil((calendar[0][0] - pace) / step))
+        due = []
+        while calendar and calendar[0][0] <= pace:
+            due.append(heappop(calendar)[1])
+        if not due:  # the sum fell short of the first by a rounding
+            due.append(heappop(calendar)[1])
+        for k in sorted(due):
+            queue, earned = queues[ring[k]], max(balance[k] + share[k] * pace, float(least))
+            balance[k] -= earned
             while queue and earned >= least:
                 i = queue[0]
                 n = min(counts[i] - done[i], space, int(earned))
@@ -86,8 +111,11 @@ def serve(sources: list, counts: list[int], shares: dict, owed: dict, window: in
                 space = space - n or window
                 if done[i] == counts[i]:
                     queue.popleft()
-            deficit[s] = earned
-        ring = [s for s in ring if queues[s]]
+            balance[k] += earned
+            if queue:
+                heappush(calendar, ((least - balance[k]) / share[k], k))
+            else:
+                whole -= share[k]
     return np.array(pieces, np.int64).reshape(-1, 3)
 
 
@@ -105,7 +133,7 @@ def windows_of(total: int, window: int) -> np.ndarray:
 def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, vocabulary: str | None = None, end_id: int = 1, lane_tokens: int = LANE_TOKENS, least: int = LEAST_SERVED, max_sources: int = 100_000, kept: int = KEPT) -> DataFrame:
     """Per piece: doc_id, start, length, ids (binary, uint32 little-endian), doc_tokens, sequence_id, offset. weights: the
     share of each source in a window (by default its share of all tokens, so that all queues end together). window is a power
-    of two. Over max_sources sources are an error, which bounds what the driver and a lane hold of them.
+    of two. At least so many tokens (`least`) are earned before a source is served. Over max_sources sources are an error, which bounds what the driver and a lane hold of them.
     kept: pieces of text whose ids a worker keeps."""
     held = lanes(docs, vocabulary or default_vocabulary(), end_id, lane_tokens, kept)
     spent = staged(
@@ -132,8 +160,9 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, voc
     )
     shares = docs.sparkSession.createDataFrame(list(share.items()), "of string, share double") if share else docs.sparkSession.createDataFrame([], "of string, share double")
     served = F.sum("n").over(Window.partitionBy("source").orderBy("part", "lane")) - F.col("n")
+    carried = F.col("share") * F.col("tokens") - F.col("served")
     owed = spent.withColumn("served", served).join(before, ["part", "lane"]).join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("of")))
-    owed = owed.groupBy("part", "lane", "first_sequence").agg(F.collect_list(F.struct("source", "share", (F.col("share") * F.col("tokens") - F.col("served")).alias("owed"))).alias("owed"))
+    owed = owed.groupBy("part", "lane", "first_sequence").agg(F.collect_list(F.struct("source", "share", F.greatest(F.least(carried, F.lit(float(window))), F.lit(-float(window))).alias("owed"))).alias("owed"))
     owed = staged(owed, "pack-owed")
     small = owed.select(F.sum(F.size("owed"))).first()[0] or 0
     joined = held.join(F.broadcast(owed) if small <= BROADCAST_ROWS else owed, ["part", "lane"])
@@ -146,7 +175,7 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, voc
                 ids = np.frombuffer(row["ids"], np.uint32 if row["wide"] else np.uint16).astype("<u4")
                 counts = np.array(row["counts"], np.int64)
                 known = {o["source"]: o for o in row["owed"]}
-                pieces = serve(row["sources"], row["counts"], {s: o["share"] for s, o in known.items()}, {s: o["owed"] for s, o in known.items()}, window, least)
+                pieces = serve(row["sources"], row["counts"], {s: round(o["share"] * (1 << SHARE_BITS)) for s, o in known.items()}, {s: o["owed"] for s, o in known.items()}, window, least)
                 begin = np.cumsum(pieces[:, 2]) - pieces[:, 2]
                 first = windows_of(len(ids), window)
                 cuts = np.union1d(begin, first)
