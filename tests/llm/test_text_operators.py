@@ -200,9 +200,10 @@ def plain_kneser_ney(train, order=4):
 
 def test_perplexities_against_the_definition(spark):
     rng = np.random.default_rng(4)
-    texts = ["".join(rng.choice(list("abcdé ñ日!7")) for _ in range(rng.integers(1, 60))) for _ in range(40)] + ["", None, "\U0001F600 a\ud800b".replace("\ud800", "x"), "9 8\t7", "a" * 500]
+    texts = ["".join(rng.choice(list("abcdé ñ日!7")) for _ in range(rng.integers(1, 60))) for _ in range(40)] + ["", None, "\U0001F600 a\uf602b \U0001F601", "9 8\t7", "a" * 500]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA)
+    assert len({tuple(kneser_ney.symbols_of(t)) for t in ("\U0001F600", "\uf602", "\U0001F601", "\U0010F600")}) == 4
     p = plain_kneser_ney([t or "" for t in texts[:20]])
     for hot in (3, 1 << 16):  # nearly all n-grams by the join, and none
         found = {r["doc_id"]: r for r in kneser_ney.perplexities(docs, docs.filter("doc_id < 20"), hot).collect()}

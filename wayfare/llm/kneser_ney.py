@@ -1,7 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-The model is of characters: an n-gram is ORDER code points of BITS bits each, one long. Digits are one symbol and so is white
-space; code points beyond the bits are folded into them. Every count table follows the corpus: trusted text gives the counts,
+The model is of characters: an n-gram is ORDER UTF-16 code units of BITS bits each, one long. A code point above 0xFFFF is two
+units, so no two of them are one symbol; digits are one symbol and so is white space (and U+0000 is U+0001). Every count table follows the corpus: trusted text gives the counts,
 lower orders count what stands before, discounts follow from the counts of counts of each order. Totals of contexts, lower
 orders and the n-grams that the corpus holds are joined by sharded equi-joins into one logarithm for each n-gram of the corpus.
 
@@ -33,7 +33,7 @@ ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 #: N-grams that all tasks hold (12 bytes each), and different n-grams that a counting task holds before it sends them.
 HOT, HELD = 1 << 16, 1_000_000
-#: Characters whose n-grams are sorted at once.
+#: Symbols whose n-grams are sorted at once.
 SLICE = 1 << 19
 #: Labels that are broadcast at most; beyond that documents and labels are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -45,15 +45,15 @@ PRIOR_SYMBOLS = 160
 
 
 def symbols_of(text: str) -> np.ndarray:
-    """Code points with digits, white space and what exceeds BITS folded; zero stands before a text only."""
-    found = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """UTF-16 code units with digits and white space folded; zero stands before a text only."""
+    found = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
     found[(found >= 48) & (found <= 57)] = 48
     found[(found >= 9) & (found <= 13)] = 32
-    return np.where(found < SYMBOLS, np.maximum(found, 1), 1 + found % (SYMBOLS - 1))
+    return np.maximum(found, 1)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all texts, one for each character, and how many each text has."""
+    """The n-grams of all texts, one for each symbol, and how many each text has."""
     parts = [symbols_of(t) for t in texts]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     pad = np.zeros(ORDER - 1, np.uint64)
