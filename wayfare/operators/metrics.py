@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from wayfare.functions.scalars import day_type, evaluation_history_bucket, rarity
 from wayfare.operators.index import Index
 from wayfare.operators.percentiles import with_percentiles
-from wayfare.operators.scoring import SCORE_DIGITS, TRACE, candidate_sources
+from wayfare.operators.scoring import SCORE_DIGITS, TRACE, candidate_sources, first_categories
+from wayfare.operators.serving import is_whole
+from wayfare.session import evaluated
 
 #: Categories of a sample that are judged.
 MACRO = 3
@@ -59,7 +61,10 @@ def observations(rows: DataFrame, examples: DataFrame, index: Index) -> DataFram
         F.transform(F.slice(F.array_sort(F.collect_list(F.struct("first", "category"))), 1, MACRO), lambda x: x["category"]).alias("macro"),
         F.min("target").alias("target"),
     )
-    joined = lists.join(labels.join(counts, "target_poi_id", "left"), "sample_id")
+    return _judged(lists.join(labels.join(counts, "target_poi_id", "left"), "sample_id"))
+
+
+def _judged(joined: DataFrame) -> DataFrame:
     wanted = F.coalesce("target_poi_id", F.lit("")) != ""
     return joined.select(
         "variant", "sample_id", "target_poi_id", "target_category", "predictions", "macro",
@@ -71,6 +76,21 @@ def observations(rows: DataFrame, examples: DataFrame, index: Index) -> DataFram
     )
 
 
+#: Columns of the examples that observed() reads beside the lists.
+LABELS = ("target_poi_id", "target_category", "target_time", "history_size")
+
+
+def observed(lists: DataFrame, index: Index) -> DataFrame:
+    """observations() of scored_lists() that have LABELS beside them: nothing is dealt, but where the catalog is too large to be
+    sent to all tasks the training counts of the targets are."""
+    counts = index.poi_stats.select(F.col("poi_id").alias("target_poi_id"), F.col("n").alias("train_count"))
+    known = lists.join(F.broadcast(counts) if is_whole(index) else counts, "target_poi_id", "left")
+    ids = evaluated(known, pois=F.transform("best", lambda e: e["poi_id"]), macro=first_categories(F.col("best"), MACRO))
+    at = evaluated(ids, at=F.nullif(F.array_position(F.slice("pois", 1, TRACE), F.col("target_poi_id")), F.lit(0).cast("long")).cast("int"))
+    found = F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("rank"), F.get("best", F.col("at") - 1)["gives"].alias("gives")))
+    return _judged(evaluated(at, predictions=F.slice("pois", 1, F.col("top_k")), target=found))
+
+
 def with_validity(obs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds n_predicted, n_invalid (not in the catalog) and n_duplicate of the predictions."""
     items = obs.select("variant", "sample_id", F.explode("predictions").alias("poi_id"))
@@ -99,6 +119,33 @@ def summarise(obs: DataFrame, catalog: DataFrame, slices: bool = False) -> DataF
     return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("catalog_size").cast("double")), F.lit(0.0))).drop("covered", "catalog_size")
 
 
+def summarise_once(obs: DataFrame, catalog: DataFrame, slices: bool = False) -> DataFrame:
+    """summarise() against a catalog of at most WHOLE places, which all tasks have as one array: observations are read once and not
+    kept. Rows are grouped by predicted place too; those of no place carry the sums of the samples."""
+    dims = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in SLICES)) if slices else F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")))
+    met = obs.join(F.broadcast(catalog.agg(F.collect_set("poi_id").alias("known"), F.count("*").alias("catalog_size"))), F.lit(True))
+    met = evaluated(met, covers=F.filter("predictions", lambda p: F.coalesce(F.array_contains("known", p), F.lit(False))))
+    n = F.size("predictions")
+    met = evaluated(met, n_predicted=n, n_invalid=n - F.size("covers"), n_duplicate=n - F.size(F.array_distinct("predictions")))
+    valid = (F.col("n_predicted") > 0) & (F.col("n_invalid") == 0) & (F.col("n_duplicate") == 0)
+    means = {**_metrics(), "validity_rate": valid.cast("double"), "empty_rate": (F.col("n_predicted") == 0).cast("double")}
+    counts = ["n_predicted", "n_invalid", "n_duplicate"]
+    facts = F.struct(*(c.alias(name) for name, c in means.items()), *counts)
+    keys = ["variant", "dimension", "value"]
+    met = evaluated(met, x=facts, covers=F.array_distinct("covers"), dims=dims).select("variant", "catalog_size", F.explode("dims").alias("slice"), "covers", "x")
+    places = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("covers"))).alias("poi_id")
+    rows = met.select("variant", "catalog_size", "slice.dimension", "slice.value", "x", places).select("variant", "catalog_size", "dimension", "value", "poi_id", "x.*")
+    names = [*means, *counts]
+    by_place = rows.groupBy(*keys, "catalog_size", "poi_id").agg(F.count("*").alias("m"), *(F.sum(c).alias(c) for c in names))
+    of_samples = lambda c: F.max(F.when(F.col("poi_id").isNull(), F.col(c)))
+    sums = by_place.groupBy(*keys, "catalog_size").agg(of_samples("m").alias("samples"), F.count("poi_id").alias("covered"), *(of_samples(c).alias(c) for c in names))
+    share = lambda part, whole: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double")), F.lit(0.0))
+    return sums.select(
+        *keys, "samples", *(F.coalesce(F.col(c) / F.col("samples"), F.lit(0.0)).alias(c) for c in means), share("n_invalid", "n_predicted").alias("invalid_rate"),
+        share("n_duplicate", "n_predicted").alias("duplicate_rate"), share("covered", "catalog_size").alias("coverage"),
+    )
+
+
 def empty_summary() -> dict[str, float]:
     return {**{name: 0.0 for name in _metrics()}, "validity_rate": 0.0, "empty_rate": 0.0, "invalid_rate": 0.0, "duplicate_rate": 0.0, "coverage": 0.0}
 

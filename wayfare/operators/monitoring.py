@@ -16,9 +16,10 @@ from wayfare.functions.scalars import (
 )
 from wayfare.operators.index import Index
 from wayfare.operators.percentiles import with_percentiles
-from wayfare.operators.scoring import TRACE, ranked
+from wayfare.operators.scoring import TRACE, VARIANTS, ranked
+from wayfare.operators.serving import WEIGHTS, is_whole
 from wayfare.schemas import MONITORING_FIELDS
-from wayfare.session import written_once
+from wayfare.session import evaluated, written_once
 
 # Alert thresholds and the floor of a share in PSI.
 JS_LIMIT, PSI_LIMIT, PSI_FLOOR = 0.10, 0.20, 1e-6
@@ -48,8 +49,12 @@ def events_of(requests: DataFrame, rows: DataFrame, index: Index, versions: tupl
         softmax_entropy(F.transform("top", lambda x: x["score"])).alias("score_entropy"),
     )
     size = index.poi_stats.agg(F.count("*").alias("candidate_count"))
-    facts = requests.select("sample_id", *extra, F.size("history").alias("h"), F.sha2(F.to_json(F.struct("dataset", "history", "target_time", "top_k")), 256).alias("digest"))
+    facts = requests.select("sample_id", *extra, F.size("history").alias("h"), request_digest().alias("digest"))
     joined = counted.join(facts, "sample_id").join(unknown_history(requests, index.poi_stats), "sample_id").join(F.broadcast(size), F.lit(True))
+    return _formed(joined, versions, latency_ms, extra)
+
+
+def _formed(joined: DataFrame, versions: tuple[str, str, str], latency_ms: Column | None, extra: tuple[str, ...]) -> DataFrame:
     latency = latency_ms if latency_ms is not None else F.lit(0.0)
     version = F.struct(*(F.lit(v).alias(n) for n, v in zip(("release", "data", "model"), versions)))
     return joined.select(
@@ -59,6 +64,34 @@ def events_of(requests: DataFrame, rows: DataFrame, index: Index, versions: tupl
     ).select(*MONITORING_FIELDS, *extra)
 
 
+def request_digest() -> Column:
+    return F.sha2(F.to_json(F.struct("dataset", "history", "target_time", "top_k")), 256)
+
+
+def events_of_lists(lists: DataFrame, index: Index, versions: tuple[str, str, str], latency_ms: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """events_of() of scored_lists() that have history_size, digest (request_digest of the request), visited (the places of its
+    history) and extra beside them. Against a catalog of at most serving.WHOLE places nothing is dealt."""
+    size = index.poi_stats.agg(F.count("*").alias("candidate_count"))
+    if is_whole(index):
+        known = index.poi_stats.agg(F.count("*").alias("candidate_count"), F.collect_set("poi_id").alias("known"))
+        joined = lists.join(F.broadcast(known), F.lit(True))
+        joined = joined.withColumn("unknown_count", F.size(F.filter("visited", lambda p: ~F.coalesce(F.array_contains("known", p), F.lit(False)))).cast("long")).drop("known")
+    else:
+        requests = lists.select("sample_id", F.transform("visited", lambda p: F.struct(p.alias("poi_id"))).alias("history"))
+        joined = lists.join(unknown_history(requests, index.poi_stats), "sample_id").join(F.broadcast(size), F.lit(True))
+    top = evaluated(joined, trace=F.transform(F.slice("best", 1, TRACE), lambda e: e["gives"]), top=F.slice("best", 1, F.col("top_k")))
+    # a signal is a source only in the variants that have it; popularity always is one
+    order, in_variant = list(WEIGHTS), lambda s: F.col("variant").isin(*(v for v, names in VARIANTS.items() if s in names))
+    count = lambda s: F.when(in_variant(s), F.size(F.filter("trace", lambda g: g.bitwiseAND(F.lit(1 << order.index(s))) > 0))).otherwise(0).cast("long")
+    sources = F.filter(F.array(*(F.struct(F.lit(s).alias("key"), count(s).alias("n")) for s in sorted(WEIGHTS))), lambda x: x["n"] > 0)
+    kinds = evaluated(top, kinds=F.transform("top", lambda e: e["category"]))
+    # each category is hashed once
+    of_kind = F.transform(F.array_distinct("kinds"), lambda k: F.struct(category_key(k).alias("key"), F.size(F.filter("kinds", lambda x: x.eqNullSafe(k))).cast("long").alias("n")))
+    counted = kinds.withColumn("candidate_source_histogram", F.map_from_entries(sources)).withColumn("category_histogram", F.map_from_entries(F.array_sort(of_kind)))
+    scored = evaluated(counted, scores=F.transform("top", lambda e: e["score"])).withColumn("score_entropy", softmax_entropy(F.col("scores"))).withColumnRenamed("history_size", "h")
+    return _formed(scored, versions, latency_ms, extra)
+
+
 def distributions(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """dimension, key, weight, share: the six distributions of a window (or of each window of by). Keys of weight 0 stay."""
     one = lambda d, key: F.struct(F.lit(d).alias("dimension"), key.alias("key"), F.lit(1).cast("long").alias("weight"))
@@ -127,7 +160,8 @@ def numeric_summaries(events: DataFrame) -> DataFrame:
     """name, count, mean, min, max, p50, p95 (interpolated) of the numbers of a window."""
     plain = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in ("unknown_count", "candidate_count", "score_entropy", "total_latency_ms")))
     stages = F.transform(F.map_entries("stage_latency_ms"), lambda e: F.struct(F.concat(F.lit("stage_latency_ms."), e["key"]).alias("name"), e["value"].alias("x")))
-    rows = events.select(F.explode(F.concat(plain, stages)).alias("r")).select("r.*").filter(F.col("x").isNotNull())
+    # a row for each number, read by the percentiles and the sums: events are read once
+    rows = written_once(events.select(F.explode(F.concat(plain, stages)).alias("r")).select("r.*").filter(F.col("x").isNotNull()))
     found = with_percentiles(rows, ["name"], "x", {"p50": 0.5, "p95": 0.95}, F.count("*").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
     return found.select("name", "count", "mean", "min", "max", "p50", "p95")
 
