@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators.serving import Lists
+from wayfare.operators.serving import TABLES, Lists
 
 #: The keys by which requests meet each list; base and whole are a few rows and are broadcast.
-KEYS = {"singles": ["bucket", "category"], "first": ["bucket", "category"], "several": ["bucket", "category"], "targets": ["src"], "places": ["poi_id"]}
+KEYS = {"singles": ["bucket", "category"], "first": ["bucket", "category"], "several": ["bucket", "category"], "targets": ["src"], "places": ["poi_id"], "pairs": ["bucket", "category", "other"]}
 
 
 def save_lists(lists: Lists, name: str, buckets: int | None = None) -> None:
@@ -31,4 +31,4 @@ def load_lists(spark: SparkSession, name: str) -> Lists:
         raise ValueError(f"there are no complete lists {name}")
     row = spark.table(f"{name}_lists").first()
     there = row["tables"].split(",")
-    return Lists(row["depth"], *(spark.table(f"{name}_{t}") if t in there else None for t in ("base", "singles", "first", "several", "targets", "places", "whole")))
+    return Lists(row["depth"], *(spark.table(f"{name}_{t}") if t in there else None for t in TABLES))
