@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_library import dense
 from tests.test_serving import catalog, lists_for_small_catalogs, requests  # noqa: F401
 from wayfare.operators import scoring, serving
+from wayfare.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize(("most", "hub", "block"), [(1, 0, 256), (2, 0, 256), (4, 250, 4)])
@@ -31,3 +32,9 @@ def test_places_of_two_categories_need_no_blocks(spark):
         assert lists.several is None and lists.first is None
         most[n] = lists.pairs.agg(F.max(F.size("entries"))).first()[0]
     assert most[3000] <= 10 + serving.HEADS and most[300] <= 10 + serving.HEADS
+
+
+@pytest.mark.parametrize("name", ["g4_rank_b3_places", "g4_rank_b3_several"])
+def test_pool_is_not_dealt(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_id" not in plan and "hashpartitioning(variant" not in plan

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.contracts import assert_target_blind
 from wayfare.functions.scalars import time_bucket
 from wayfare.operators.index import Index
-from wayfare.operators.serving import SCORE_DIGITS, WEIGHTS, Lists, best_places, build_lists
+from wayfare.operators.serving import SCORE_DIGITS, WEIGHTS, Lists, best_places, build_lists, seen
 from wayfare.operators.serving import term as _term
 from wayfare.session import evaluated, written_once
 
@@ -156,24 +156,73 @@ def _of_whole(facts: DataFrame, lists: Lists) -> DataFrame:
     return evaluated(met, pool=F.transform("places", signals_of)).drop("places", "moves", "latest", "back", "recent", "bucket")
 
 
+def _scores_of(p: Column | None, variants: list[str]) -> list[Column]:
+    """The variants' scores of the signals in a struct, or in the columns of a row."""
+    return [reduce(lambda a, b: a + b, (_term(s, F.col(s) if p is None else p[s]) for s in VARIANTS[v])) for v in variants]
+
+
+def _of_lists(facts: DataFrame, lists: Lists, variants: list[str]) -> DataFrame:
+    """facts with pool, the signals of the places that can be among the best of a variant. What a request gives (visited places,
+    targets of the latest one) meets the places in narrow rows with a short key, and only what reaches the floor of its profile
+    comes back; the profile's best places come with their signals."""
+    kinds = {("time_popularity" in VARIANTS[v], "history_category" in VARIANTS[v]) for v in variants}
+    zero = F.lit(0).cast("long")
+    key = ["key1", "key2"]
+    # of all that scores depend on, so that requests of one sample_id aren't mixed
+    hashed = lambda n: F.xxhash64(F.lit(n), "sample_id", "bucket", "recent", "back")
+    known = facts.withColumn("recent", F.sort_array(F.array_compact("recent"))).withColumns({k: hashed(n) for n, k in enumerate(key)}).persist()
+    best = written_once(best_places(known.select("bucket", "recent").distinct(), lists, kinds))
+    met = known.select(*key, "bucket", "recent", "latest", "back").join(best.select("bucket", "recent", "floor"), ["bucket", "recent"])
+    revisit = lambda p: F.when(F.array_contains("back", p), F.lit(1.0) / F.array_position("back", p)).otherwise(F.lit(0.0))
+    row = lambda p, n, r: F.struct(p.alias("poi_id"), n.cast("long").alias("transition"), r.alias("recent_revisit"))
+    wide = [*key, "bucket", "recent", "floor"]
+    parts = [met.select(*wide, F.explode(F.transform(F.array_distinct(F.array_compact("back")), lambda p: row(p, zero, revisit(p)))).alias("x"))]
+    if any("transition" in VARIANTS[v] for v in variants):
+        t = lists.targets
+        reached = met.join(t, (met["latest"] == t["src"]) & (t["bound"] + WEIGHTS["recent_revisit"] >= met["floor"]))
+        most = lambda e: e["plain"] + _term("history_category", seen(e["counts"], F.col("recent"))) + _term("recent_revisit", revisit(e["poi_id"]))
+        near = F.transform(F.filter("entries", lambda e: most(e) >= F.col("floor")), lambda e: row(e["poi_id"], e["n"], revisit(e["poi_id"])))
+        parts.append(reached.select(*wide, F.explode(near).alias("x")))
+    rows = reduce(DataFrame.unionAll, parts).select(*wide, "x.*").join(lists.places, "poi_id")
+    signal = F.struct(
+        "poi_id", "category", F.col("model_poi_id").cast("long").alias("model_poi_id"), F.col("g").cast("long").alias("global_popularity"),
+        F.coalesce(F.try_element_at("buckets", F.col("bucket")), zero).alias("time_popularity"), "transition", "recent_revisit", seen(F.col("categorys"), F.col("recent")).alias("history_category"),
+    )
+    rows = evaluated(rows.select(*key, "floor", signal.alias("x")), x=F.col("x")).select(*key, "floor", "x.*")
+    enough = reduce(lambda a, b: a | b, (score >= F.col("floor") for score in _scores_of(None, variants)))
+    names = ("poi_id", "category", "model_poi_id", *WEIGHTS)
+    given = rows.filter(enough).groupBy(*key).agg(F.collect_list(F.struct(*names)).alias("given"))
+    met = known.drop("latest", "back").join(given, key, "left").drop(*key).join(best.select("bucket", "recent", "tops"), ["bucket", "recent"])
+    # a visited place that is a target too comes twice, and once with its transitions
+    ids = lambda c: F.transform(c, lambda e: e["poi_id"])
+    nothing = F.array().cast(dict(given.dtypes)["given"])
+    met = evaluated(met, moved=F.coalesce(F.filter("given", lambda e: e["transition"] > 0), nothing), stayed=F.coalesce(F.filter("given", lambda e: e["transition"] == 0), nothing))
+    met = evaluated(met, stayed=F.filter("stayed", lambda e: ~F.array_contains(ids("moved"), e["poi_id"])))
+    met = evaluated(met, given=F.concat("moved", "stayed"), ids=F.concat(ids("moved"), ids("stayed")))
+    plain = lambda e: F.struct(
+        e["poi_id"].alias("poi_id"), e["voted"].alias("category"), e["model"].alias("model_poi_id"), e["g"].alias("global_popularity"), e["t"].alias("time_popularity"),
+        zero.alias("transition"), F.lit(0.0).alias("recent_revisit"), e["k"].alias("history_category"),
+    )
+    rest = F.transform(F.filter("tops", lambda e: ~F.array_contains("ids", e["poi_id"])), plain)
+    return evaluated(met, pool=F.concat("given", rest)).drop("given", "moved", "stayed", "ids", "tops", "recent", "bucket")
+
+
 def scored_lists(requests: DataFrame, index: Index, variants: list[str], depth: int = TRACE, lists: Lists | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
-    """variant, sample_id, top_k, beside, best: the rows of score_requests as one ordered array for each variant and request, of
-    (nth, poi_id, model_poi_id, category, score, gives). Where the catalog is its own pool, the array is made where the request is:
-    no (request, place) row is dealt or sorted with others. Columns of beside are passed on; scores don't see them."""
+    """variant, sample_id, top_k, beside, best: the rows of score_requests, down to the depth of the lists, as one ordered array for
+    each variant and request, of (nth, poi_id, model_poi_id, category, score, gives). Where the catalog is its own pool, the array is
+    made where the request is: no (request, place) row is dealt or sorted with others. Else the rows of what the request gives are
+    dealt, and no others. Columns of beside are passed on; scores don't see them."""
     check_variants(variants)
     assert_target_blind(requests.drop(*beside))
     lists = lists or build_lists(index, depth)
     facts = request_facts(requests, index.dataset, beside)
     nth = lambda score: (-F.round(score, SCORE_DIGITS)).alias("nth")
-    if lists.whole is None:
-        rows = scored(signals(candidate_pool(facts.drop(*beside), lists, variants), facts, lists.places), variants)
-        of = rows.groupBy("variant", "sample_id", "top_k").agg(F.array_sort(F.collect_list(F.struct(nth(F.col("score")), "poi_id", "model_poi_id", "category", "score", "gives"))).alias("best"))
-        return of.join(facts.select("sample_id", *beside), "sample_id").select("variant", "sample_id", "top_k", *beside, "best") if beside else of
-    met = _of_whole(evaluated(facts, **{c: F.col(c) for c in ("bucket", "latest", "back", "recent")}), lists)
+    facts = evaluated(facts, **{c: F.col(c) for c in ("bucket", "latest", "back", "recent")})
+    met = _of_lists(facts, lists, variants) if lists.whole is None else _of_whole(facts, lists)
 
     def of(variant: str) -> Column:
         def entry(p: Column) -> Column:
-            score = reduce(lambda a, b: a + b, (_term(s, p[s]) for s in VARIANTS[variant]))
+            (score,) = _scores_of(p, [variant])
             gives = reduce(lambda a, b: a + b, (F.when(F.lit(s == "global_popularity") | (p[s] > 0), 1 << i).otherwise(0) for i, s in enumerate(WEIGHTS)))
             return F.struct(p["poi_id"].alias("poi_id"), p["model_poi_id"].alias("model_poi_id"), p["category"].alias("category"), score.alias("score"), gives.alias("gives"))
 

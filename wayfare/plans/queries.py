@@ -367,15 +367,6 @@ def _score_sql(variant: str) -> str:
 rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(score, 12) DESC, p) AS rank FROM sc)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view, depth: int = scoring.TRACE):
-    e = view(spark, sf_dir)
-    idx = index.fit_index(_train(e)).kept()
-    # dealt by sample once, as everything after is
-    rows = examples.build_examples(_rest(e), PROTOCOL).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_id").persist()
-    lists = serving.build_lists(idx, depth).kept()
-    return idx, rows, scoring.score_requests(examples.requests_of(rows), idx, variants, lists=lists)
-
-
 def _lists(spark: SparkSession, sf_dir: str, variants: list[str], view: Callable = e_view, depth: int = scoring.TRACE, **beside: Column):
     """(index, examples, ordered places of each request); beside: columns of the examples that are passed on."""
     e = view(spark, sf_dir)
@@ -401,8 +392,12 @@ def _shown(top: DataFrame) -> DataFrame:
     return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
 
 
+def _top10_of(view: Callable, spark: SparkSession, sf_dir: str, variant: str = "b3") -> DataFrame:
+    return _shown(scoring.recommended(_lists(spark, sf_dir, [variant], view, 10)[2]))
+
+
 def _top10(variant: str):
-    return lambda spark, sf_dir: _shown(scoring.recommended(_lists(spark, sf_dir, [variant], depth=10)[2]))
+    return lambda spark, sf_dir: _top10_of(e_view, spark, sf_dir, variant)
 
 
 for _n, _v in enumerate(scoring.VARIANTS, 1):
@@ -412,11 +407,6 @@ for _n, _v in enumerate(scoring.VARIANTS, 1):
 _TOP_SQL = " SELECT sid AS sample_id, rank, p AS poi_id, c AS category, round(score, 6) AS score, sources AS candidate_sources FROM rk WHERE rank <= 10"
 
 
-def _top10_of(view: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = scoring.recommendations(_scored(spark, sf_dir, ["b3"], view, 10)[2])
-    return top.select("sample_id", F.col("rank").cast("long").alias("rank"), "poi_id", "category", F.round("score", 6).alias("score"), F.array_join("candidate_sources", ",").alias("candidate_sources"))
-
-
 @query("g4_rank_b3_places", _score_sql("b3").replace(E_SQL, L_SQL) + _TOP_SQL)
 def g4_places(spark, sf_dir):
     """On the view of many places of one category each, where the pool is a small part of the catalog."""
