@@ -57,6 +57,12 @@ def _rest(events: DataFrame) -> DataFrame:
     return events.filter(F.col("split") != "train")
 
 
+def _of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What encoders need of the order lines, held by the executors: they read it once for each mapping, and encode it then, so
+    lines, orders and parts would be dealt for each reading."""
+    return l_view(spark, sf_dir).select("split", "raw_user_id", "raw_poi_id", "category").persist()
+
+
 # B: expressions
 
 
@@ -324,14 +330,14 @@ def d24(spark, sf_dir):
     SELECT split, pe.id AS poi_code, ue.id AS user_code, ce.id AS category_code, count(*) AS n FROM e LEFT JOIN pe USING (p) LEFT JOIN ue USING (u) LEFT JOIN ce USING (c) GROUP BY 1, 2, 3, 4""",
 )
 def c1(spark, sf_dir):
-    e = l_view(spark, sf_dir)
+    e = _of_codes(spark, sf_dir)
     coded = encoder.encode(e, encoder.fit_encoder(_train(e), index.taxonomy(e), 3))
     return coded.groupBy("split", "poi_code", "user_code", "category_code").agg(F.count("*").alias("n"))
 
 
 @query("d26_id_check", f"WITH {L_SQL} SELECT * FROM (SELECT 'poi' AS mapping, count(DISTINCT p) AS n, true AS contiguous FROM e WHERE split = 'train' UNION ALL SELECT 'user', count(DISTINCT u), true FROM e WHERE split = 'train' UNION ALL SELECT 'category', count(DISTINCT c), true FROM e)")
 def d26(spark, sf_dir):
-    e = l_view(spark, sf_dir)
+    e = _of_codes(spark, sf_dir)
     return encoder.check_ids(encoder.fit_encoder(_train(e), index.taxonomy(e), 3), 3)
 
 
