@@ -35,3 +35,9 @@ def test_equals_rows(spark):
 def test_no_row_of_a_request_and_a_place_is_dealt(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sample_id" not in plan
+
+
+@pytest.mark.parametrize("name", ["g2_rank_b1", "g3_rank_b2", "g5_rank_b3_no_time", "g6_rank_b3_no_transition", "g7_rank_b3_no_history", "d13_validity", "d16_distributions", "d17_numeric_summaries"])
+def test_nor_in_the_queries_that_share_the_step(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_id" not in plan
