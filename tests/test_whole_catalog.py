@@ -41,3 +41,15 @@ def test_no_row_of_a_request_and_a_place_is_dealt(spark, name):
 def test_nor_in_the_queries_that_share_the_step(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sample_id" not in plan
+
+
+def test_a_request_meets_only_what_its_variant_counts(spark):
+    plan = QUERIES["g1_rank_b0"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "AS moves#" not in plan and "array_position(back" not in plan
+
+
+def test_many_categories_equal_few(spark, monkeypatch):
+    idx, asked = catalog(spark, 30), requests(spark, 12, 25)
+    few = rows_of(scoring.scored_lists(asked, idx, ["b3", "b3_no_time"]))
+    monkeypatch.setattr(scoring, "CATEGORIES", 0)
+    assert rows_of(scoring.scored_lists(asked, idx, ["b3", "b3_no_time"])) == few

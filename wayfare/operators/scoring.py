@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions.contracts import assert_target_blind
-from wayfare.functions.scalars import time_bucket
+from wayfare.functions.scalars import TIME_BUCKETS, time_bucket
 from wayfare.operators.index import Index
 from wayfare.operators.serving import SCORE_DIGITS, WEIGHTS, Lists, best_places, build_lists, seen
 from wayfare.operators.serving import term as _term
@@ -33,6 +33,8 @@ VARIANTS = {
 }
 TRACE = 100
 RECENT = 10
+#: Up to so many categories a small catalog has an array of its counts for each; with more, each place keeps its own. Both are exact.
+CATEGORIES = 128
 
 
 def check_variants(variants: list[str]) -> list[str]:
@@ -133,31 +135,57 @@ def score_requests(requests: DataFrame, index: Index, variants: list[str], depth
     return scored(signals(candidate_pool(facts, lists, variants), facts, lists.places), variants)
 
 
-def _of_whole(facts: DataFrame, lists: Lists) -> DataFrame:
-    """facts with pool, the signals of every place of a catalog of at most WHOLE places. All that they are joined with is one row
-    of places and one row of counts for each of them, so both are broadcast and no request is moved."""
+def _of_whole(facts: DataFrame, lists: Lists, variants: list[str]) -> DataFrame:
+    """facts with pool, every place of a catalog of at most WHOLE places by poi_id, and beside it an array of its numbers for each
+    signal that the variants have. All that facts are joined with is one row of the catalog, one of counts for each bucket and one
+    for each latest place, so all are broadcast and no request is moved. Whole arrays are passed on, no struct is made of a place."""
+    needed = {s for v in variants for s in VARIANTS[v]}
     by_id = lambda a, b: F.when(a["poi_id"] < b["poi_id"], -1).when(a["poi_id"] > b["poi_id"], 1).otherwise(0)
     places = lists.places.agg(F.array_sort(F.collect_list(F.struct("poi_id", "category", "model_poi_id", "g", "buckets", "categorys")), by_id).alias("places"))
     zero = F.lit(0).cast("long")
     count = lambda m, key: F.coalesce(F.try_element_at(m, key), zero)
-    moves = evaluated(lists.targets.groupBy("src").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("entries", lambda e: F.struct(e["poi_id"], e["n"]))))).alias("to")), to=F.col("to"))
-    moves = moves.join(F.broadcast(places), F.lit(True)).select(F.col("src").alias("latest"), F.transform("places", lambda p: count(F.col("to"), p["poi_id"])).alias("moves"))
-    met = facts.join(F.broadcast(places), F.lit(True)).join(F.broadcast(moves), "latest", "left")
-
-    def signals_of(p: Column, i: Column) -> Column:
-        first = F.coalesce(F.array_position("back", p["poi_id"]), zero)
-        return F.struct(
-            p["poi_id"].alias("poi_id"), p["category"].alias("category"), p["model_poi_id"].alias("model_poi_id"), p["g"].alias("global_popularity"),
-            count(p["buckets"], F.col("bucket")).alias("time_popularity"), F.coalesce(F.get("moves", i), zero).alias("transition"),
-            F.when(first > 0, F.lit(1.0) / first).otherwise(F.lit(0.0)).alias("recent_revisit"),
-            F.aggregate("recent", zero, lambda a, c: a + count(p["categorys"], c)).alias("history_category"),
-        )
-
-    return evaluated(met, pool=F.transform("places", signals_of)).drop("places", "moves", "latest", "back", "recent", "bucket")
-
-
-def _scores_of(p: Column | None, variants: list[str]) -> list[Column]:
-    """The variants' scores of the signals in a struct, or in the columns of a row."""
+    numbers = lambda f: F.transform("places", f)
+    catalog = places.select(numbers(lambda p: F.struct(*(p[c].alias(c) for c in ("poi_id", "category", "model_poi_id")))).alias("pool"), numbers(lambda p: p["g"]).alias("global_popularity"), numbers(lambda p: p["categorys"]).alias("categorys"))
+    inverted = "history_category" in needed and _few_categories(lists)
+    if inverted:
+        names = F.array_distinct(F.flatten(F.transform("categorys", lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>")))))
+        of_category = F.transform(names, lambda c: F.struct(c.alias("c"), F.transform("categorys", lambda m: count(m, c)).alias("n")))
+        catalog = catalog.withColumn("of_category", F.map_from_entries(of_category))
+    met = facts.join(F.broadcast(catalog.drop(*(() if "history_category" in needed and not inverted else ("categorys",)))), F.lit(True))
+    found = {"global_popularity": F.col("global_popularity")}
+    at = lambda numbers: F.transform("pool", lambda p, i: F.coalesce(F.get(numbers, i), zero))
+    if "time_popularity" in needed:
+        times = places.select("places", F.explode(F.array(*map(F.lit, TIME_BUCKETS))).alias("bucket")).select("bucket", numbers(lambda p: count(p["buckets"], F.col("bucket"))).alias("times"))
+        met = met.join(F.broadcast(times), "bucket", "left")
+        found["time_popularity"] = F.coalesce("times", at(F.col("times")))
+    if "transition" in needed:
+        moves = evaluated(lists.targets.groupBy("src").agg(F.map_from_entries(F.flatten(F.collect_list(F.transform("entries", lambda e: F.struct(e["poi_id"], e["n"]))))).alias("to")), to=F.col("to"))
+        moves = moves.join(F.broadcast(places), F.lit(True)).select(F.col("src").alias("latest"), numbers(lambda p: count(F.col("to"), p["poi_id"])).alias("moves"))
+        met = met.join(F.broadcast(moves), "latest", "left")
+        found["transition"] = F.coalesce("moves", at(F.col("moves")))
+    if "recent_revisit" in needed:
+        first = lambda p: F.coalesce(F.array_position("back", p["poi_id"]), zero)
+        ranks = evaluated(met, first=F.transform("pool", first))
+        met, found["recent_revisit"] = ranks, F.transform("first", lambda n: F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0)))
+    if "history_category" in needed:
+        if inverted:
+            # the counts of the categories that are recent and known, added place by place
+            met = evaluated(met, seen=F.array_compact(F.transform("recent", lambda c: F.try_element_at("of_category", c))))
+            added = F.aggregate("seen", F.transform("pool", lambda p: zero), lambda a, n: F.zip_with(a, n, lambda x, y: x + y))
+            found["history_category"] = F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise(added)
+        else:
+            found["history_category"] = F.transform("categorys", lambda m: F.aggregate("recent", zero, lambda a, c: a + count(m, c)))
+    return evaluated(met, **found).select(*(c for c in facts.columns if c not in ("latest", "back", "recent", "bucket")), "pool", *found)
+
+
+def _few_categories(lists: Lists) -> bool:
+    """Whether counts of every place for every category are few enough to go with the catalog's row."""
+    sizes = lists.places.select(F.explode(F.map_keys("categorys")).alias("c")).agg(F.count_distinct("c").alias("n")).first()
+    return sizes["n"] <= CATEGORIES
+
+
+def _scores_of(p: Column | dict[str, Column] | None, variants: list[str]) -> list[Column]:
+    """The variants' scores of the signals in a struct or dictionary, or in the columns of a row."""
     return [reduce(lambda a, b: a + b, (_term(s, F.col(s) if p is None else p[s]) for s in VARIANTS[v])) for v in variants]
 
 
@@ -218,16 +246,23 @@ def scored_lists(requests: DataFrame, index: Index, variants: list[str], depth:
     facts = request_facts(requests, index.dataset, beside)
     nth = lambda score: (-F.round(score, SCORE_DIGITS)).alias("nth")
     facts = evaluated(facts, **{c: F.col(c) for c in ("bucket", "latest", "back", "recent")})
-    met = _of_lists(facts, lists, variants) if lists.whole is None else _of_whole(facts, lists)
+    if whole := lists.whole is not None:
+        met = _of_whole(facts, lists, variants)
+    else:
+        met = _of_lists(facts, lists, variants)
+    known = [s for s in WEIGHTS if not whole or s in met.columns]
+    signal = lambda p, i: {s: F.get(F.col(s), i) if whole else p[s] for s in known}
+    bits = lambda x: reduce(lambda a, b: a + b, (F.when(F.lit(s == "global_popularity") | (x[s] > 0), 1 << list(WEIGHTS).index(s)).otherwise(0) for s in known))
+    score_of = lambda v: lambda p, i: _scores_of(signal(p, i), [v])[0]
+    scores = {f"scores_{v}": F.transform("pool", score_of(v)) for v in variants}
+    met = evaluated(met, gives=F.transform("pool", lambda p, i: bits(signal(p, i))), **scores)
 
     def of(variant: str) -> Column:
-        def entry(p: Column) -> Column:
-            (score,) = _scores_of(p, [variant])
-            gives = reduce(lambda a, b: a + b, (F.when(F.lit(s == "global_popularity") | (p[s] > 0), 1 << i).otherwise(0) for i, s in enumerate(WEIGHTS)))
-            return F.struct(p["poi_id"].alias("poi_id"), p["model_poi_id"].alias("model_poi_id"), p["category"].alias("category"), score.alias("score"), gives.alias("gives"))
+        def entry(p: Column, i: Column) -> Column:
+            score = F.get(F.col(f"scores_{variant}"), i)
+            return F.struct(nth(score), *(p[c].alias(c) for c in ("poi_id", "model_poi_id", "category")), score.alias("score"), F.get("gives", i).alias("gives"))
 
-        ordered = F.array_sort(F.transform(F.transform("pool", entry), lambda e: F.struct(nth(e["score"]), *(e[c].alias(c) for c in ("poi_id", "model_poi_id", "category", "score", "gives")))))
-        return F.struct(F.lit(variant).alias("variant"), ordered.alias("best"))
+        return F.struct(F.lit(variant).alias("variant"), F.sort_array(F.transform("pool", entry)).alias("best"))
 
     return met.select("sample_id", "top_k", *beside, F.explode(F.array(*map(of, variants))).alias("v")).select("v.variant", "sample_id", "top_k", *beside, "v.best")
 
